@@ -89,13 +89,13 @@ _PARSED = """CASE WHEN regexp_matches(v, '^\\d{4}-\\d{2}-\\d{2}$') THEN try_cast
   WHEN regexp_matches(v, '^\\d{4}$') AND v <> '0000' THEN make_date(CAST(v AS INT), 1, 1) END"""
 
 
-@query("detect_datetime", f"""SELECT "column", n_values, n_parsed, CAST(min_year AS INT) AS min_year, CAST(max_year AS INT) AS max_year,
+@query("detect_datetime", f"""SELECT "column", n_values, n_parsed, CAST(coalesce(min_year, 0) AS INT) AS min_year, CAST(coalesce(max_year, 0) AS INT) AS max_year,
   coalesce(n_values > 0 AND n_parsed >= 0.8 * n_values AND min_year >= 1900 AND max_year <= 2100, false) AS is_datetime FROM (
   SELECT "column", count(v) AS n_values, count(d) AS n_parsed, min(year(d)) AS min_year, max(year(d)) AS max_year FROM (
     SELECT "column", v, {_PARSED} AS d FROM (UNPIVOT {_DATED} ON o_orderstatus, day_text, year_text, o_orderpriority, cust_text
       INTO NAME "column" VALUE v)) GROUP BY 1)""")
 def detect_datetime(spark, sf):
-    return infer.detect_datetime(_dated_orders(spark, sf))
+    return infer.detect_datetime(_dated_orders(spark, sf)).fillna(0, ["min_year", "max_year"])
 
 
 def _text_sql(source: str, columns: list[str]) -> str:
@@ -154,7 +154,7 @@ _ORDER_STATS = _stats_sql("orders", _ORDER_COLUMNS, ["o_orderkey", "o_custkey",
     WHEN n_unique = n_values AND n_unique > 20 THEN 'unique_identifier'
     WHEN (replace(lower("column"), ' ', '_') IN ('id', 'uuid', 'index', 'key', 'customer_id', 'lead_id', 'parentid') OR lower("column") LIKE '%id') AND n_unique / n_values > 0.85 THEN 'looks_like_id'
     WHEN n_unique > 500 AND n_unique / n_values > 0.8 THEN 'too_many_values' ELSE 'ok' END AS status FROM ({_ORDER_STATS}))
-  UNION ALL SELECT 'no_such_column', NULL, NULL, 'missing_column', false""")
+  UNION ALL SELECT 'no_such_column', 0, 0, 'missing_column', false""")
 def validate_target(spark, sf):
     return infer.validate_target(table(spark, sf, "orders"), [*_ORDER_COLUMNS, "no_such_column"])
 
@@ -229,11 +229,11 @@ def _rules_sql() -> str:
 
 
 _ADVICE_SQL = f"""WITH d AS ({_descriptors_sql()}),
-  g AS (SELECT dataset, unnest(list_filter([
+  g AS (SELECT dataset, unnest([x for x in [
     CASE WHEN problem_type IN ('classification', 'regression') THEN 'tabular' END, CASE WHEN problem_type = 'clustering' THEN 'clustering' END,
     CASE WHEN problem_type IN ('classification', 'regression') AND has_text THEN 'text' END, CASE WHEN has_image THEN 'image' END,
     CASE WHEN problem_type = 'time_series' THEN 'time_series' END, CASE WHEN is_multimodal THEN 'multimodal' END,
-    CASE WHEN problem_type = 'regression' OR has_text THEN 'generative' END], lambda v: v IS NOT NULL)) AS rule_group FROM d),
+    CASE WHEN problem_type = 'regression' OR has_text THEN 'generative' END] if x IS NOT NULL]) AS rule_group FROM d),
   j AS (SELECT g.dataset, r.* FROM g JOIN {_rules_sql()} ON r.rule_group = g.rule_group),
   u AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY dataset, architecture ORDER BY priority DESC, rule_ord) = 1)
   SELECT dataset, architecture, family, implemented, CAST(priority AS INT) AS priority, CAST(row_number() OVER (PARTITION BY dataset ORDER BY priority DESC, rule_ord) AS INT) AS rank

@@ -119,7 +119,7 @@ def target_statistics(df: DataFrame, candidates: list[str] | None = None) -> Dat
     present = [c for c in (candidates or df.columns) if c in types]
     exprs = []
     for i, c in enumerate(present):
-        whole = F.bool_and(quoted(c) == F.round(quoted(c))) if is_numeric(types[c]) else F.lit(isinstance(types[c].typeName(), str) and types[c].typeName() == "boolean")
+        whole = F.bool_and(quoted(c) == F.round(quoted(c))) if is_numeric(types[c]) else F.lit(types[c].typeName() == "boolean")
         exprs += [F.count(quoted(c)).alias(f"n_values__{i}"), F.count_distinct(quoted(c)).alias(f"n_unique__{i}"),
                   whole.alias(f"whole__{i}")]
     out = to_long(df.agg(*exprs), present, {"n_values": "bigint", "n_unique": "bigint", "whole": "boolean"})
@@ -151,8 +151,9 @@ def validate_target(df: DataFrame, candidates: list[str] | None = None, allow_co
         "many_values_warning", (F.col("status") == "ok") & (ratio > 0.5) & (F.col("n_unique") > 50))
     absent = [c for c in wanted if c not in df.columns]
     if absent:
-        rows = [(c, None, None, "missing_column", False) for c in absent]
-        out = out.unionByName(df.sparkSession.createDataFrame(rows, out.schema))
+        rows = [(c, 0, 0, "missing_column", False) for c in absent]
+        kinds = "column string, n_values bigint, n_unique bigint, status string, many_values_warning boolean"
+        out = out.unionByName(df.sparkSession.createDataFrame(rows, kinds))
     return out
 
 
