@@ -1 +1,380 @@
-"""Registered queries."""
+"""Training, comparing, explaining and scoring models. Small presets: the library's defaults are the full ones."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..functions.hashing import bucket_of
+from ..models import bank as banks
+from ..models import cluster as cl
+from ..models import series as ts
+from ..models.base import context_of
+from ..models.bank import CLASSIFIERS, REGRESSORS, TEXT_CLASSIFIERS, TEXT_SEQUENCE, spec
+from ..operators import explain as ex
+from ..operators import knn
+from ..operators.evaluate import silhouette
+from ..operators.features import Preprocessor
+from ..operators.split import train_test_split
+from ..plans import training
+from ..plans.analyze import explain_report as report_of
+from ..plans.analyze import run_analysis
+from ..plans.scoring import score_batch as score_with
+from ..session import cut, fresh_path, keep
+from ..sources import sinks
+from ..streaming import jobs
+from .registry import LINE_KEYS, LINES_SQL, lines_with_key, query, table, token_sql
+
+BUDGET = 0.05
+
+
+def _frame(df, names, label, key):
+    ready = df.select(F.col(key).cast("string").alias("row_id"), label.cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in names])
+    return VectorAssembler(inputCols=names, outputCol="features").transform(ready).select("row_id", "features", "label")
+
+
+ORDER_FEATURES = ["price", "month", "weekday", "customer"]
+
+
+def _orders(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", (F.col("o_totalprice") / 100000).alias("price"), F.month("o_orderdate").alias("month"),
+                    F.weekday("o_orderdate").alias("weekday"), (F.col("o_custkey") % 100 / 100).alias("customer"))
+
+
+def _binary(spark, sf):
+    """Is the order urgent or high? 15 features of nothing in particular: speed and shape are what is checked here."""
+    o = _orders(spark, sf)
+    return _frame(o, ORDER_FEATURES, F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "o_orderkey")
+
+
+def _priced(spark, sf):
+    o = _orders(spark, sf)
+    return _frame(o, ["month", "weekday", "customer"], F.col("o_totalprice"), "o_orderkey")
+
+
+def _scored_row(spec_, model, test, problem_type):
+    predicted = model.transform(test)
+    n = predicted.agg(F.count(F.lit(1)).alias("n"), F.count("prediction").alias("n_predicted"))
+    value = training._score(predicted, problem_type)
+    return n.select(F.lit(spec_.name).alias("model"), F.lit(spec_.family).alias("family"), "n", "n_predicted", F.lit(round(float(value), 4)).alias("test_score"))
+
+
+def _register(prefix: str, key: str, name: str, bank, data, problem_type: str, classes: int):
+    @query(f"{prefix}_{key}")
+    def run(spark, sf):
+        frame = data(spark, sf)
+        train, test = train_test_split(frame, ["row_id"], 42)
+        train = keep(train)
+        s = spec(bank, name)
+        return _scored_row(s, s.train(train, context_of(train, classes, 42, BUDGET)), test, problem_type)
+
+
+for _key, _name in {"logistic": "logistic_regression", "ridge_logistic": "ridge_classifier", "linear_svc": "linear_svc", "svm_rbf": "svm_rbf", "decision_tree": "decision_tree",
+                    "random_forest": "random_forest", "extra_trees": "extra_trees", "gradient_boosting": "gradient_boosting", "ada_boost": "ada_boost",
+                    "xgb_style": "xgboost", "lgbm_style": "lightgbm", "catboost_style": "catboost", "mlp": "mlp_ann"}.items():
+    _register("clf", _key, _name, CLASSIFIERS, _binary, "classification", 2)
+
+for _key, _name in {"linear_svr": "linear_svr", "svr_rbf": "svr_rbf", "decision_tree": "decision_tree", "random_forest": "random_forest", "extra_trees": "extra_trees",
+                    "gradient_boosting": "gradient_boosting", "ada_boost": "ada_boost", "xgb_style": "xgboost", "lgbm_style": "lightgbm", "catboost_style": "catboost", "mlp": "mlp_ann"}.items():
+    _register("reg", _key, _name, REGRESSORS, _priced, "regression", 0)
+
+
+# ---------------------------------------------------------------- models with a closed form, checked by SQL
+
+def _quantity(spark, sf):
+    lines = lines_with_key(spark, sf).withColumn("y", F.col("l_extendedprice") / 1000)
+    frame = lines.withColumn("key", F.concat_ws("|", *LINE_KEYS))
+    return keep(_frame(frame, ["l_quantity"], F.col("y"), "key"))
+
+
+_MOMENTS = "(SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(y, x) AS cxy, count(*) AS n FROM (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem))"
+
+
+def _line_sql(slope: str) -> str:
+    return f"SELECT round(slope, 6) AS slope, round(my - slope * mx, 4) AS intercept FROM (SELECT mx, my, {slope} AS slope FROM {_MOMENTS})"
+
+
+def _line(spark, sf, name):
+    frame = _quantity(spark, sf)
+    model = spec(REGRESSORS, name).train(frame, context_of(frame)).parts[0]
+    return spark.createDataFrame([(round(float(model.coefficients[0]), 6), round(float(model.intercept), 4))], "slope double, intercept double")
+
+
+@query("reg_linear", _line_sql("cxy / vx"))
+def reg_linear(spark, sf):
+    return _line(spark, sf, "linear_regression")
+
+
+@query("reg_ridge", _line_sql("cxy * n / (vx * n + 1)"))
+def reg_ridge(spark, sf):
+    return _line(spark, sf, "ridge")
+
+
+@query("reg_lasso", _line_sql("sign(cxy) * greatest(abs(cxy) - 1, 0) / vx"))
+def reg_lasso(spark, sf):
+    return _line(spark, sf, "lasso")
+
+
+@query("reg_elastic_net", _line_sql("sign(cxy) * greatest(abs(cxy) - 0.5, 0) / (vx + 0.5)"))
+def reg_elastic_net(spark, sf):
+    return _line(spark, sf, "elastic_net")
+
+
+_NB = """(SELECT CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS label, l_quantity, l_extendedprice / 1000 AS price, l_discount * 100 AS discount, l_tax * 100 AS tax FROM lineitem)"""
+
+
+@query("clf_gaussian_nb", " UNION ALL ".join(f"SELECT CAST(label AS INT) AS class, '{c}' AS feature, round(avg({c}), 4) AS mean, round(var_pop({c}), 3) AS variance, round(count(*)::DOUBLE / (SELECT count(*) FROM lineitem), 6) AS prior FROM {_NB} GROUP BY label"
+                                          for c in ("l_quantity", "price", "discount", "tax")))
+def clf_gaussian_nb(spark, sf):
+    lines = lines_with_key(spark, sf).select(F.concat_ws("|", *LINE_KEYS).alias("key"), "l_returnflag", "l_quantity", (F.col("l_extendedprice") / 1000).alias("price"),
+                                             (F.col("l_discount") * 100).alias("discount"), (F.col("l_tax") * 100).alias("tax"))
+    names = ["l_quantity", "price", "discount", "tax"]
+    label = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("l_returnflag")) - 1
+    frame = keep(_frame(lines, names, label, "key"))
+    model = spec(CLASSIFIERS, "gaussian_nb").train(frame, context_of(frame, 3)).parts[0]
+    import math
+
+    rows = [(c, f, round(float(model.theta[c, i]), 4), round(float(model.sigma[c, i]), 3), round(math.exp(model.pi[c]), 6)) for c in range(3) for i, f in enumerate(names)]
+    return spark.createDataFrame(rows, "class int, feature string, mean double, variance double, prior double")
+
+
+_SPLIT = f"(SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x, {token_sql('vec_id', seed=42)} % 5 = 0 AS is_test FROM embeddings)"
+_NEAR = f"""(SELECT * FROM (SELECT q.vec_id, r.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, r.x), r.vec_id) AS n
+  FROM {_SPLIT} q JOIN {_SPLIT} r ON q.is_test AND NOT r.is_test) WHERE n <= 7)"""
+
+
+def _neighbours(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("payload"))
+    train, test = train_test_split(e, ["id"], 42)
+    return train, test.select("id", "x")
+
+
+@query("clf_knn", f"SELECT vec_id, CAST(label AS DOUBLE) AS prediction FROM (SELECT vec_id, label, count(*) AS c FROM {_NEAR} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, label) = 1")
+def clf_knn(spark, sf):
+    train, test = _neighbours(spark, sf)
+    return knn.knn_classify(train, test, 64, 7).select(F.col("id").alias("vec_id"), "prediction")
+
+
+@query("reg_knn", f"SELECT vec_id, round(avg(label), 6) AS prediction FROM {_NEAR} GROUP BY vec_id")
+def reg_knn(spark, sf):
+    train, test = _neighbours(spark, sf)
+    return knn.knn_regress(train, test, 64, 7).select(F.col("id").alias("vec_id"), F.round("prediction", 6).alias("prediction"))
+
+
+# ---------------------------------------------------------------- text
+
+def _languages(spark, sf):
+    d = table(spark, sf, "documents")
+    classes = [r["lang"] for r in d.select("lang").distinct().orderBy("lang").collect()]
+    label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("lang")) - 1
+    return d.select(F.col("doc_id").cast("string").alias("row_id"), "text", label.cast("double").alias("label")), len(classes)
+
+
+def _register_text(key: str, name: str, bank):
+    @query(f"txt_{key}")
+    def run(spark, sf):
+        frame, classes = _languages(spark, sf)
+        train, test = train_test_split(frame, ["row_id"], 42)
+        train = keep(train)
+        s = spec(bank, name)
+        ctx = training.Context(train.count(), 0, classes, 1.0, 1.0, 42, BUDGET)
+        return _scored_row(s, s.train(train, ctx), test, "classification")
+
+
+for _key in ("tfidf_logistic", "tfidf_linear_svc", "tfidf_complement_nb", "tfidf_random_forest"):
+    _register_text(_key, _key, TEXT_CLASSIFIERS)
+_register_text("embed_cnn", "embed_windows", TEXT_SEQUENCE)
+_register_text("embed_seq", "embed_sequence", TEXT_SEQUENCE)
+
+
+# ---------------------------------------------------------------- clusters
+
+def _part_points(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select(F.col("p_partkey").cast("string").alias("row_id"), F.array((F.col("p_size") / 50).cast("double"), (F.col("p_retailprice") / 1000).cast("double")).alias("x"))
+
+
+def _judged(assigned, name):
+    assigned = keep(assigned)
+    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.select(F.lit(name).alias("model"), F.col("cluster").cast("long").alias("cluster"), "size")
+
+
+@query("clu_kmeans_sweep")
+def clu_kmeans_sweep(spark, sf):
+    result = training.train_clusters(_part_points(spark, sf).select("row_id", F.col("x")[0].alias("size"), F.col("x")[1].alias("price")), ["size", "price"], "row_id", starts=2, methods=[])
+    return result.leaderboard
+
+
+@query("clu_agglomerative")
+def clu_agglomerative(spark, sf):
+    return _judged(cl.fit_agglomerative(_part_points(spark, sf), 3, 200), "agglomerative")
+
+
+@query("clu_gaussian_mixture")
+def clu_gaussian_mixture(spark, sf):
+    return _judged(cl.fit_gaussian_mixture(_part_points(spark, sf), 3), "gaussian_mixture")
+
+
+@query("clu_birch")
+def clu_birch(spark, sf):
+    return _judged(cl.fit_birch(_part_points(spark, sf), 2, 3, 0.05), "birch")
+
+
+_POINTS = "(SELECT p_partkey, p_size / 50.0::DOUBLE AS a, p_retailprice / 1000 AS b FROM part)"
+_CORE = f"(SELECT q.p_partkey, q.a, q.b, count(*) >= 5 AS is_core FROM {_POINTS} q JOIN {_POINTS} r ON (q.a - r.a) * (q.a - r.a) + (q.b - r.b) * (q.b - r.b) <= 0.03 * 0.03::DOUBLE GROUP BY ALL)"
+
+
+@query("clu_dbscan", f"""SELECT c.p_partkey, c.is_core, NOT c.is_core AND NOT EXISTS (SELECT 1 FROM {_CORE} k WHERE k.is_core AND (c.a - k.a) * (c.a - k.a) + (c.b - k.b) * (c.b - k.b) <= 0.03 * 0.03::DOUBLE) AS is_noise
+  FROM {_CORE} c""".replace("0.03 * 0.03::DOUBLE", "0.0009::DOUBLE"))
+def clu_dbscan(spark, sf):
+    points = keep(_part_points(spark, sf))
+    core = cl.core_points(points, 2, 0.03, 5).select("x", "is_core")
+    labels = cl.fit_dbscan(points, 2, 0.03, 5)
+    return labels.join(core, "x").select(F.col("row_id").cast("long").alias("p_partkey"), "is_core", (F.col("cluster") == -1).alias("is_noise"))
+
+
+# ---------------------------------------------------------------- series
+
+def _daily(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("y"))
+
+
+@query("ts_arima")
+def ts_arima(spark, sf):
+    return ts.arima_leaderboard(ts.arima_forecasts(_daily(spark, sf), "hour", "y", "event_type"))
+
+
+# ---------------------------------------------------------------- explanation
+
+def _small_forest(spark, sf):
+    frame = _binary(spark, sf)
+    train, test = train_test_split(frame, ["row_id"], 42)
+    train = keep(train)
+    return spec(CLASSIFIERS, "random_forest").train(train, context_of(train, 2, 42, 0.02)), test
+
+
+@query("shap_tree")
+def shap_tree(spark, sf):
+    model, test = _small_forest(spark, sf)
+    return ex.shap_aggregate(ex.shap_long(ex.shap_tree(test, model.parts[0]), ORDER_FEATURES))
+
+
+@query("shap_sampled")
+def shap_sampled(spark, sf):
+    model, test = _small_forest(spark, sf)
+    background = [r["x"] for r in test.select(vector_to_array("features").alias("x"), F.xxhash64("row_id").alias("h")).orderBy("h").limit(5).collect()]
+    score = lambda d: model.transform(d).withColumn("y", F.col("probability")[1])
+    values = ex.shap_sampled(test, score, "y", ORDER_FEATURES, background, rounds=5)
+    return ex.top_features(values.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")))
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    model, test = _small_forest(spark, sf)
+    return ex.permutation_importance(test, model.transform, lambda d: training._score(d, "classification"), ORDER_FEATURES, repeats=2)
+
+
+@query("native_importance")
+def native_importance(spark, sf):
+    model, _ = _small_forest(spark, sf)
+    return ex.native_importance(model.parts[0], ORDER_FEATURES, spark)
+
+
+# ---------------------------------------------------------------- leaderboard, artifacts, scoring
+
+QUICK = ["logistic_regression", "gaussian_nb", "decision_tree", "linear_svc"]
+
+
+@query("leaderboard")
+def leaderboard(spark, sf):
+    train, test = train_test_split(_binary(spark, sf), ["row_id"], 42)
+    rows, _ = training.evaluate_bank([spec(CLASSIFIERS, n) for n in QUICK], train, test, "classification", 2, 3, BUDGET)
+    return training.leaderboard_frame(spark, rows)
+
+
+def _customers(spark, sf):
+    """One row per customer with order facts; target: did the customer place an urgent order?"""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("n_orders"), F.avg("o_totalprice").alias("mean_price"), F.max("o_orderdate").alias("last_order"),
+        F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    out = c.join(o, "c_custkey", "left").withColumn("last_order", F.date_format("last_order", "yyyy-MM-dd"))
+    return out.withColumn("Churn", F.when(F.coalesce("urgent", F.lit(0)) == 1, "Yes").otherwise("No")).withColumnRenamed("c_custkey", "customer_id").drop("urgent")
+
+
+def _analysis(spark, sf, folder=None):
+    return run_analysis(_customers(spark, sf), use_case_id="customer_churn", source="customers", bank=[spec(CLASSIFIERS, n) for n in QUICK[:3]],
+                        folds=2, budget=BUDGET, trees=20, folder=folder)
+
+
+@query("analyze_leaderboard")
+def analyze_leaderboard(spark, sf):
+    return _analysis(spark, sf).leaderboard
+
+
+@query("explain_report")
+def explain_report(spark, sf):
+    return _analysis(spark, sf).explanation
+
+
+def _staged(spark, sf):
+    """A staged artifact trained on the customers without cross-validation."""
+    folder = fresh_path(spark, "artifact")
+    rows = _customers(spark, sf)
+    train = rows.filter(bucket_of(["customer_id"], 5, 42) != 0)
+    prep = Preprocessor()
+    features = prep.fit_transform(train, "Churn", ["last_order"], ["customer_id"], ["customer_id"])
+    label = (F.col("Churn") == "Yes")
+    frame = keep(training.assemble(features, prep.feature_columns, label, "customer_id"))
+    model = spec(CLASSIFIERS, "logistic_regression").train(frame, context_of(frame, 2, 42, BUDGET))
+    meta = {"problem_type": "classification", "classes": ["No", "Yes"], "target": "Churn", "use_case_id": "customer_churn", "best_model": "logistic_regression", "text_columns": []}
+    return sinks.save_artifact(spark, f"{folder}/staging", model, prep, meta), folder
+
+
+@query("sink_model_artifact")
+def sink_model_artifact(spark, sf):
+    path, _ = _staged(spark, sf)
+    model, prep, meta = sinks.load_artifact(spark, path)
+    return spark.createDataFrame([(meta["best_model"], len(prep.feature_columns), ",".join(meta["classes"]), model.has_probability)],
+                                 "best_model string, n_features int, classes string, has_probability boolean")
+
+
+@query("promote_model")
+def promote_model(spark, sf):
+    path, folder = _staged(spark, sf)
+    sinks.promote_model(spark, path, f"{folder}/production", True, f"{folder}/versions")
+    scored, _ = score_with(spark, f"{folder}/production", _customers(spark, sf), ["customer_id"])
+    return scored.groupBy("prediction", "risk_tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("score_batch")
+def score_batch(spark, sf):
+    path, _ = _staged(spark, sf)
+    scored, _ = score_with(spark, path, _customers(spark, sf), ["customer_id"])
+    return scored
+
+
+@query("stream_score")
+def stream_score(spark, sf):
+    """The batch's records as arriving files: the streamed output must equal ``score_batch``."""
+    path, folder = _staged(spark, sf)
+    _customers(spark, sf).write.parquet(f"{folder}/incoming")
+    model, prep, meta = sinks.load_artifact(spark, path)
+    stream = jobs.read_stream(spark, f"{folder}/incoming", spark.read.parquet(f"{folder}/incoming").schema, max_files=4)
+    jobs.stream_score(stream, model, prep, meta, f"{folder}/scored", f"{folder}/state", ["customer_id"]).awaitTermination()
+    return spark.read.parquet(f"{folder}/scored")
+
+
+@query("analyze_clusters")
+def analyze_clusters(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")
+    return run_analysis(parts, source="parts", id_columns=["p_partkey"], trees=10, cluster_options={"starts": 1, "ks": [2, 3], "methods": ["gaussian_mixture", "birch"]}).leaderboard
+
+
+@query("analyze_series")
+def analyze_series(spark, sf):
+    orders = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n"))
+    return run_analysis(orders, "revenue", source="daily revenue", trees=10, allow_continuous=True).leaderboard

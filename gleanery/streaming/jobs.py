@@ -11,6 +11,7 @@ from ..plans.scoring import score_frame
 
 
 def read_stream(spark, path: str, schema, max_files: int | None = None) -> DataFrame:
+    """Parquet files arriving in a folder, or matching a pattern (the source takes no single file)."""
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
