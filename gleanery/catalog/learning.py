@@ -274,7 +274,7 @@ def shap_sampled(spark, sf):
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     model, test = _small_forest(spark, sf)
-    return ex.permutation_importance(test, model.transform, lambda d: training._score(d, "classification"), ORDER_FEATURES, repeats=2)
+    return ex.permutation_importance(test, model.transform, "classification", ORDER_FEATURES)
 
 
 @query("native_importance")

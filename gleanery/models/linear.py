@@ -27,9 +27,10 @@ def fit_least_squares(df: DataFrame, ctx: Context, l2: float = 0.0, l1: float =
     """Minimise RSS / (2n) + l1 |w| + l2 |w|^2 / 2 on unscaled features.
 
     Spark divides both penalties by the deviation of the label, which is right for the absolute part only, so
-    the quadratic part is multiplied by it here.
+    the quadratic part is multiplied by it here (the normal solver uses the population deviation, the other
+    one the sample deviation).
     """
-    quadratic = l2 * ctx.label_std
+    quadratic = l2 * ctx.label_std * (1.0 if l1 == 0 else (ctx.n / max(1, ctx.n - 1)) ** 0.5)
     strength = l1 + quadratic
     est = LinearRegression(regParam=strength, elasticNetParam=l1 / strength if strength else 0.0, standardization=False,
                            solver=_solver(ctx) if l1 == 0 else "l-bfgs", maxIter=ctx.scaled(max_iter, 50), tol=1e-9)

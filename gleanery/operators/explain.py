@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.hashing import row_token
 from ..functions.types import quoted, to_long
-from ..session import cut, fresh_path, keep
+from ..session import cut, fresh_path
 from .position import with_position
 
 
@@ -174,26 +176,50 @@ def shap_sampled(df: DataFrame, transform, output: str, names: list[str], backgr
 
 # ---------------------------------------------------------------- importances
 
-def _shuffled(df: DataFrame, j: int, seed: int) -> DataFrame:
-    """Feature ``j`` taken from another row: rows are numbered by two hash orders and matched by number."""
-    keyed = df.withColumn("_a", row_token(["row_id"], seed)).withColumn("_b", row_token(["row_id"], seed + 1_000_003)).withColumn("_tie", F.xxhash64("row_id"))
-    left = with_position(keyed, "_a", "_tie", out="_place")
-    right = with_position(keyed.select(vector_to_array("features")[j].alias("_v"), "_b", "_tie"), "_b", "_tie", out="_place").select("_place", "_v")
-    joined = left.join(right, "_place")
-    mixed = F.transform(vector_to_array("features"), lambda v, i: F.when(i == j, F.col("_v")).otherwise(v))
-    return joined.select("row_id", "label", array_to_vector(mixed).alias("features"))
-
-
-def permutation_importance(df: DataFrame, transform, score, names: list[str], repeats: int = 5, seed: int = 42, n: int = 10) -> DataFrame:
-    """Mean and population deviation of the drop in score when one feature is shuffled across all rows."""
-    base_rows = keep(df.select("row_id", "label", "features"))
-    base = score(transform(base_rows))
-    rows = []
-    for j, name in enumerate(names):
-        drops = [base - score(transform(_shuffled(base_rows, j, seed + 31 * r))) for r in range(repeats)]
-        rows.append((name, float(np.mean(drops)), float(np.std(drops)), "Permutation importance"))
-    out = df.sparkSession.createDataFrame(rows, "feature string, importance double, std double, method_detail string")
-    return top_features(out, n=n)
+def _steps_through(n: int, rounds: int, seed: int) -> list[tuple[int, int]]:
+    """Per round a step coprime to ``n`` and an offset: place -> (step x place + offset) mod n visits every place once."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < rounds:
+        step, offset = int(rng.integers(1, max(2, n))), int(rng.integers(0, max(1, n)))
+        if math.gcd(step, n) == 1 and (step != 1 or n < 3):
+            out.append((step, offset))
+    return out
+
+
+def permutation_importance(df: DataFrame, transform, problem_type: str, names: list[str], repeats: int = 5, seed: int = 42, n: int = 10) -> DataFrame:
+    """Mean and population deviation of the drop in score when one feature is shuffled across all rows.
+
+    Rows are numbered once in hash order. For every feature and repeat a row takes the value of the row at another
+    place, by a one-to-one map of places, so one join and one ``transform`` cover all features and repeats.
+    """
+    rows = df.select(F.col("row_id").cast("string").alias("row_id"), "label", vector_to_array("features").alias("x"))
+    keyed = rows.withColumn("_order", row_token(["row_id"], seed)).withColumn("_tie", F.xxhash64("row_id"))
+    placed = cut(with_position(keyed, "_order", "_tie", out="place").select("row_id", "label", "x", (F.col("place") - 1).alias("place")))
+    total = placed.count()
+    rounds = F.array(*[F.struct(F.lit(r).alias("round"), F.pmod(F.lit(step) * F.col("place") + F.lit(offset), F.lit(total)).alias("partner"))
+                       for r, (step, offset) in enumerate(_steps_through(total, repeats, seed))])
+    asked = placed.select("row_id", "label", "x", F.explode(rounds).alias("_pick")).select("row_id", "label", "x", "_pick.round", "_pick.partner")
+    other = placed.select(F.col("place").alias("partner"), F.col("x").alias("other"))
+    met = asked.join(other, "partner")
+    each = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
+    mixed = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("other", i)).otherwise(v))
+    shuffled = each.select(F.concat_ws("|", "row_id", "j", "round").alias("row_id"), "label", "j", "round", array_to_vector(mixed).alias("features"))
+    plain = placed.select("row_id", "label", F.lit(-1).alias("j"), F.lit(0).alias("round"), array_to_vector("x").alias("features"))
+    scores = _scores(transform(shuffled.unionByName(plain)), problem_type)
+    base = scores.filter("j = -1").select(F.col("score").alias("base"))
+    table = F.array(*[F.lit(c) for c in names])
+    drops = scores.filter("j >= 0").join(F.broadcast(base)).withColumn("drop", F.col("base") - F.col("score"))
+    out = drops.groupBy(F.get(table, F.col("j")).alias("feature")).agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("std"))
+    return top_features(out.withColumn("method_detail", F.lit("Permutation importance")), n=n)
+
+
+def _scores(predicted: DataFrame, problem_type: str) -> DataFrame:
+    """Accuracy or R2 per (feature, repeat)."""
+    if problem_type == "classification":
+        score = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    else:
+        score = 1.0 - F.sum(F.pow(F.col("label") - F.col("prediction"), 2)) / F.nullif(F.var_pop("label") * F.count("label"), F.lit(0.0))
+    return predicted.groupBy("j", "round").agg(score.alias("score"))
 
 
 def native_importance(model, names: list[str], spark, n: int = 10) -> DataFrame:

@@ -33,12 +33,17 @@ def detect_datetime(df: DataFrame, share: float = 0.8, years: tuple[int, int] =
     return out.withColumn("is_datetime", F.coalesce(ok, F.lit(False)))
 
 
-def detect_text(df: DataFrame, target: str | None = None, strict: bool = False) -> DataFrame:
+def detect_text(df: DataFrame, target: str | None = None, strict: bool = False, skip: list[str] | None = None) -> DataFrame:
     """Columns that hold free text, from lengths, word counts and distinct share of the stringified values.
 
-    ``strict`` looks at string columns only and leaves out identifiers and dates.
+    ``strict`` looks at string columns only and leaves out those in ``skip``, the identifiers and dates found before
+    (they are looked for when not given).
     """
-    names = [f.name for f in df.schema if f.name != target and (is_string(f.dataType) or not strict)]
+    if strict and skip is None:
+        ids = flag_id_columns(profile_columns(df.select([quoted(c) for c in string_columns(df)])))
+        skip = [r["column"] for r in ids.filter("is_id").collect()] + datetime_columns(df)
+    out_of_play = {target, *(skip or [])} if strict else {target}
+    names = [f.name for f in df.schema if f.name not in out_of_play and (is_string(f.dataType) or not strict)]
     exprs = []
     for i, c in enumerate(names):
         v = quoted(c).cast("string")
@@ -55,14 +60,7 @@ def detect_text(df: DataFrame, target: str | None = None, strict: bool = False)
         (F.col("avg_len") > 35) | ((F.col("avg_len") > 12) & (ratio > 0.3))
         | ((F.col("avg_len") > 8) & (F.col("n_unique") > 10)) | ((F.col("avg_words") >= 3) & (F.col("avg_len") > 15))
     )
-    out = out.withColumn("is_text", F.coalesce((F.col("n_values") > 0) & hit, F.lit(False)))
-    if strict and names:
-        dates = detect_datetime(df).select("column", "is_datetime")
-        ids = flag_id_columns(profile_columns(df.select([quoted(c) for c in names])))
-        out = (out.join(dates, "column", "left").join(ids, "column", "left")
-               .withColumn("is_text", F.col("is_text") & ~F.coalesce("is_datetime", F.lit(False)) & ~F.coalesce("is_id", F.lit(False)))
-               .drop("is_datetime", "is_id"))
-    return out
+    return out.withColumn("is_text", F.coalesce((F.col("n_values") > 0) & hit, F.lit(False)))
 
 
 def detect_image(df: DataFrame, target: str | None = None, share: float = 0.6) -> DataFrame:
@@ -77,9 +75,9 @@ def detect_image(df: DataFrame, target: str | None = None, share: float = 0.6) -
     return out.withColumn("is_image", ok)
 
 
-def modality_columns(df: DataFrame, target: str | None = None, strict: bool = False) -> DataFrame:
+def modality_columns(df: DataFrame, target: str | None = None, strict: bool = False, skip: list[str] | None = None) -> DataFrame:
     """One row per column with its role flags; numeric does not exclude text, categorical does."""
-    text = detect_text(df, target, strict).select("column", "is_text")
+    text = detect_text(df, target, strict, skip).select("column", "is_text")
     image = detect_image(df, target).select("column", "is_image")
     numeric = set(numeric_columns(df))
     roles = F.inline(F.array(*[

@@ -21,7 +21,7 @@ def lookup_join(df: DataFrame, facts: DataFrame, key: str, weight: str, values:
     """
     slim = facts.select(key, weight, *values)
     if n_facts <= broadcast_rows:
-        return df.join(F.broadcast(slim.drop(weight)), key, "left")
+        return df.join(F.broadcast(slim.drop(weight)), key, "left").select(*df.columns, *values)
     threshold = max(1, total // HOT_SHARE)
     hot = slim.filter(F.col(weight) >= threshold).select(
         F.col(key).alias("_hot_key"), *[F.col(v).alias(f"_hot_{v}") for v in values])

@@ -8,14 +8,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import bucket_of
-from ..functions.types import nan_to_null, numeric_columns, quoted
+from ..functions.types import nan_to_null, quoted
 from ..models.bank import Spec
 from ..operators import advisor, clean, explain, infer
 from ..operators.evaluate import accuracy, class_report, confusion, f1_weighted, forecast_scores, regression_scores
-from ..operators.features import Preprocessor, datetime_features
+from ..operators.features import Preprocessor
 from ..operators.iforest import detect_anomalies
 from ..operators.monitor import training_baseline
-from ..operators.profile import profile
+from ..operators.profile import flag_id_columns, profile
 from ..operators.usecases import get_use_case, resolve_target
 from ..session import cut, fresh_path, keep
 from ..sources.sinks import log_run, save_analysis, save_artifact, save_baseline
@@ -94,8 +94,7 @@ def _importance(result, names, problem_type, rows, n) -> DataFrame:
         coefs = dict(zip(names, part.coefficients.toArray().tolist()))
         top = explain.shap_importance(explain.shap_linear(wide, coefs), names, n=n)
         return rows(top, "importance", F.lit("SHAP (Shapley additive values)"), F.col("feature"), F.col("importance"))
-    score = lambda df: training._score(df, problem_type)
-    top = explain.permutation_importance(result.test, model.transform, score, names, repeats=1, n=n)
+    top = explain.permutation_importance(result.test, model.transform, problem_type, names, n=n)
     return rows(top, "importance", F.lit("Permutation importance"), F.col("feature"), F.col("importance"))
 
 
@@ -114,16 +113,17 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
     target = resolve_target(target, use_case_id)
     ids = list(id_columns or []) or (template["id_columns"] if template else [])
 
-    # Profile and inference look at the raw table.
+    # Profile and inference look at the raw table; what they find is one row per column.
     raw = nan_to_null(df)
-    columns = profile(raw)
+    columns = cut(profile(raw))
     dates = infer.datetime_columns(raw, target)
-    roles = infer.modality_columns(raw, target, strict=True)
+    found_ids = [r["column"] for r in flag_id_columns(columns).filter("is_id").collect()]
+    roles = cut(infer.modality_columns(raw, target, strict=True, skip=[*dates, *found_ids, *ids]))
     modality = infer.roll_up_modality(roles).first()
     text_columns = [r["column"] for r in roles.filter("is_text").collect()]
 
-    # Cleaning.
-    cleaned = clean.impute_auto(clean.dedupe_rows(raw))
+    # Cleaning. Deduplication is the one shuffle of whole rows, so its result is written once and read from there.
+    cleaned = clean.impute_auto(cut(clean.dedupe_rows(raw)))
     cleaned = clean.drop_id_columns(detect_anomalies(cleaned, trees=trees), ids)
     cleaned = cut(row_identity(cleaned))
 
