@@ -21,7 +21,7 @@ from ..plans import training
 from ..plans.analyze import explain_report as report_of
 from ..plans.analyze import run_analysis
 from ..plans.scoring import score_batch as score_with
-from ..session import cut, fresh_path, keep
+from ..session import fresh_path, keep, spread
 from ..sources import sinks
 from ..streaming import jobs
 from .registry import LINE_KEYS, LINES_SQL, lines_with_key, query, table, token_sql
@@ -30,7 +30,7 @@ BUDGET = 0.05
 
 
 def _frame(df, names, label, key):
-    ready = df.select(F.col(key).cast("string").alias("row_id"), label.cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in names])
+    ready = spread(df).select(F.col(key).cast("string").alias("row_id"), label.cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in names])
     return VectorAssembler(inputCols=names, outputCol="features").transform(ready).select("row_id", "features", "label")
 
 
@@ -169,7 +169,7 @@ def _languages(spark, sf):
     d = table(spark, sf, "documents")
     classes = [r["lang"] for r in d.select("lang").distinct().orderBy("lang").collect()]
     label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("lang")) - 1
-    return d.select(F.col("doc_id").cast("string").alias("row_id"), "text", label.cast("double").alias("label")), len(classes)
+    return spread(d).select(F.col("doc_id").cast("string").alias("row_id"), "text", label.cast("double").alias("label")), len(classes)
 
 
 def _register_text(key: str, name: str, bank):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.hashing import row_token
 from ..functions.types import quoted, to_long
-from ..session import cut, fresh_path
+from ..session import cut, fresh_path, spread
 from .position import with_position
 
 
@@ -133,7 +133,7 @@ def shap_tree(df: DataFrame, model, features: str = "features") -> DataFrame:
                 _leaf_values(x, leaf, out)
             yield pd.DataFrame({"row_id": pdf["row_id"], "base": [base.tolist()] * len(x), "shap": [row.T.tolist() for row in out]})
 
-    rows = df.select(F.col("row_id").cast("string").alias("row_id"), vector_to_array(features).alias("x"))
+    rows = spread(df.select(F.col("row_id").cast("string").alias("row_id"), vector_to_array(features).alias("x")))
     return rows.mapInPandas(explain, "row_id string, base array<double>, shap array<array<double>>")
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import as_moment
 from ..functions.hashing import bucket_of
 from ..functions.types import categorical_columns, is_numeric, numeric_columns, quoted, to_long
-from ..session import cut
+from ..session import cut, spread
 from .lookup import lookup_join
 
 INTERNAL = ["is_anomaly"]
@@ -109,64 +109,71 @@ def outcome_columns(df: DataFrame, target: str, classes: list[str] | None) -> di
     return {f"_{v}": (text == F.lit(v)).cast("double") for v in classes}
 
 
-def target_sums(df: DataFrame, column: str, outcomes: dict[str, Column], fold: Column) -> DataFrame:
-    """Count, sum and sum of squares per (category, fold): all later encodings derive from this small table."""
+def target_sums(df: DataFrame, column: str, outcomes: dict[str, Column], fold: Column, folds: int, binary: bool) -> DataFrame:
+    """Per category, and per fold within its row: count, sum and sum of squares of each outcome.
+
+    One shuffle by category, combined on the map side; every encoding derives from this table. A 0/1 outcome needs no
+    squares.
+    """
     category = F.coalesce(quoted(column).cast("string"), F.lit(MISSING))
     base = df.select(category.alias("category"), fold.alias("fold"), *[y.alias(f"y{i}") for i, y in enumerate(outcomes.values())])
-    base = base.filter(F.col("y0").isNotNull())
-    sums = [F.count(F.lit(1)).alias("n")]
-    for i in range(len(outcomes)):
-        sums += [F.sum(f"y{i}").alias(f"s{i}"), F.sum(F.col(f"y{i}") * F.col(f"y{i}")).alias(f"ss{i}")]
-    return base.groupBy("category", "fold").agg(*sums)
-
-
-def full_encodings(sums: DataFrame, n_outcomes: int) -> DataFrame:
-    """Encoding of every category from all rows, plus the row of the overall mean (category NULL)."""
-    total = sums.agg(F.sum("n").alias("gn"), *[F.sum(f"{p}{i}").alias(f"g{p}{i}") for i in range(n_outcomes) for p in ("s", "ss")])
-    per = sums.groupBy("category").agg(F.sum("n").alias("n"), *[F.sum(f"{p}{i}").alias(f"{p}{i}") for i in range(n_outcomes) for p in ("s", "ss")])
-    joined = per.join(F.broadcast(total))
-    return joined.select("category", "n", *[
-        _smoothed(F.col("n"), F.col(f"s{i}"), F.col(f"ss{i}"), F.col("gn"), F.col(f"gs{i}"), F.col(f"gss{i}")).alias(f"enc{i}")
-        for i in range(n_outcomes)
-    ])
-
-
-def fold_encodings(sums: DataFrame, n_outcomes: int) -> DataFrame:
-    """Out-of-fold encodings: category and overall sums minus the fold's own part."""
-    parts = ["n"] + [f"{p}{i}" for i in range(n_outcomes) for p in ("s", "ss")]
-    by_category = Window.partitionBy("category")  # one row per fold
-    fold_total = sums.groupBy("fold").agg(*[F.sum(p).alias(f"f_{p}") for p in parts])
-    total = fold_total.agg(*[F.sum(f"f_{p}").alias(f"t_{p}") for p in parts])
-    others = fold_total.join(F.broadcast(total)).select("fold", *[(F.col(f"t_{p}") - F.col(f"f_{p}")).alias(f"g_{p}") for p in parts])
-    rest = sums.select("category", "fold", F.col("n").alias("weight"),
-                       *[(F.sum(p).over(by_category) - F.col(p)).alias(p) for p in parts]).join(F.broadcast(others), "fold")
-
-    def encoded(i):
-        overall = F.col(f"g_s{i}") / F.col("g_n")
-        inside = _smoothed(F.col("n"), F.col(f"s{i}"), F.col(f"ss{i}"), F.col("g_n"), F.col(f"g_s{i}"), F.col(f"g_ss{i}"))
-        return F.when(F.col("n") > 0, inside).otherwise(overall).alias(f"enc{i}")
-
-    return rest.select("category", "fold", "weight", *[encoded(i) for i in range(n_outcomes)])
+    sums = []
+    for f in range(folds):
+        here = F.col("fold") == f
+        sums.append(F.count_if(here).alias(f"n_{f}"))
+        for i in range(len(outcomes)):
+            y = F.when(here, F.col(f"y{i}"))
+            sums.append(F.coalesce(F.sum(y), F.lit(0.0)).alias(f"s{i}_{f}"))
+            if not binary:
+                sums.append(F.coalesce(F.sum(y * y), F.lit(0.0)).alias(f"ss{i}_{f}"))
+    return base.filter(F.col("y0").isNotNull()).groupBy("category").agg(*sums)
+
+
+def encodings(df: DataFrame, column: str, target: str, classes: list[str] | None, fold: Column | None = None, folds: int = 1) -> tuple[DataFrame, int, int]:
+    """(category, n, enc0, enc1, ..) with the table's length and the number of rows behind it.
+
+    Each ``enc`` holds one value per fold, taken from all other folds' rows, or a single value from all rows when there
+    is one fold. The overall sums, a few numbers, come to the driver and go back as literals.
+    """
+    outcomes, binary = outcome_columns(df, target, classes), classes is not None
+    sums = cut(target_sums(df, column, outcomes, F.lit(0) if fold is None else fold, folds, binary))
+    names = [c for c in sums.columns if c != "category"]
+    row = sums.agg(F.count(F.lit(1)).alias("_k"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    total = {c: float(row[c]) for c in names}
+
+    def whole(prefix: str, skip: int | None) -> tuple[Column, float]:
+        used = [f for f in range(folds) if f != skip]
+        cells = [F.col(f"{prefix}_{f}") for f in used]
+        return sum(cells[1:], cells[0]), sum(total[f"{prefix}_{f}"] for f in used)
+
+    def value(i: int, skip: int | None) -> Column:
+        n, gn = whole("n", skip)
+        s, gs = whole(f"s{i}", skip)
+        ss, gss = (s, gs) if binary else whole(f"ss{i}", skip)
+        overall = F.lit(gs / gn if gn else 0.0)
+        inside = _smoothed(n, s, ss, F.lit(gn), F.lit(gs), F.lit(gss))
+        return F.when(n > 0, inside).otherwise(overall)
+
+    skips = [None] if folds == 1 else list(range(folds))
+    n_all, _ = whole("n", None)
+    out = sums.select("category", n_all.alias("n"), *[F.array(*[value(i, f) for f in skips]).alias(f"enc{i}") for i in range(len(outcomes))])
+    return out, row["_k"], int(sum(total[f"n_{f}"] for f in range(folds)))
 
 
 def target_encodings(df: DataFrame, column: str, target: str, classes: list[str] | None) -> DataFrame:
     """Full-data encodings per category, one column per outcome."""
-    outcomes = outcome_columns(df, target, classes)
-    table = full_encodings(target_sums(df, column, outcomes, F.lit(0)), len(outcomes))
-    return table.select("category", "n", *[F.col(f"enc{i}").alias(f"encoding{suffix}") for i, suffix in enumerate(outcomes)])
+    table, _, _ = encodings(df, column, target, classes)
+    return table.select("category", "n", *[F.col(f"enc{i}")[0].alias(f"encoding{suffix}") for i, suffix in enumerate(outcome_columns(df, target, classes))])
 
 
 def target_encode_oof(df: DataFrame, column: str, target: str, classes: list[str] | None, keys: list[str], folds: int = 5) -> DataFrame:
     """Add cross-fitted encodings: a row is never encoded with its own fold's outcomes."""
-    outcomes = outcome_columns(df, target, classes)
-    fold = bucket_of(keys, folds)
-    table = cut(fold_encodings(target_sums(df, column, outcomes, fold), len(outcomes)))
-    keyed = df.withColumn("_cell", F.concat_ws("\u0001", F.coalesce(quoted(column).cast("string"), F.lit(MISSING)), fold.cast("string")))
-    facts = table.withColumn("_cell", F.concat_ws("\u0001", "category", F.col("fold").cast("string")))
-    size = table.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("weight"), F.lit(0)).alias("n")).first()
-    names = [f"enc{i}" for i in range(len(outcomes))]
-    joined = lookup_join(keyed, facts, "_cell", "weight", names, size["k"], size["n"])
-    return joined.select(*[quoted(c) for c in df.columns], *[F.col(n).alias(f"{column}_te{suffix}") for n, suffix in zip(names, outcomes)])
+    df = spread(df)
+    suffixes = list(outcome_columns(df, target, classes))
+    table, n_facts, total = encodings(df, column, target, classes, bucket_of(keys, folds), folds)
+    keyed = df.withColumn("category", F.coalesce(quoted(column).cast("string"), F.lit(MISSING))).withColumn("_fold", bucket_of(keys, folds))
+    joined = lookup_join(keyed, table, "category", "n", [f"enc{i}" for i in range(len(suffixes))], n_facts, total)
+    return joined.select(*[quoted(c) for c in df.columns], *[F.get(F.col(f"enc{i}"), F.col("_fold")).alias(f"{column}_te{suffix}") for i, suffix in enumerate(suffixes)])
 
 
 # ---------------------------------------------------------------- labels and scale

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.types import numeric_columns, quoted
-from ..session import keep
+from ..session import keep, spread
 from .quantiles import exact_quantiles
 
 TREES, SAMPLE = 100, 256
@@ -107,6 +107,7 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.02, trees: int = TR
     columns = numeric_columns(df)
     if not columns or df.isEmpty():
         return df.withColumn("is_anomaly", F.lit(0))
+    df = spread(df)
     forest, size = fit_forest(df, columns, trees, sample, seed)
     scored = keep(df.withColumn("anomaly_score", score_column(df, columns, forest, size)))
     limit = exact_quantiles(scored, ["anomaly_score"], 1.0 - contamination)["anomaly_score"]

@@ -8,6 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import unigrams_and_bigrams, words
+from ..session import cut, keep, spread
 
 PAD, UNK = "<pad>", "<unk>"
 MAX_VOCAB = 15_000
@@ -21,7 +22,7 @@ def build_vocab(df: DataFrame, text: str, max_vocab: int = MAX_VOCAB) -> DataFra
     Counts combine before the shuffle, the best words are taken as a distributed top-k, and only those
     (``max_vocab`` at most) are numbered in one task.
     """
-    counts = df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    counts = spread(df.select(text)).select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     best = counts.orderBy(F.col("count").desc(), F.col("word").asc()).limit(max_vocab - 2)
     numbered = best.withColumn("id", (F.row_number().over(Window.orderBy(F.col("count").desc(), F.col("word").asc())) + 1).cast("int"))
     special = df.sparkSession.createDataFrame([(PAD, 0, 0), (UNK, 0, 1)], "word string, count bigint, id int")
@@ -43,7 +44,7 @@ def encode_tokens(df: DataFrame, text: str, vocab: dict[str, int], max_len: int
         return tokens.map(lambda ws: [known.get(w, 1) for w in ws])
 
     found = ids(F.slice(words(F.coalesce(F.col(text), F.lit(""))), 1, max_len))
-    return df.withColumn("_ids", found).withColumn(
+    return spread(df).withColumn("_ids", found).withColumn(
         out, F.concat("_ids", F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_ids")))).drop("_ids")
 
 
@@ -61,24 +62,29 @@ def decode_tokens(df: DataFrame, ids: str, vocab: dict[str, int], out: str = "to
 
 # ---------------------------------------------------------------- n-gram weights
 
-def ngram_counts(df: DataFrame, doc: str, text: str) -> DataFrame:
-    grams = df.select(F.col(doc).alias("doc"), F.explode(unigrams_and_bigrams(F.col(text))).alias("gram"))
-    return grams.groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("tf"))
+def ngram_terms(df: DataFrame, text: str, n_docs: int, max_features: int = 8000, min_df: int = 2) -> DataFrame:
+    """The kept n-grams with their inverse document frequency; at most ``max_features`` rows.
 
-
-def ngram_terms(counts: DataFrame, n_docs: int, max_features: int = 8000, min_df: int = 2) -> DataFrame:
-    """The kept n-grams with their inverse document frequency; at most ``max_features`` rows."""
-    terms = counts.groupBy("gram").agg(F.sum("tf").alias("corpus_count"), F.count(F.lit(1)).alias("df"))
+    One shuffle by n-gram: a document emits its occurrences and, marked apart, its distinct n-grams, and both
+    counts combine on the map side. Nothing is grouped by document.
+    """
+    grams = df.select(unigrams_and_bigrams(F.col(text)).alias("g"))
+    marks = F.concat(F.transform("g", lambda w: F.struct(w.alias("gram"), F.lit(1).alias("cf"), F.lit(0).alias("df"))),
+                     F.transform(F.array_distinct("g"), lambda w: F.struct(w.alias("gram"), F.lit(0).alias("cf"), F.lit(1).alias("df"))))
+    terms = grams.select(F.inline(marks)).groupBy("gram").agg(F.sum("cf").alias("corpus_count"), F.sum("df").alias("df"))
     best = terms.filter(F.col("df") >= min_df).orderBy(F.col("corpus_count").desc(), F.col("gram").asc()).limit(max_features)
     return best.withColumn("idf", F.log((F.lit(1.0) + F.lit(n_docs)) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
 def ngram_tfidf(df: DataFrame, doc: str, text: str, max_features: int = 8000, min_df: int = 2) -> DataFrame:
-    """Long form (doc, gram, tf, weight), L2-normalised per document."""
-    n_docs = df.count()
-    counts = ngram_counts(df, doc, text)
-    terms = ngram_terms(counts, n_docs, max_features, min_df)
-    weighted = counts.join(F.broadcast(terms.select("gram", "idf")), "gram").withColumn("raw", F.col("tf") * F.col("idf"))
+    """Long form (doc, gram, tf, weight), L2-normalised per document.
+
+    The kept n-grams are found first and broadcast, so only their occurrences are grouped by document.
+    """
+    rows = spread(df.select(F.col(doc).alias("doc"), F.col(text).alias("text")))
+    terms = cut(ngram_terms(rows, "text", df.count(), max_features, min_df).select("gram", "idf"))
+    occurrences = rows.select("doc", F.explode(unigrams_and_bigrams(F.col("text"))).alias("gram")).join(F.broadcast(terms), "gram")
+    weighted = occurrences.groupBy("doc", "gram").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc")))  # at most max_features rows each
     return weighted.select("doc", "gram", "tf", (F.col("raw") / norm).alias("weight"))
 
@@ -96,10 +102,11 @@ class NgramVectors:
         return unigrams_and_bigrams(F.coalesce(F.col(text), F.lit("")))
 
     def fit(self, df: DataFrame, text: str) -> "NgramVectors":
-        base = df.select(self.grams(text).alias("_grams"))
+        base = keep(spread(df.select(text)).select(self.grams(text).alias("_grams")))
         self.counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=self.max_features, minDF=float(self.min_df)).fit(base)
         model = IDF(inputCol="_tf", outputCol="_x").fit(self.counter.transform(base))
         self.idf = [v + 1.0 for v in model.idf.toArray()]
+        base.unpersist()
         return self
 
     def transform(self, df: DataFrame, text: str, out: str = "features") -> DataFrame:

@@ -17,7 +17,7 @@ from ..models import cluster as clusters
 from ..models import series as ts
 from ..operators.features import label_classes, label_encode
 from ..operators.split import fold_count, kfold_assign, stratified_folds, train_test_split
-from ..session import keep
+from ..session import keep, spread
 
 BOARD_SCHEMA = "model string, family string, cv_mean_score double, cv_std double, test_score double, has_probability boolean, status string, error string"
 MIN_TEXT_ROWS, MIN_APPEND_ROWS, MIN_IMAGES = 16, 30, 20
@@ -36,7 +36,7 @@ class TrainingResult:
 
 def assemble(df: DataFrame, feature_columns: list[str], label, row_id: str) -> DataFrame:
     """(row_id, features, label) for training."""
-    ready = df.select(quoted(row_id).cast("string").alias("row_id"), label.cast("double").alias("label"), *[quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(feature_columns)])
+    ready = spread(df).select(quoted(row_id).cast("string").alias("row_id"), label.cast("double").alias("label"), *[quoted(c).cast("double").alias(f"f{i}") for i, c in enumerate(feature_columns)])
     out = VectorAssembler(inputCols=[f"f{i}" for i in range(len(feature_columns))], outputCol="features", handleInvalid="error").transform(ready)
     return out.select("row_id", "features", "label")
 
@@ -129,7 +129,7 @@ def train_text(df: DataFrame, text_columns: list[str], target: str, row_id: str,
     if complete.limit(MIN_TEXT_ROWS).count() < MIN_TEXT_ROWS:
         return None
     classes = label_classes(complete, target)
-    data = keep(complete.select(quoted(row_id).cast("string").alias("row_id"), joined_text(text_columns).alias("text"),
+    data = keep(spread(complete).select(quoted(row_id).cast("string").alias("row_id"), joined_text(text_columns).alias("text"),
                                 label_encode(target, classes).alias("label")))
     train, test = train_test_split(data, ["row_id"], seed)
     classical, sequence = bank or TEXT_CLASSIFIERS, [] if bank else TEXT_SEQUENCE

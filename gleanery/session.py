@@ -61,3 +61,17 @@ def cut(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Cache for reuse within one job chain; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out before heavy per-row work when the input is too small to be split by the scan.
+
+    A file with one row group is read by one task. Inputs larger than one scan split per core come in enough
+    partitions already and pass through, so this never shuffles a large table.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = 128 * 1024 * 1024
+    return df.repartition(cores) if size < cores * split else df
