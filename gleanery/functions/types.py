@@ -63,6 +63,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
+def distinct_key(name: str, dt: T.DataType):
+    """What to count distinct: long texts by their digest, so that whole texts do not travel through a shuffle."""
+    c = quoted(name)
+    return F.when(F.length(c) > 32, F.md5(c)).otherwise(c) if is_string(dt) else c
+
+
 def select_numeric(df: DataFrame) -> DataFrame:
     return df.select([quoted(c) for c in numeric_columns(df)])
 

@@ -109,7 +109,11 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.02, trees: int = TR
         return df.withColumn("is_anomaly", F.lit(0))
     df = spread(df)
     forest, size = fit_forest(df, columns, trees, sample, seed)
-    scored = keep(df.withColumn("anomaly_score", score_column(df, columns, forest, size)))
-    limit = exact_quantiles(scored, ["anomaly_score"], 1.0 - contamination)["anomaly_score"]
+    score = score_column(df, columns, forest, size)
+    # Only the scores are kept for the passes of the quantile; wide rows are scored again on their way out.
+    scores = keep(df.select(score.alias("anomaly_score")))
+    limit = exact_quantiles(scores, ["anomaly_score"], 1.0 - contamination)["anomaly_score"]
+    scores.unpersist()
+    scored = df.withColumn("anomaly_score", score)
     out = scored.withColumn("is_anomaly", (F.col("anomaly_score") > F.lit(limit)).cast("int"))
     return out if with_score else out.drop("anomaly_score")

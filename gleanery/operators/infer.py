@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import parse_date_text
 from ..functions.types import (
-    datetime_typed_columns, is_numeric, is_numeric_or_bool, is_string, numeric_columns, quoted, string_columns, to_long,
+    datetime_typed_columns, distinct_key, is_numeric, is_numeric_or_bool, is_string, numeric_columns, quoted, string_columns, to_long,
 )
 from .profile import flag_id_columns, profile_columns
 
@@ -51,7 +51,7 @@ def detect_text(df: DataFrame, target: str | None = None, strict: bool = False,
         n_words = F.when(F.length(trimmed) == 0, F.when(v.isNotNull(), 0)).otherwise(F.size(F.split(trimmed, " ")))
         exprs += [
             F.count(v).alias(f"n_values__{i}"), F.avg(F.length(v)).alias(f"avg_len__{i}"),
-            F.avg(F.when(v.isNotNull(), n_words)).alias(f"avg_words__{i}"), F.count_distinct(v).alias(f"n_unique__{i}"),
+            F.avg(F.when(v.isNotNull(), n_words)).alias(f"avg_words__{i}"), F.count_distinct(F.when(F.length(v) > 32, F.md5(v)).otherwise(v)).alias(f"n_unique__{i}"),
         ]
     row = df.agg(*exprs) if exprs else df.limit(0)
     out = to_long(row, names, {"n_values": "bigint", "avg_len": "double", "avg_words": "double", "n_unique": "bigint"})
@@ -118,7 +118,7 @@ def target_statistics(df: DataFrame, candidates: list[str] | None = None) -> Dat
     exprs = []
     for i, c in enumerate(present):
         whole = F.bool_and(quoted(c) == F.round(quoted(c))) if is_numeric(types[c]) else F.lit(types[c].typeName() == "boolean")
-        exprs += [F.count(quoted(c)).alias(f"n_values__{i}"), F.count_distinct(quoted(c)).alias(f"n_unique__{i}"),
+        exprs += [F.count(quoted(c)).alias(f"n_values__{i}"), F.count_distinct(distinct_key(c, types[c])).alias(f"n_unique__{i}"),
                   whole.alias(f"whole__{i}")]
     out = to_long(df.agg(*exprs), present, {"n_values": "bigint", "n_unique": "bigint", "whole": "boolean"})
     numeric = [c for c in present if is_numeric_or_bool(types[c])]

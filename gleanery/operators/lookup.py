@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
+
 BROADCAST_ROWS = 200_000
 HOT_SHARE = 256
 SPREAD = 1024
 
 
+def broadcast_if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Write a summary table, count it, and mark it for broadcast only when it is small."""
+    table = cut(table)
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def lookup_join(df: DataFrame, facts: DataFrame, key: str, weight: str, values: list[str],
                 n_facts: int, total: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add ``values`` from ``facts`` (unique on ``key``) to ``df``; no match gives NULL.

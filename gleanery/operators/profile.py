@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.types import is_numeric_or_bool, quoted, to_long
+from ..functions.types import distinct_key, is_numeric_or_bool, quoted, to_long
 
 ID_NAMES = ["id", "uuid", "index", "key"]
 
@@ -21,8 +21,8 @@ def profile_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     exprs = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(df.columns):
-        exprs += [F.count_if(quoted(c).isNull()).alias(f"missing_count__{i}"), distinct(quoted(c)).alias(f"unique_count__{i}")]
+    for i, f in enumerate(df.schema):
+        exprs += [F.count_if(quoted(f.name).isNull()).alias(f"missing_count__{i}"), distinct(distinct_key(f.name, f.dataType)).alias(f"unique_count__{i}")]
     row = df.agg(*exprs)
     types = dict(df.dtypes)
     wide = row.select("*", *[

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import bucket_of, row_token
 from ..functions.types import quoted
+from .lookup import broadcast_if_small
 from .position import with_position
 
 
@@ -41,16 +42,16 @@ def fold_count(n_models: int) -> int:
 def stratified_folds(df: DataFrame, target: str, keys: list[str], folds: int) -> DataFrame:
     """Deal the rows of each class to the folds in turn.
 
-    A class may hold a third of the table, so it is dealt in 256 hash ranges: a row's turn is the number of rows
-    in the ranges before it plus its rank in its own range.
+    A class may hold a third of the table, so it is dealt in 65536 hash ranges: a row's turn is the number of
+    rows in the ranges before it plus its rank in its own range.
     """
     token = row_token(keys)
     tie = F.concat_ws("|", *[quoted(k).cast("string") for k in keys])
-    marked = df.withColumn("_token", token).withColumn("_range", F.shiftright(F.col("_token"), 24)).withColumn("_tie", tie)
+    marked = df.withColumn("_token", token).withColumn("_range", F.shiftright(F.col("_token"), 16)).withColumn("_tie", tie)
     sizes = marked.groupBy(target, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(target).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(target).alias("_class"), F.col("_range").alias("_r"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = broadcast_if_small(sizes.select(
+        F.col(target).alias("_class"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
     rank = F.row_number().over(Window.partitionBy(target, "_range").orderBy("_token", "_tie"))
     ranked = marked.withColumn("_rank", rank)
     joined = ranked.join(offsets, F.col(target).eqNullSafe(F.col("_class")) & (F.col("_range") == F.col("_r")))

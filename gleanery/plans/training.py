@@ -78,6 +78,7 @@ def evaluate_bank(bank: list[Spec], train: DataFrame, test: DataFrame, problem_t
     ctx = context_of(marked, classes, seed, budget) if has_vector else Context(marked.count(), 0, classes, 1.0, 1.0, seed, budget)
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         found = list(pool.map(lambda s: _one(s, marked, test, ctx, problem_type, folds), bank))
+    marked.unpersist()
     rows = [r for r, _ in found]
     models = {r[0]: m for r, m in found if m is not None}
     return rows, models

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 _own_folder: dict[str, str] = {}
 
@@ -52,10 +52,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/gleanery/{label}-{uuid.uuid4().hex}"
 
 
+def _has_void(kind: T.DataType) -> bool:
+    parts = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [getattr(kind, n) for n in ("elementType", "keyType", "valueType") if hasattr(kind, n)]
+    return isinstance(kind, T.NullType) or any(_has_void(p) for p in parts)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result no longer depends on executors or on recomputed inputs."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from there.
+
+    The result no longer depends on executors or on recomputed inputs; being a columnar table, later steps read only
+    the columns they use and know its size. Schemas that Parquet cannot hold are checkpointed instead.
+    """
+    spark = df.sparkSession
+    if _has_void(df.schema):
+        shared_folder(spark)
+        return df.checkpoint(eager=True)
+    path = fresh_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def keep(df: DataFrame) -> DataFrame:
