@@ -269,11 +269,12 @@ _BASE = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", avg({c}) AS mean, stdde
 
 def _drifted(spark, sf):
     e = table(spark, sf, "events")
-    span = e.agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    marked = e.join(F.broadcast(span))
+    # Two moments come back and return as literals, so the range filters reach the scan.
+    span = e.agg(F.min("ts").cast("string").alias("first"), F.max("ts").cast("string").alias("last")).first()
     day = F.expr("INTERVAL 1 DAY")
-    train = marked.filter(F.col("ts") < F.col("first") + day * 20).select("event_id", "user_id", "value")
-    batch = marked.filter(F.col("ts") >= F.col("last") - day * 10).select("event_id", "user_id", (F.col("value") + 500).alias("value"))
+    moment = lambda text: F.lit(text).cast("timestamp_ntz")
+    train = e.filter(F.col("ts") < moment(span["first"]) + day * 20).select("event_id", "user_id", "value")
+    batch = e.filter(F.col("ts") >= moment(span["last"]) - day * 10).select("event_id", "user_id", (F.col("value") + 500).alias("value"))
     return train, batch
 
 

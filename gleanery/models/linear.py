@@ -20,7 +20,7 @@ def _solver(ctx: Context) -> str:
 
 def fit_logistic(df: DataFrame, ctx: Context, c: float = 1.0, max_iter: int = 2000) -> Fitted:
     """L2 logistic regression; strength C means a penalty of 1 / (C n) per row."""
-    return fit_spark(LogisticRegression(regParam=1.0 / (c * ctx.n), standardization=False, maxIter=ctx.scaled(max_iter, 20)), df)
+    return fit_spark(LogisticRegression(regParam=1.0 / (c * ctx.n), standardization=False, maxIter=ctx.scaled(max_iter, 20), tol=1e-5), df)
 
 
 def fit_least_squares(df: DataFrame, ctx: Context, l2: float = 0.0, l1: float = 0.0, max_iter: int = 5000) -> Fitted:

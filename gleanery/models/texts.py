@@ -63,11 +63,11 @@ def fit_ngram_model(df: DataFrame, ctx: Context, make, max_features: int = 8000)
 
 
 def _logistic(ready: DataFrame, ctx: Context) -> Fitted:
-    return fit_spark(LogisticRegression(regParam=1.0 / ctx.n, standardization=False, maxIter=ctx.scaled(2000, 20)), ready)
+    return fit_spark(LogisticRegression(regParam=1.0 / ctx.n, standardization=False, maxIter=ctx.scaled(2000, 20), tol=1e-5), ready)
 
 
 def _linear_svc(ready: DataFrame, ctx: Context) -> Fitted:
-    make = lambda: LinearSVC(regParam=1.0 / ctx.n, standardization=False, maxIter=ctx.scaled(200, 10))
+    make = lambda: LinearSVC(regParam=1.0 / ctx.n, standardization=False, maxIter=ctx.scaled(200, 10), tol=1e-5)
     return fit_spark(make(), ready) if ctx.classes <= 2 else fit_one_vs_rest(make, ready, ctx.classes, False)
 
 

@@ -34,13 +34,20 @@ def modes(df: DataFrame, columns: list[str] | None = None) -> dict[str, str | No
 
 
 def impute_median(df: DataFrame, columns: list[str] | None = None, fitted: dict | None = None) -> DataFrame:
-    """Numeric NULL becomes the exact median; a column without values stays NULL. Imputed columns become double."""
+    """Numeric NULL becomes the exact median; a column without values stays NULL.
+
+    Whole-number columns keep their type while the median is whole, and become double otherwise.
+    """
     names = columns if columns is not None else numeric_columns(df)
     values = fitted if fitted is not None else medians(df, names)
-    return df.select([
-        F.coalesce(quoted(c).cast("double"), F.lit(values.get(c)).cast("double")).alias(c) if c in names else quoted(c)
-        for c in df.columns
-    ])
+    types = dict(df.dtypes)
+
+    def filled(c):
+        whole = types[c] in ("tinyint", "smallint", "int", "bigint") and (values.get(c) is None or float(values[c]).is_integer())
+        kind = types[c] if whole else "double"
+        return F.coalesce(quoted(c).cast(kind), F.lit(values.get(c)).cast(kind))
+
+    return df.select([filled(c).alias(c) if c in names else quoted(c) for c in df.columns])
 
 
 def impute_mode(df: DataFrame, columns: list[str] | None = None, fitted: dict | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.types import numeric_columns, quoted
-from ..session import keep, spread
+from ..session import cut, keep, spread
 from .quantiles import exact_quantiles
 
 TREES, SAMPLE = 100, 256
@@ -50,20 +50,22 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
 def fit_forest(df: DataFrame, columns: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> tuple[list[dict], int]:
     """Grow each tree on its own bounded sample, in its own task.
 
-    The samples are drawn by hash. A large table gives one pool of ``trees * sample`` rows, dealt out
-    without overlap; a small one lets every tree draw from all rows.
+    Every row, copies included, has the same chance to be drawn. A large table gives one pool of ``trees * sample``
+    rows, dealt out without overlap; a small one lets every tree draw from all rows. The draw is written before
+    it is used, so all trees see one and the same sample.
     """
     n = df.count()
     x = F.array(*[F.coalesce(quoted(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x")
     rows = df.select(x)
     size = min(sample, n)
     if n >= trees * sample * 2:
-        pool = rows.withColumn("h", F.xxhash64("x", F.lit(seed))).orderBy("h", "x").limit(trees * sample)
-        dealt = pool.select("x", F.pmod(F.xxhash64("h", "x"), F.lit(trees)).cast("int").alias("tree"))
+        pool = rows.withColumn("u", F.rand(seed)).orderBy("u").limit(trees * sample)
+        dealt = pool.select("x", F.floor(F.rand(seed + 1) * trees).cast("int").alias("tree"))
     else:
         # At most 2 * trees * sample rows here, so trees times that many candidates stay bounded.
         every = rows.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        dealt = every.filter(F.pmod(F.xxhash64("x", "tree", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.5 * size / max(1, n))))
+        dealt = every.filter(F.rand(seed) < min(1.0, 1.5 * size / max(1, n)))
+    dealt = cut(dealt)
 
     def build(key, pdf):
         rng = np.random.default_rng(seed * 100_003 + int(key[0]))

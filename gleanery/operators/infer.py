@@ -8,7 +8,7 @@ from ..functions.dates import parse_date_text
 from ..functions.types import (
     datetime_typed_columns, distinct_key, is_numeric, is_numeric_or_bool, is_string, numeric_columns, quoted, string_columns, to_long,
 )
-from .profile import flag_id_columns, profile_columns
+from .profile import has_id_name
 
 IMAGE_SUFFIX = r"(?i)\.(jpg|jpeg|png|gif|bmp|webp|tiff|tif)$"
 ID_LIKE_NAMES = ["id", "uuid", "index", "key", "customer_id", "lead_id", "parentid"]
@@ -37,11 +37,10 @@ def detect_text(df: DataFrame, target: str | None = None, strict: bool = False,
     """Columns that hold free text, from lengths, word counts and distinct share of the stringified values.
 
     ``strict`` looks at string columns only and leaves out those in ``skip``, the identifiers and dates found before
-    (they are looked for when not given).
+    (they are looked for when not given), as well as single words that differ in every row.
     """
     if strict and skip is None:
-        ids = flag_id_columns(profile_columns(df.select([quoted(c) for c in string_columns(df)])))
-        skip = [r["column"] for r in ids.filter("is_id").collect()] + datetime_columns(df)
+        skip = [c for c in df.columns if has_id_name(c)] + datetime_columns(df)
     out_of_play = {target, *(skip or [])} if strict else {target}
     names = [f.name for f in df.schema if f.name not in out_of_play and (is_string(f.dataType) or not strict)]
     exprs = []
@@ -60,6 +59,8 @@ def detect_text(df: DataFrame, target: str | None = None, strict: bool = False,
         (F.col("avg_len") > 35) | ((F.col("avg_len") > 12) & (ratio > 0.3))
         | ((F.col("avg_len") > 8) & (F.col("n_unique") > 10)) | ((F.col("avg_words") >= 3) & (F.col("avg_len") > 15))
     )
+    if strict:
+        hit = hit & ~((F.col("n_unique") == F.col("n_values")) & (F.col("n_values") > 20) & (F.col("avg_words") < 2))
     return out.withColumn("is_text", F.coalesce((F.col("n_values") > 0) & hit, F.lit(False)))
 
 

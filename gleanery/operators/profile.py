@@ -82,6 +82,10 @@ def profile_summary(columns: DataFrame, unique_over: int = 50) -> DataFrame:
                        F.count_if(F.col("unique_count") > unique_over).alias("high_cardinality_columns"))
 
 
+def has_id_name(name: str) -> bool:
+    return name.lower() in ID_NAMES or name.lower().endswith("id")
+
+
 def flag_id_columns(columns: DataFrame) -> DataFrame:
     """Columns that look like row identifiers, by name or because every row differs."""
     name = F.lower(F.col("column"))

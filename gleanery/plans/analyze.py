@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import bucket_of
 from ..functions.types import nan_to_null, quoted
 from ..models.bank import Spec
+from ..models.texts import NgramFront, TextModel
 from ..operators import advisor, clean, explain, infer
 from ..operators.evaluate import accuracy, class_report, confusion, f1_weighted, forecast_scores, regression_scores
 from ..operators.features import Preprocessor
 from ..operators.iforest import detect_anomalies
 from ..operators.monitor import training_baseline
-from ..operators.profile import flag_id_columns, profile
+from ..operators.profile import has_id_name, profile
 from ..operators.usecases import get_use_case, resolve_target
 from ..session import cut, fresh_path, keep
 from ..sources.sinks import log_run, save_analysis, save_artifact, save_baseline
@@ -74,12 +77,31 @@ def explain_report(result: training.TrainingResult, problem_type: str, feature_c
             parts = [rows(scores, "metric", F.lit("test"), F.lit(m), F.col(m)) for m in ("r2", "mae", "rmse")]
         if result.kind == "tabular":
             parts.append(_importance(result, feature_columns, problem_type, rows, n))
+        elif isinstance(result.best, TextModel):
+            tokens = text_tokens(result.best, result.test, n)
+            if tokens is not None:
+                parts.append(rows(tokens, "text_tokens", F.lit("Linear saliency"), F.col("token"), F.col("score")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def text_tokens(model: TextModel, texts: DataFrame, n: int = 10) -> DataFrame | None:
+    """The n-grams that move a linear text model most: total weight over all texts times the largest coefficient.
+
+    Weights are never negative, so one vector sum over the texts replaces a row per text and n-gram.
+    """
+    part = model.inner.parts[0] if model.inner.parts else None
+    if not isinstance(model.front, NgramFront) or not (hasattr(part, "coefficientMatrix") or hasattr(part, "coefficients")):
+        return None
+    sums = model.front.transform(texts, "text").agg(Summarizer.metrics("sum").summary(F.col("features")).alias("s")).first()["s"]["sum"].toArray()
+    coefficients = np.abs(part.coefficientMatrix.toArray() if hasattr(part, "coefficientMatrix") else part.coefficients.toArray()[None, :]).max(axis=0)
+    scores = [(w, round(float(v), 4)) for w, v in zip(model.front.counter.vocabulary, sums * coefficients)]
+    table = texts.sparkSession.createDataFrame(scores, "token string, score double")
+    return table.filter("score > 0").orderBy(F.col("score").desc(), F.col("token")).limit(n)
+
+
 def _importance(result, names, problem_type, rows, n) -> DataFrame:
     model, spark = result.best, result.test.sparkSession
     part = model.parts[0] if model.kind == "spark" else None
@@ -98,6 +120,17 @@ def _importance(result, names, problem_type, rows, n) -> DataFrame:
     return rows(top, "importance", F.lit("Permutation importance"), F.col("feature"), F.col("importance"))
 
 
+def _better(tabular: training.TrainingResult | None, text: training.TrainingResult) -> training.TrainingResult:
+    """One leaderboard of both banks; the side whose model leads it is explained and staged."""
+    if tabular is None:
+        return text
+    board = training.leaderboard_union(tabular.leaderboard, text.leaderboard)
+    top = board.first()["model"]
+    chosen = text if top in text.models else tabular
+    chosen.leaderboard = board
+    return chosen
+
+
 def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | None = None, source: str = "table",
                  bank: list[Spec] | None = None, folds: int | None = None, budget: float = 1.0, id_columns: list[str] | None = None,
                  allow_continuous: bool = False, series: str | None = None, folder: str | None = None, trees: int = 100,
@@ -117,8 +150,8 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
     raw = nan_to_null(df)
     columns = cut(profile(raw))
     dates = infer.datetime_columns(raw, target)
-    found_ids = [r["column"] for r in flag_id_columns(columns).filter("is_id").collect()]
-    roles = cut(infer.modality_columns(raw, target, strict=True, skip=[*dates, *found_ids, *ids]))
+    named_ids = [c for c in raw.columns if has_id_name(c)]
+    roles = cut(infer.modality_columns(raw, target, strict=True, skip=[*dates, *named_ids, *ids]))
     modality = infer.roll_up_modality(roles).first()
     text_columns = [r["column"] for r in roles.filter("is_text").collect()]
 
@@ -156,23 +189,22 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
             names = [c for c in prep.feature_columns if c not in dummies]
             result = training.train_clusters(features, names, ROW_ID, seed=seed, **(cluster_options or {}))
         else:
-            known = cleaned.dropna(subset=[target]).drop(*[c for c in text_columns if c != target])
+            known_text = cleaned.dropna(subset=[target])
+            known = known_text.drop(*[c for c in text_columns if c != target])
             flagged = known.withColumn("_test", bucket_of([ROW_ID], 5, seed) == 0)
             train_rows, test_rows = flagged.filter("not _test").drop("_test"), flagged.filter("_test").drop("_test")
             train = prep.fit_transform(train_rows, target, dates, [ROW_ID], [ROW_ID])
             names = prep.feature_columns
             test = prep.transform(test_rows, [target, ROW_ID])
             both = train.select(target, ROW_ID, *[quoted(c) for c in names]).unionByName(test.select(target, ROW_ID, *[quoted(c) for c in names]))
-            result = training.train_tabular(cut(both), names, target, task, ROW_ID, use_case_id, bank, budget, folds, seed=seed)
+            # A table of ids and texts only has nothing for the tabular bank.
+            result = training.train_tabular(cut(both), names, target, task, ROW_ID, use_case_id, bank, budget, folds, seed=seed) if names else None
             if text_columns and task == "classification":
-                text = training.train_text(cleaned.dropna(subset=[target]), text_columns, target, ROW_ID, budget, seed=seed)
+                text = training.train_text(known_text, text_columns, target, ROW_ID, budget, seed=seed)
                 if text is not None:
-                    result.leaderboard = training.leaderboard_union(result.leaderboard, text.leaderboard)
-                    top = result.leaderboard.first()["model"]
-                    if top in text.models:
-                        text.leaderboard, result = result.leaderboard, text
-                        result.best_name = top
-                        result.best = result.models[top]
+                    result = _better(result, text)
+            if result is None:
+                raise ValueError("No column is left to learn from.")
 
     report = explain_report(result, task, names) if result.best is not None else spark.createDataFrame([], "section string, key string, name string, value double")
     artifact = None

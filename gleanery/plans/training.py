@@ -94,7 +94,8 @@ def rank_supervised(board: DataFrame) -> DataFrame:
 
 def leaderboard_proba_only(board: DataFrame) -> DataFrame:
     """With a business template only models that give probabilities stand, if there are any."""
-    any_proba = board.agg(F.coalesce(F.bool_or("has_probability"), F.lit(False)).alias("_any"))
+    trained = F.col("has_probability") & (F.col("status") == "ok") if "status" in board.columns else F.col("has_probability")
+    any_proba = board.agg(F.coalesce(F.bool_or(trained), F.lit(False)).alias("_any"))
     return board.join(F.broadcast(any_proba)).filter(F.col("has_probability") | ~F.col("_any")).drop("_any")
 
 
@@ -120,7 +121,10 @@ def train_tabular(features: DataFrame, feature_columns: list[str], target: str,
         eligible = [r for r in eligible if r[5]] or eligible
     place = 4 if select_by == "test" else 2
     best = min(eligible, key=lambda r: (-r[place], r[0]))[0] if eligible else None
-    return TrainingResult(leaderboard_frame(spark, rows), best, models.get(best), test, classes, models)
+    board = leaderboard_frame(spark, rows)
+    if use_case_id and problem_type == "classification":
+        board = rank_supervised(leaderboard_proba_only(board))
+    return TrainingResult(board, best, models.get(best), test, classes, models)
 
 
 def train_text(df: DataFrame, text_columns: list[str], target: str, row_id: str, budget: float = 1.0, folds: int = 3,

