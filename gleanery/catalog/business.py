@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..models.bank import FAMILIES, family_column
 from ..models.series import rank_models
@@ -147,7 +146,7 @@ def shap_linear(spark, sf):
     return ex.shap_importance(values, list(_COEFS)).withColumn("importance", F.round("importance", 6))
 
 
-@query("shap_aggregate", """SELECT feature, round(avg(v), 6) AS importance FROM (SELECT r, feature, avg(abs(v)) AS v FROM (
+@query("shap_aggregate", """SELECT feature, round(avg(v), 10) AS importance FROM (SELECT r, feature, avg(abs(v)) AS v FROM (
   SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS r, unnest(['quantity', 'discount', 'tax', 'quantity', 'discount', 'tax']) AS feature,
     unnest([l_quantity - 25, l_discount, -l_tax, 2 * l_quantity - 50, -l_discount * 3, l_tax * 2]) AS v FROM lineitem) GROUP BY r, feature) GROUP BY feature""")
 def shap_aggregate(spark, sf):
@@ -156,7 +155,7 @@ def shap_aggregate(spark, sf):
     cell = lambda c, f, v: F.struct(F.lit(c).alias("class"), F.lit(f).alias("feature"), v.alias("value"))
     cells = F.array(cell(0, "quantity", q - 25), cell(0, "discount", d), cell(0, "tax", -t), cell(1, "quantity", 2 * q - 50), cell(1, "discount", -d * 3), cell(1, "tax", t * 2))
     values = table(spark, sf, "lineitem").select(row.alias("row"), F.inline(cells))
-    return ex.shap_aggregate(values).withColumn("importance", F.round("importance", 6))
+    return ex.shap_aggregate(values).withColumn("importance", F.round("importance", 10))
 
 
 _VECTOR = "(SELECT label, unnest(embedding) AS v, 'e' || (unnest(range(1, 65)) - 1) AS feature FROM embeddings)"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket_of
 from ..operators import features as f
 from ..operators import split as sp
 from .registry import GAPS_SQL, LINE_KEYS, LINES_SQL, events_with_gaps, lines_with_key, query, table, token_sql

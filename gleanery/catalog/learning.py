@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_of
-from ..models import bank as banks
 from ..models import cluster as cl
 from ..models import series as ts
 from ..models.base import context_of
 from ..models.bank import CLASSIFIERS, REGRESSORS, TEXT_CLASSIFIERS, TEXT_SEQUENCE, spec
 from ..operators import explain as ex
 from ..operators import knn
-from ..operators.evaluate import silhouette
 from ..operators.features import Preprocessor
 from ..operators.split import train_test_split
 from ..plans import training
-from ..plans.analyze import explain_report as report_of
 from ..plans.analyze import run_analysis
 from ..plans.scoring import score_batch as score_with
 from ..session import fresh_path, keep, spread
 from ..sources import sinks
 from ..streaming import jobs
-from .registry import LINE_KEYS, LINES_SQL, lines_with_key, query, table, token_sql
+from .registry import LINE_KEYS, lines_with_key, query, table, token_sql
 
 BUDGET = 0.05
 
@@ -44,7 +43,7 @@ def _orders(spark, sf):
 
 
 def _binary(spark, sf):
-    """Is the order urgent or high? 15 features of nothing in particular: speed and shape are what is checked here."""
+    """Is the order urgent or high? The features say little about it: speed and shape are what is checked here."""
     o = _orders(spark, sf)
     return _frame(o, ORDER_FEATURES, F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "o_orderkey")
 
@@ -134,8 +133,6 @@ def clf_gaussian_nb(spark, sf):
     label = F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("l_returnflag")) - 1
     frame = keep(_frame(lines, names, label, "key"))
     model = spec(CLASSIFIERS, "gaussian_nb").train(frame, context_of(frame, 3)).parts[0]
-    import math
-
     rows = [(c, f, round(float(model.theta[c, i]), 4), round(float(model.sigma[c, i]), 3), round(math.exp(model.pi[c]), 6)) for c in range(3) for i, f in enumerate(names)]
     return spark.createDataFrame(rows, "class int, feature string, mean double, variance double, prior double")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import joined_text
 from ..functions.types import quoted
-from ..models.bank import CLASSIFIERS, REGRESSORS, TEXT_CLASSIFIERS, TEXT_SEQUENCE, Spec, bank_for
+from ..models.bank import TEXT_CLASSIFIERS, TEXT_SEQUENCE, Spec, bank_for
 from ..models.base import Context, context_of
 from ..models import cluster as clusters
 from ..models import series as ts

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.types import is_numeric_or_bool, numeric_columns, quoted
+from ..functions.types import is_numeric_or_bool, quoted
 from ..operators.monitor import with_drift
 from ..plans.scoring import score_frame
 

@@ -5,11 +5,9 @@ import zlib
 from datetime import datetime
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
 from gleanery.functions.dates import parse_date_text
 from gleanery.functions.hashing import bucket_of
 from gleanery.functions.types import nan_to_null
