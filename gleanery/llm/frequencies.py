@@ -1,0 +1,104 @@
+"""Token frequencies of documents, looked up without moving a row for every token of every document.
+
+Documents are read once, in chunks of a few megabytes of text. A chunk is one written row: its distinct tokens, and for each
+document which of them it holds how often. Only (chunk, token) pairs travel to be counted or joined; the values come back
+to the chunk, where every document sums its own. A token of all documents makes one row per chunk.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import fresh_path
+from .common import texts_of
+
+CHUNK_BYTES = 8 << 20
+_INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
+_CHUNK = pa.schema([("chunk", pa.string()), ("doc_id", _LONGS), ("n_bytes", _LONGS), ("starts", _INTS), ("item", _INTS), ("times", _INTS),
+                    ("words", pa.list_(pa.string()))])
+
+
+class _Numbered(dict):
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+class _Chunk:
+    def __init__(self):
+        self.words, self.ids, self.sizes, self.starts, self.items, self.times, self.bytes = _Numbered(), [], [], [0], [], [], 0
+
+    def add(self, doc_id, text: str, tokens: list[str]) -> None:
+        size = len(text.encode("utf-8", "surrogatepass"))
+        item, times = np.unique(np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens)), return_counts=True)
+        self.ids.append(doc_id), self.sizes.append(size), self.items.append(item), self.times.append(times.astype(np.int32))
+        self.starts.append(self.starts[-1] + len(item))
+        self.bytes += size
+
+    def row(self, name: str) -> pa.RecordBatch:
+        one = lambda values, kind: pa.array([values], kind)
+        return pa.record_batch([pa.array([name]), one(self.ids, _LONGS), one(self.sizes, _LONGS), one(self.starts, _INTS),
+                                one(np.concatenate(self.items), _INTS), one(np.concatenate(self.times), _INTS), one(list(self.words), _CHUNK[6].type)], schema=_CHUNK)
+
+
+def frequency_chunks(docs: DataFrame, tokens_of: Callable[[str], list[str]], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Written chunks of (doc_id, text); every input row is in exactly one, a null text as an empty one."""
+
+    def run(batches):
+        task, done, now = TaskContext.get().partitionId(), 0, _Chunk()
+        for part, texts in texts_of(batches):
+            for doc_id, text in zip(part.column(0).to_pylist(), texts):
+                now.add(doc_id, text or "", tokens_of(text or ""))
+                if now.bytes >= chunk_bytes or len(now.ids) >= 100_000:
+                    yield now.row(f"{task}-{done}")
+                    done, now = done + 1, _Chunk()
+        if now.ids:
+            yield now.row(f"{task}-{done}")
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        run, "chunk string, doc_id array<long>, n_bytes array<long>, starts array<int>, item array<int>, times array<int>, words array<string>")
+    path = fresh_path(docs.sparkSession, "chunks")
+    # Few chunks per file, so that a reader never holds many at once.
+    rows.write.option("maxRecordsPerFile", 4).parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def distinct_tokens(chunks: DataFrame) -> DataFrame:
+    """(chunk, item, word): the distinct tokens of every chunk."""
+    return chunks.select("chunk", F.posexplode("words").alias("item", "word"))
+
+
+def fold_documents(chunks: DataFrame, values: DataFrame, missing: float, fold: Callable, schema: str) -> DataFrame:
+    """One row per document: doc_id, n_bytes, and what ``fold`` makes of the value and frequency of its tokens.
+
+    ``values`` has (chunk, item, value); a token without one counts as ``missing``. ``fold(values, times, starts)`` gets
+    those of all documents of a chunk, one after the other, and returns one array per further column.
+    """
+    def run(left, right):
+        if not left.num_rows:
+            return pa.table([[] for _ in names], schema=out)
+        row = {c: left.column(c).combine_chunks()[0].values for c in ("doc_id", "n_bytes", "starts", "item", "times")}
+        item, starts = row["item"].to_numpy(zero_copy_only=False), row["starts"].to_numpy(zero_copy_only=False)
+        table = np.full(int(item.max()) + 1 if len(item) else 0, missing, np.float64)
+        at = right.column("item").to_numpy()
+        table[at] = right.column("value").to_numpy()
+        got = fold(table[item], row["times"].to_numpy(zero_copy_only=False), starts)
+        return pa.table([row["doc_id"], row["n_bytes"], *[pa.array(g, f.type) for g, f in zip(got, list(out)[2:])]], schema=out)
+
+    full = f"doc_id long, n_bytes long, {schema}"
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    out = pa.schema([(n, kinds[k]) for n, k in (p.split() for p in full.split(", "))])
+    names = out.names
+    found = values.select(F.col("chunk").alias("of"), "item", "value")
+    return chunks.drop("words").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(run, full)
+
+
+def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the stretches between consecutive starts; an empty stretch gives 0."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    return total[starts[1:]] - total[starts[:-1]]
