@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from operator import mul
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .frequencies import distinct_tokens, fold_documents, frequency_chunks, segment_sums
+from .common import texts_of
 
 _RUN = re.compile(" *[^ ]+| +")
 
@@ -34,35 +35,35 @@ def pre_tokens(text: str) -> list[str]:
     return [m[1:] for m in _RUN.findall(" " + text)]
 
 
-def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096) -> DataFrame:
+def count_tokens(docs: DataFrame, model: bytes, limit: int = 4096, memory: int = 500_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row for each input row, whole texts.
 
-    Counts are those of the sentencepiece library without added tokens. Null texts are empty and have no tokens; repeated
+    Counts are those of the sentencepiece library without added tokens. A task counts the pieces of each distinct
+    pre-token once, in a table of at most ``memory`` pre-tokens that starts anew when full, joins that to each document's
+    pre-token frequencies and sums; no ids are kept and nothing is shuffled. Null texts are empty and have no tokens; repeated
     rows each come back; an empty table gives an empty result; columns other than doc_id and text are not read. For a
     model whose pieces can cross words, a whole text is its own pre-token.
     """
     apart = words_are_separate(model)
 
-    def count(batches):
+    def run(batches):
         from sentencepiece import SentencePieceProcessor
 
         pieces = SentencePieceProcessor(model_proto=model)
-        lone = 1 if pieces.piece_to_id("▁") != pieces.unk_id() else 3
-        last, size = None, 0
-        for batch in batches:
-            words = batch.column(2).to_pylist()
-            fresh = [w for w, before in zip(words, [last, *words]) if w != before]
-            sizes = iter([len(ids) for ids in pieces.encode(fresh, num_threads=1)] if fresh else [])
-            out = np.empty(len(words), np.float64)
-            for i, word in enumerate(words):
-                if word != last:
-                    last, size = word, next(sizes)
-                    size = lone if apart and word == "" else size
-                out[i] = size
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out)], names=["chunk", "item", "value"])
-
-    chunks = frequency_chunks(docs, pre_tokens if apart else lambda text: [text] if text else [])
-    words = distinct_tokens(chunks).repartition("word").sortWithinPartitions("word")
-    counts = words.mapInArrow(count, "chunk string, item int, value double")
-    summed = fold_documents(chunks, counts, 0.0, lambda value, times, starts: [segment_sums((value * times).astype(np.int64), starts)], "n_tokens long")
-    return summed.withColumn("over_limit", F.col("n_tokens") > limit)
+        # A lone mark, the empty string here, is a piece or its three bytes.
+        lone = {"": 1 if pieces.piece_to_id("▁") != pieces.unk_id() else 3}
+        counted = dict(lone)
+        for part, texts in texts_of(batches, rows=256):
+            frequencies = [Counter(pre_tokens(t or "") if apart else [t] if t else []) for t in texts]
+            fresh = list(set().union(*frequencies).difference(counted))
+            if len(counted) + len(fresh) > memory:
+                counted = dict(lone)
+                fresh = list(set().union(*frequencies).difference(counted))
+            if fresh:
+                counted.update(zip(fresh, map(len, pieces.encode(fresh, num_threads=1))))
+            sums = [sum(map(mul, map(counted.__getitem__, own), own.values())) for own in frequencies]
+            sizes = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
