@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
 from .common import arrow_batch, small, texts_of
-from .frequencies import distinct_tokens, fold_documents, frequency_chunks
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -20,9 +19,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Scoring:
     """``hinge``: how many nats above a text's usual log-likelihood ratio a word must lie to speak for a class; ``sample``: labelled rows
-    that the calibration may hold."""
+    that the calibration may hold; ``share``: part of the labelled texts that must hold a word for it to count by class."""
 
     hinge: float = 2.0
+    share: float = 0.0005
     sample: int = 20_000
 
 
@@ -73,46 +73,76 @@ def _discounts(singles: int, twos: int, threes: int, fours: int) -> tuple[float,
 
 @dataclass
 class Ratios:
-    """Log-likelihood ratio of each word, and of a word that neither class has seen."""
+    """Log-likelihood ratio of each common word, and of all others."""
 
-    table: DataFrame
-    unseen: float
+    values: dict[str, float]
+    rare: float
 
 
-def fit_ratios(counts: DataFrame) -> Ratios | None:
+def fit_ratios(counts: DataFrame, documents: int, share: float) -> Ratios | None:
     """log p(word | toxic) - log p(word | ordinary), each class discounted and topped up from the shared distribution.
-    None unless both classes have words."""
+
+    A word found in fewer than two of the ``documents`` labelled ones, or in less than ``share`` of them, is rare: both
+    classes leave it to the shared distribution, so that it says the same about either class whatever it is. The other
+    words number at most the mean count of distinct words in a text divided by ``share``, however large the corpus. None
+    unless both classes have words.
+    """
+    least = max(2, math.ceil(share * documents))
+    common = F.col("contexts") >= least
     totals = counts.agg(
         F.sum("contexts").alias("contexts"), F.count(F.lit(1)).alias("words"),
-        *[a for c in ("toxic_n", "plain_n") for a in (F.sum(c).alias(c), *[F.count_if(F.col(c) == k).alias(f"{c}{k}") for k in (1, 2, 3, 4)],
-                                                       F.count_if(F.col(c) >= 3).alias(f"{c}_more"))]).first()
+        *[a for c in ("toxic_n", "plain_n") for a in (
+            F.sum(c).alias(c), *[F.count_if(F.col(c) == k).alias(f"{c}{k}") for k in (1, 2, 3, 4)],
+            *[F.sum(F.when(common & test, 1).otherwise(0)).alias(f"{c}_{name}") for name, test in (("one", F.col(c) == 1), ("two", F.col(c) == 2), ("more", F.col(c) >= 3))],
+            F.sum(F.when(common, 0).otherwise(F.col(c))).alias(f"{c}_rare"))]).first()
     if not totals["toxic_n"] or not totals["plain_n"]:
         return None
     shared = (F.col("contexts") + 0.5) / (totals["contexts"] + 0.5 * (totals["words"] + 1))
 
     def model(c: str) -> tuple[Column, float]:
         d = _discounts(*[totals[f"{c}{k}"] for k in (1, 2, 3, 4)])
-        left = (d[0] * totals[f"{c}1"] + d[1] * totals[f"{c}2"] + d[2] * totals[f"{c}_more"]) / totals[c]
+        left = (d[0] * totals[f"{c}_one"] + d[1] * totals[f"{c}_two"] + d[2] * totals[f"{c}_more"] + totals[f"{c}_rare"]) / totals[c]
         off = F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
         return (F.col(c) - off) / totals[c] + left * shared, left
 
     (toxic, toxic_left), (plain, plain_left) = model("toxic_n"), model("plain_n")
-    return Ratios(counts.select("word", F.log(toxic / plain).alias("value")), math.log(toxic_left / plain_left))
+    rows = counts.filter(common).select("word", F.log(toxic / plain).alias("value")).toArrow()
+    return Ratios(dict(zip(rows["word"].to_pylist(), rows["value"].to_pylist())), math.log(toxic_left / plain_left))
+
+
+class _Lookup(dict):
+    def __init__(self, ratios: Ratios):
+        super().__init__(ratios.values)
+        self.rare = ratios.rare
 
+    def __missing__(self, word: str) -> float:
+        return self.rare
 
-def evidence(values: np.ndarray, times: np.ndarray, starts: np.ndarray, hinge: float) -> np.ndarray:
-    """Per text: the ratios above its median by more than ``hinge``, summed and divided by the root of its length.
 
-    The median takes out what a text's language and topic alone say about the class."""
-    out = np.zeros(len(starts) - 1)
-    for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-        if b > a:
-            order = np.argsort(values[a:b], kind="stable")
-            v, n = values[a:b][order], times[a:b][order]
-            run = np.cumsum(n)
-            middle = v[np.searchsorted(run, (run[-1] + 1) // 2)]
-            out[i] = float(np.dot(np.maximum(v - middle - hinge, 0.0), n)) / math.sqrt(run[-1])
-    return out
+def evidence(values: np.ndarray, hinge: float) -> float:
+    """The ratios above a text's median by more than ``hinge``, summed and divided by the root of its length.
+
+    The median takes out what the language and topic of a text alone say about the class."""
+    if not len(values):
+        return 0.0
+    middle = np.partition(values, len(values) // 2)[len(values) // 2]
+    return float(np.maximum(values - middle - hinge, 0.0).sum()) / math.sqrt(len(values))
+
+
+def evidence_of(docs: DataFrame, ratios: Ratios | None, hinge: float) -> DataFrame:
+    """(doc_id, evidence) of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+
+    def run(batches):
+        table = _Lookup(sent.value) if sent.value else None
+        for part, texts in texts_of(batches):
+            got = []
+            for text in texts:
+                words = expressions(text or "") if table else []
+                got.append(evidence(np.fromiter(map(table.__getitem__, words), np.float64, len(words)), hinge) if words else 0.0)
+            yield pa.record_batch([part.column(0), pa.array(got, pa.float64())], names=["doc_id", "evidence"])
+
+    return docs.mapInArrow(run, "doc_id long, evidence double")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -144,19 +174,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, calibrate:
     marks = cut(marks.withColumn("fold", fold).filter("fold <> 0"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     learn = rows.join(small(marks.filter(F.col("fold") != calibrate).select("doc_id", "toxic")), "doc_id").select("text", "toxic")
-    ratios = fit_ratios(cut(class_counts(learn)))
-    chunks = frequency_chunks(rows, expressions)
-    words = distinct_tokens(chunks)
-    unseen = ratios.unseen if ratios else 0.0
-    values = words.join(ratios.table, "word").select("chunk", "item", "value") if ratios else words.filter("false").select("chunk", "item", F.lit(0.0).alias("value"))
-    hinge = how.hinge
-
-    def fold_up(value, times, starts):
-        return [evidence(value, times, starts, hinge)]
-
-    measured = cut(fold_documents(chunks, values, unseen, fold_up, "evidence double").select("doc_id", "evidence"))
-    # A bounded sample by hash: one row per bucket.
+    counts = cut(class_counts(learn))
+    ratios = fit_ratios(counts, marks.filter(F.col("fold") != calibrate).count(), how.share)
+    measured = cut(evidence_of(rows, ratios, how.hinge))
     held = measured.join(small(marks.filter(F.col("fold") == calibrate).select("doc_id", "toxic")), "doc_id")
+    # A bounded sample by hash: one row per bucket.
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(how.sample))
     got = held.groupBy(bucket.alias("b")).agg(F.min(F.struct("doc_id", "evidence", "toxic")).alias("r")).select("r.evidence", "r.toxic").collect()
     base, slope = _logistic(np.array([r["evidence"] for r in got], float), np.array([r["toxic"] for r in got], float))
