@@ -55,21 +55,25 @@ def _shape(word: str) -> str:
     return "".join(out[:12])
 
 
+#: Words of letters and sentence marks only; nearly all words of a text are.
+PLAIN = re.compile(rb"[A-Za-z\x80-\xff.,!?;]+")
+
+
 def word_features(word: str) -> list[str]:
     """What a word shows of itself, whatever its neighbours."""
+    if PLAIN.fullmatch(word.encode("utf-8", "surrogatepass")):
+        return ["plain", f"w{word.lower().rstrip('.,!?;')[:12]}"]
     core = VALUE.search(word)
     value = core.group() if core else ""
-    letters = re.sub(r"[^a-z_]", "", word.lower())
     digits = sum(c.isdigit() for c in value)
-    out = [f"n{min(len(value) // 4, 10)}", f"d{min(4, 5 * digits // max(1, len(value)))}"]
+    out = [f"n{min(len(value) // 4, 10)}", f"d{min(4, 5 * digits // max(1, len(value)))}", f"s{_shape(word)[:4]}"]
     if value:
         turns = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))
         out += [f"t{min(turns // 2, 5)}", f"u{min(len(set(value)) // 4, 6)}", "hex" if re.fullmatch("[0-9a-fA-F]+", value) else "nohex"]
         out.append("mixed" if any(c.isupper() for c in value) and any(c.islower() for c in value) else "one")
     else:
-        out.append(f"w{letters[:10]}" if len(letters) >= 2 else f"s{_shape(word)}")
-    if len(word) <= 40:
-        out.append(f"s{_shape(word)[:4]}")
+        letters = re.sub(r"[^a-z_]", "", word.lower())
+        out.append(f"w{letters[:12]}" if len(letters) >= 2 else f"s{_shape(word)}")
     out.append(f"l{word[-1:]}" if word[-1:] in ":=\"'" else "l")
     return out
 
@@ -212,53 +216,58 @@ def fit_field(docs: DataFrame, sample: int = 300) -> Field | None:
     return train(sequences)
 
 
-class Scanner:
-    """Tags whole texts. Words are looked up once; a text is decoded only where some path could beat all-outside."""
+class _Rows(dict):
+    """Row of each word in the scanner's tables, remembered up to a bound; words alike in all features share a row."""
 
-    def __init__(self, field: Field | None, bound: int = 200_000):
-        self.field, self.bound = field, bound
-        self.number: dict[bytes, int] = {}
-        self.own, self.to_next, self.to_previous, self.digit = [], [], [], []
+    def __init__(self, field: Field, bound: int):
+        super().__init__()
+        self.field, self.bound, self.row_of, self.scores = field, bound, {}, []
 
-    def _add(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.bound:
+            self.clear()
         text = word.decode("utf-8", "replace")
-        names = word_features(text)
-        self.own.append(self.field.score(names))
-        self.to_next.append(self.field.score([f"-{n}" for n in names]))
-        self.to_previous.append(self.field.score([f"+{n}" for n in names]))
-        self.digit.append(any(c.isdigit() for c in text))
-        self.number[word] = len(self.own) - 1
-        return self.number[word]
+        names = [n for n in word_features(text) if any(side + n in self.field.weights for side in ("", "-", "+"))]
+        key = (*names, any(c.isdigit() for c in text))
+        if key not in self.row_of:
+            self.row_of[key] = len(self.scores)
+            self.scores.append(np.concatenate([*(self.field.score([side + n for n in names]) for side in ("", "-", "+")), [float(key[-1])]]))
+        row = self[word] = self.row_of[key]
+        return row
+
+
+class Scanner:
+    """Tags whole texts. Words are looked up once; a text is decoded only where some path could beat all-outside."""
+
+    def __init__(self, field: Field | None, bound: int = 500_000):
+        self.field = field
+        if field is not None:
+            self.rows, self.table = _Rows(field, bound), np.zeros((0, 10))
+            self.whole = [field.score(["bias", f"f{i}"]) for i in range(4)]
+            self.first, self.last = field.score(["-start"]), field.score(["+end"])
 
     def tags(self, words: list[bytes]) -> np.ndarray | None:
         """Best tags, or None if all are outside."""
-        if len(self.number) > self.bound:
-            self.number.clear()
-            self.own, self.to_next, self.to_previous, self.digit = [], [], [], []
-            self.table = None
-        number = self.number
-        ids = [number[w] if w in number else self._add(w) for w in words]
-        if getattr(self, "table", None) is None or len(self.table[0]) < len(self.own):
-            known = 0 if getattr(self, "table", None) is None else len(self.table[0])
-            fresh = [np.array(x[known:]) for x in (self.own, self.to_next, self.to_previous, self.digit)]
-            self.table = fresh if not known else [np.concatenate([a, b]) for a, b in zip(self.table, fresh)]
-        own, to_next, to_previous, digit = self.table
-        ids = np.array(ids)
-        share = digit[ids].mean()
-        emission = own[ids] + self.field.score(["bias", f"f{sum(share >= s for s in (1e-9, 0.02, 0.2))}"])
-        emission[1:] += to_next[ids[:-1]]
-        emission[:-1] += to_previous[ids[1:]]
-        emission[0] += self.field.score(["-start"])
-        emission[-1] += self.field.score(["+end"])
+        ids = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        if len(self.table) < len(self.rows.scores):
+            self.table = np.array(self.rows.scores)
+        got = self.table[ids]
+        share = got[:, 9].mean()
+        emission = got[:, :3] + self.whole[sum(share >= s for s in (1e-9, 0.02, 0.2))]
+        emission[1:] += got[:-1, 3:6]
+        emission[:-1] += got[1:, 6:9]
+        emission[0] += self.first
+        emission[-1] += self.last
         moves = self.field.moves
-        # A stretch of tags other than outside gains at most its beginning plus whatever may help inside it.
-        loss = max(0.0, *(moves[B:, :].max(axis=0) - 0).tolist()) + max(0.0, moves[O, B]) + 2 * abs(moves[O, O])
-        begin = emission[:, B] - emission[:, O] + loss
-        inside = np.maximum(emission[:, I] - emission[:, O] + loss, 0.0)
+        # No move gains more than this over staying outside, so a stretch of other tags gains at most what its
+        # beginning does plus whatever may help inside it.
+        most = max(0.0, float(moves.max()) - float(moves[O, O]))
+        begin = emission[:, B] - emission[:, O] + 2 * most
+        inside = np.maximum(emission[:, I] - emission[:, O] + most, 0.0)
         if (begin + inside.sum() - inside).max() <= 0:
             return None
-        got = self.field.viterbi(emission)
-        return got if got.any() else None
+        tags = self.field.viterbi(emission)
+        return tags if tags.any() else None
 
 
 def scan_text(text: str, scanner: Scanner) -> tuple[list, list]:
