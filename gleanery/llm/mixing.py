@@ -118,7 +118,6 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5) ->
     known = rows.alias("r").join(F.broadcast(per_source).alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select(
         *[F.col(f"r.`{c}`") for c in rows.columns], "_source_no", "source_size", "target", F.floor("_rate").cast("int").alias("copies"),
         (F.col("_rate") - F.floor("_rate")).alias("_open"), F.xxhash64("r.doc_id", F.lit(seed)).alias("_order"))
-    names = known.columns
     decided, open_rows, left = [], known, {r["source"]: r["n"] for r in sums}
     level, number = 0, {s: i for i, s, *_ in facts}
     while left:
@@ -136,7 +135,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 5) ->
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)
-    return out.withColumn("copies", F.col("copies") + F.col("_open").cast("int")).select(*[c for c in names if not c.startswith("_")])
+    return out.withColumn("copies", F.col("copies") + F.col("_open").cast("int")).drop("_source_no", "_open", "_order")
 
 
 def sized(docs: DataFrame, *more: str) -> DataFrame:
