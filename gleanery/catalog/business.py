@@ -80,7 +80,7 @@ def eval_forecast(spark, sf):
   m AS (SELECT vec_id, own, max(CASE WHEN other = own THEN total / nullif(n - 1, 0) END) AS a, min(CASE WHEN other <> own THEN total / n END) AS b FROM d JOIN s ON s.label = d.other GROUP BY vec_id, own)
   SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette, 'euclidean' AS metric FROM m""")
 def eval_silhouette(spark, sf):
-    return ev.silhouette(table(spark, sf, "embeddings"), "embedding", "label")
+    return ev.silhouette(table(spark, sf, "embeddings"), "embedding", "label", metric="euclidean")
 
 
 # ---------------------------------------------------------------- leaderboards over runs derived from orders

@@ -103,7 +103,7 @@ def impute_knn(spark, sf):
 @query("detect_anomalies")
 def detect_anomalies(spark, sf):
     lines = table(spark, sf, "lineitem").withColumn("l_quantity", F.when(F.col("l_orderkey") % 997 == 0, F.col("l_quantity") * 1000).otherwise(F.col("l_quantity")))
-    out = flag_anomalies(lines, trees=50)
+    out = flag_anomalies(lines)
     return out.groupBy((F.col("l_orderkey") % 997 == 0).alias("planted")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_anomaly").alias("flagged"))
 
 

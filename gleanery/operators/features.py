@@ -93,9 +93,11 @@ def _smoothed(n: Column, s: Column, ss: Column, gn: Column, gs: Column, gss: Col
     return F.when(weight.isNull(), overall).otherwise(weight * mean + (1 - weight) * overall)
 
 
-def class_values(df: DataFrame, target: str, limit: int = 50) -> list[str]:
-    """Sorted distinct target values as text; the caller has checked that there are few."""
+def class_values(df: DataFrame, target: str, limit: int = 10_000) -> list[str]:
+    """Sorted distinct target values as text. More than ``limit`` of them is an error, not a truncation."""
     rows = df.filter(quoted(target).isNotNull()).select(quoted(target).cast("string").alias("v")).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{target} has more than {limit} classes")
     return sorted(r["v"] for r in rows)
 
 
@@ -180,10 +182,7 @@ def target_encode_oof(df: DataFrame, column: str, target: str, classes: list[str
 
 def label_classes(df: DataFrame, target: str, limit: int = 10_000) -> list[str]:
     """Stringified classes in text order. More than ``limit`` classes is an error, not a truncation."""
-    found = class_values(df, target, limit)
-    if len(found) > limit:
-        raise ValueError(f"{target} has more than {limit} classes")
-    return found
+    return class_values(df, target, limit)
 
 
 def label_encode(target: str, classes: list[str]) -> Column:

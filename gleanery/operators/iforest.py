@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.types import numeric_columns, quoted
-from ..session import cut, keep, spread
+from ..session import cut, spread
 from .quantiles import exact_quantiles
 
 TREES, SAMPLE = 100, 256
@@ -111,11 +111,8 @@ def detect_anomalies(df: DataFrame, contamination: float = 0.02, trees: int = TR
         return df.withColumn("is_anomaly", F.lit(0))
     df = spread(df)
     forest, size = fit_forest(df, columns, trees, sample, seed)
-    score = score_column(df, columns, forest, size)
-    # Only the scores are kept for the passes of the quantile; wide rows are scored again on their way out.
-    scores = keep(df.select(score.alias("anomaly_score")))
-    limit = exact_quantiles(scores, ["anomaly_score"], 1.0 - contamination)["anomaly_score"]
-    scores.unpersist()
-    scored = df.withColumn("anomaly_score", score)
+    # Written once: rows walk the trees a single time, for the quantile and for the output.
+    scored = cut(df.withColumn("anomaly_score", score_column(df, columns, forest, size)))
+    limit = exact_quantiles(scored.select("anomaly_score"), ["anomaly_score"], 1.0 - contamination)["anomaly_score"]
     out = scored.withColumn("is_anomaly", (F.col("anomaly_score") > F.lit(limit)).cast("int"))
     return out if with_score else out.drop("anomaly_score")

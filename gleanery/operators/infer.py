@@ -11,6 +11,7 @@ from ..functions.types import (
 from .profile import has_id_name
 
 IMAGE_SUFFIX = r"(?i)\.(jpg|jpeg|png|gif|bmp|webp|tiff|tif)$"
+# Fixed value.
 ID_LIKE_NAMES = ["id", "uuid", "index", "key", "customer_id", "lead_id", "parentid"]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.types import distinct_key, is_numeric_or_bool, quoted, to_long
 
+# Fixed value.
 ID_NAMES = ["id", "uuid", "index", "key"]
 
 

@@ -157,8 +157,9 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
 
     # Cleaning. Deduplication is the one shuffle of whole rows, so its result is written once and read from there.
     cleaned = clean.impute_auto(cut(clean.dedupe_rows(raw)))
-    cleaned = clean.drop_id_columns(detect_anomalies(cleaned, trees=trees), ids)
-    cleaned = cut(row_identity(cleaned))
+    # Rows are told apart while their ids are still there; two customers may be alike in all else.
+    cleaned = row_identity(detect_anomalies(cleaned, trees=trees))
+    cleaned = cut(clean.drop_id_columns(cleaned, [i for i in ids if i != ROW_ID]))
 
     status, leakage = None, []
     if target:

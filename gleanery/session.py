@@ -9,6 +9,9 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+#: A table above this size is never dealt out anew.
+SPREAD_BYTES = 16 << 30
+
 _own_folder: dict[str, str] = {}
 
 
@@ -81,11 +84,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows out before heavy per-row work when the input is too small to be split by the scan.
 
     A file with one row group is read by one task. Inputs larger than one scan split per core come in enough
-    partitions already and pass through, so this never shuffles a large table.
+    partitions already and pass through, and so does anything above ``SPREAD_BYTES``, however many cores there are.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     split = 128 * 1024 * 1024
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(cores) if size < min(cores * split, SPREAD_BYTES) else df

@@ -14,7 +14,8 @@ from gleanery.models.base import Context, Fitted, context_of
 from gleanery.models.linear import fit_least_squares, fit_linear_svc, fit_linear_svr
 from gleanery.models.texts import TextModel
 from gleanery.operators import explain as ex
-from gleanery.operators.evaluate import silhouette
+from gleanery.operators.evaluate import silhouette, silhouette_rows
+from gleanery.operators.features import class_values
 from gleanery.operators.iforest import detect_anomalies
 from gleanery.plans import training
 from gleanery.session import fresh_path
@@ -343,10 +344,18 @@ def test_silhouette_both_ways(spark):
         a = d[i][(y == y[i])].sum() / ((y == y[i]).sum() - 1)
         b = min(d[i][y == c].mean() for c in range(3) if c != y[i])
         s.append((b - a) / max(a, b))
-    exact = silhouette(df, "x", "cluster").first()
+    exact = silhouette(df, "x", "cluster", metric="euclidean").first()
     assert exact["metric"] == "euclidean" and exact["silhouette"] == round(np.mean(s), 4)
-    beyond = silhouette(df, "x", "cluster", exact_cells=10).first()
-    assert beyond["metric"] == "squared_euclidean" and beyond["silhouette"] > 0.8
+    assert silhouette_rows(df, "x", "cluster", 90, block=20).agg({"silhouette": "avg"}).first()[0] == pytest.approx(np.mean(s))
+    squared = silhouette(df, "x", "cluster").first()
+    assert squared["metric"] == "squared_euclidean" and squared["silhouette"] > 0.8
+
+
+def test_many_classes_are_all_found_or_refused(spark):
+    df = spark.range(120).selectExpr("concat('c', id % 60) AS y")
+    assert len(class_values(df, "y")) == 60
+    with pytest.raises(ValueError):
+        class_values(df, "y", 59)
 
 
 def test_selection_rules(spark):
