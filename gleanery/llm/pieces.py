@@ -9,7 +9,9 @@ probabilities every pair is allowed, and the shortest path in the tropical semir
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,83 +36,119 @@ class Transducer:
     trie: dict = field(default_factory=dict)
     longest: int = 1
     pairs: dict = field(default_factory=dict)
-    whole: dict = field(default_factory=dict)
+    built: dict = field(default_factory=dict)
 
     def normalise(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
-    def _merged(self, symbols: list[str]) -> list[str]:
-        """Merge the neighbours of highest weight, the leftmost first, until none make a piece."""
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                w = self.weight.get(symbols[i] + symbols[i + 1])
-                if w is not None and (best is None or w > best):
-                    best, at = w, i
-            if best is None:
-                break
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
-
-    def _reachable(self, piece: str) -> bool:
-        if piece not in self.whole:
-            self.whole[piece] = len(piece) == 1 or self._merged(list(piece)) == [piece]
-        return self.whole[piece]
+    def _history(self, piece: str) -> list[tuple[float, str, str]] | None:
+        """How merging builds a piece alone: before each merge its weight, the first and the last symbol; at the end minus
+        infinity and the piece twice. None if merging ends with something else."""
+        if piece not in self.built:
+            symbols, steps = list(piece), []
+            while len(symbols) > 1:
+                weights = [self.weight.get(x + y, -math.inf) for x, y in zip(symbols, symbols[1:])]
+                best = max(weights)
+                if best == -math.inf:
+                    break
+                steps.append((best, symbols[0], symbols[-1]))
+                at = weights.index(best)
+                symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            self.built[piece] = [*steps, (-math.inf, piece, piece)] if len(symbols) == 1 else None
+        return self.built[piece]
 
     def _beside(self, left: str, right: str) -> bool:
+        """Whether merging the characters of both gives back the two: at no time may the merge across the boundary be the
+        next one. Of equal weights, the leftmost goes first."""
         key = (left, right)
-        if key not in self.pairs:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            self.pairs[key] = self._merged(list(left + right)) == [left, right]
-        return self.pairs[key]
+        known = self.pairs.get(key)
+        if known is not None:
+            return known
+        if len(self.pairs) > 500_000:
+            self.pairs.clear()
+        one, two, i, j, fits = self._history(left), self._history(right), 0, 0, True
+        while True:
+            (a, _, last), (b, first, _) = one[i], two[j]
+            across = self.weight.get(last + first, -math.inf)
+            if across > a and across >= b and across > -math.inf:
+                fits = False
+                break
+            if a == b == -math.inf:
+                break
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+        self.pairs[key] = fits
+        return fits
 
     def arcs(self, text: str, start: int) -> list[str]:
-        """Pieces that begin here; a character without a piece of its own is an arc to its bytes."""
+        """Pieces that begin here, the longest last; a character without a piece of its own is an arc to its bytes."""
         node, out = self.trie, []
         for end in range(start, min(len(text), start + self.longest)):
             node = node.get(text[end])
             if node is None:
                 break
             if "" in node:
-                out.append(text[start:end + 1])
-        if text[start] not in out:
-            out.append(text[start])
-        return [p for p in out if self._reachable(p)] if self.merges else out
+                out.append(node[""])
+        if not out or len(out[0]) > 1:
+            out.insert(0, text[start])
+        return [p for p in out if self._history(p)] if self.merges else out
+
+    def _only_path(self, text: str) -> list[str]:
+        """The one accepted path of a model of merges, depth first; states without a way on are remembered."""
+        path, options, at, dead = [], [self.arcs(text, 0)], 0, set()
+        while at < len(text):
+            if options[-1]:
+                piece = options[-1].pop()
+                end = at + len(piece)
+                if (end, piece) in dead or path and not self._beside(path[-1], piece):
+                    continue
+                path.append(piece)
+                at = end
+                if at < len(text):
+                    options.append(self.arcs(text, at))
+            else:
+                options.pop()
+                last = path.pop()
+                dead.add((at, last))
+                at -= len(last)
+        return path
 
     def best_path(self, text: str) -> list[str]:
-        """The pieces of the shortest path through the machine composed with the text."""
+        """The pieces of the shortest path through the machine composed with the text.
+
+        The pair acceptor of a model of merges leaves a single path, which is then the shortest; otherwise the smallest
+        sum of negative log probabilities decides, the longer last piece among equals.
+        """
         if not text:
             return []
-        cost: list[dict] = [{} for _ in range(len(text) + 1)]
-        cost[0][None] = (0.0, None, None)
+        if self.merges:
+            return self._only_path(text)
+        cost, back = [0.0] + [math.inf] * len(text), [0] * (len(text) + 1)
         for at in range(len(text)):
-            if not cost[at]:
-                continue
             for piece in self.arcs(text, at):
-                price = 1.0 if self.merges else -self.weight.get(piece, self.unknown)
-                here = None
-                for last, (total, _, _) in cost[at].items():
-                    if (not self.merges or last is None or self._beside(last, piece)) and (here is None or total + price < here[0]):
-                        here = (total + price, at, last)
-                if here is not None:
-                    key = piece if self.merges else True
-                    old = cost[at + len(piece)].get(key)
-                    if old is None or here[0] < old[0]:
-                        cost[at + len(piece)][key] = (*here, piece) if not self.merges else here
+                price = cost[at] - self.weight.get(piece, self.unknown)
+                if price < cost[at + len(piece)]:
+                    cost[at + len(piece)], back[at + len(piece)] = price, at
         out, at = [], len(text)
-        key = min(cost[at], key=lambda k: cost[at][k][0])
-        while at > 0:
-            step = cost[at][key]
-            out.append(text[step[1]:at])
-            at, key = step[1], step[2]
+        while at:
+            out.append(text[back[at]:at])
+            at = back[at]
         return out[::-1]
 
-    @property
+    @cached_property
     def unknown(self) -> float:
         return min(self.weight.values(), default=0.0) - 10.0
 
+    @cached_property
+    def spelled(self) -> list[bytes]:
+        """The bytes that each id stands for."""
+        out = [p.replace(MARK, " ").encode("utf-8") for p in self.pieces]
+        for value, i in enumerate(self.byte):
+            out[i] = bytes([value])
+        return out
+
     def ids_of(self, pieces: list[str]) -> list[int]:
         out = []
         for p in pieces:
@@ -120,7 +158,7 @@ class Transducer:
                 out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
-    def encode(self, text: str, memory: dict | None = None, bound: int = 300_000) -> list[int]:
+    def encode(self, text: str, memory: dict | None = None, bound: int = 500_000) -> list[int]:
         """Ids of a text. Where no piece crosses words, the machine runs on each pre-token, and ``memory`` keeps its answers."""
         memory = {} if memory is None else memory
         parts = pre_tokens(text) if self.apart else [text] if text else []
@@ -136,8 +174,7 @@ class Transducer:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: bytes joined, word marks turned to spaces, the first one dropped."""
-        places = {b: i for i, b in enumerate(self.byte)}
-        raw = b"".join(bytes([places[i]]) if i in places else self.pieces[i].replace(MARK, " ").encode("utf-8") for i in ids)
+        raw = b"".join(map(self.spelled.__getitem__, ids))
         text = raw.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
@@ -160,7 +197,7 @@ def compile_model(model: bytes) -> Transducer:
         node = machine.trie
         for c in piece:
             node = node.setdefault(c, {})
-        node[""] = True
+        node[""] = piece
     machine.longest = max(map(len, machine.number), default=1)
     return machine
 
