@@ -106,8 +106,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
             out = {c: [] for c in names}
             if left.num_rows and right.num_rows:
                 tree = KdTree(_matrix(left["x"]).astype(np.float64), left["vec_id"].to_numpy(), left["row"].to_numpy())
-                x, rows, ids = _matrix(right["x"]).astype(np.float64), right["row"].to_numpy(), right["vec_id"].to_numpy()
-                floors = [float("-inf") if f is None else float(f) for f in right["floor"].to_pylist()]
+                x, rows, ids = _matrix(right["q_x"]).astype(np.float64), right["q_row"].to_numpy(), right["q_id"].to_numpy()
+                floors = [float("-inf") if f is None else float(f) for f in right["q_floor"].to_pylist()]
                 for start in range(0, len(x), QUERY_ROWS):
                     bounds = tree.bounds(x[start:start + QUERY_ROWS])
                     for j, bound in enumerate(bounds, start):
@@ -118,7 +118,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
                                 out[c].append(v)
             return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
-        return stored.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, schema)
+        named = asked.select(F.col("shard").alias("q_shard"), F.col("row").alias("q_row"), F.col("vec_id").alias("q_id"),
+                             F.col("x").alias("q_x"), F.col("floor").alias("q_floor"))
+        return stored.groupBy("shard").cogroup(named.groupBy("q_shard")).applyInArrow(run, schema)
 
     first = home.withColumn("shard", F.concat_ws(":", width.cast("string"), F.col("home").cast("string"))).withColumn("floor", F.lit(None).cast("long"))
     found = cut(searched(first.drop("home")))
