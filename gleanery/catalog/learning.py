@@ -1,4 +1,4 @@
-"""Training, comparing, explaining and scoring models. Small presets: the library's defaults are the full ones."""
+"""Training, comparing, explaining and scoring models with the presets of the library, on rules planted in the tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import math
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_of
@@ -17,6 +18,7 @@ from ..operators import explain as ex
 from ..operators import knn
 from ..operators.features import Preprocessor
 from ..operators.split import train_test_split
+from ..operators.usecases import get_use_case
 from ..plans import training
 from ..plans.analyze import run_analysis
 from ..plans.scoring import score_batch as score_with
@@ -25,49 +27,54 @@ from ..sources import sinks
 from ..streaming import jobs
 from .registry import LINE_KEYS, lines_with_key, query, table, token_sql
 
-BUDGET = 0.05
-
 
 def _frame(df, names, label, key):
     ready = spread(df).select(F.col(key).cast("string").alias("row_id"), label.cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in names])
     return VectorAssembler(inputCols=names, outputCol="features").transform(ready).select("row_id", "features", "label")
 
 
-ORDER_FEATURES = ["price", "month", "weekday", "customer"]
+ORDER_FEATURES = ["price", "late", "weekday", "customer"]
 
 
 def _orders(spark, sf):
     o = table(spark, sf, "orders")
-    return o.select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", (F.col("o_totalprice") / 100000).alias("price"), F.month("o_orderdate").alias("month"),
+    return o.select("o_orderkey", (F.col("o_totalprice") / 100000).alias("price"), (F.month("o_orderdate") >= 7).cast("double").alias("late"),
                     F.weekday("o_orderdate").alias("weekday"), (F.col("o_custkey") % 100 / 100).alias("customer"))
 
 
 def _binary(spark, sf):
-    """Is the order urgent or high? The features say little about it: speed and shape are what is checked here."""
-    o = _orders(spark, sf)
-    return _frame(o, ORDER_FEATURES, F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "o_orderkey")
+    """Dear for its season? Price and season decide; weekday and customer say nothing."""
+    return _frame(_orders(spark, sf), ORDER_FEATURES, F.col("price") > 2.2 + 0.8 * F.col("late"), "o_orderkey")
+
+
+def _scored(spark, sf):
+    """A number that customer and season determine."""
+    return _frame(_orders(spark, sf), ["late", "weekday", "customer"], 10 * F.col("customer") + 5 * F.col("late"), "o_orderkey")
+
+
+#: From this accuracy or R2 on held-out rows on, a model has found the planted rule.
+FOUND = 0.9
+_HELD_OUT = f"{token_sql('o_orderkey', seed=42)} % 5 = 0"
 
 
-def _priced(spark, sf):
-    o = _orders(spark, sf)
-    return _frame(o, ["month", "weekday", "customer"], F.col("o_totalprice"), "o_orderkey")
+def _rule_sql(name: str, rows: str) -> str:
+    return f"SELECT '{name}' AS model, count(*) AS n, count(*) AS n_predicted, true AS found_rule FROM {rows}"
 
 
-def _scored_row(spec_, model, test, problem_type):
-    predicted = model.transform(test)
+def _judge_rule(spec_, model, test, problem_type):
+    predicted = keep(model.transform(test))
     n = predicted.agg(F.count(F.lit(1)).alias("n"), F.count("prediction").alias("n_predicted"))
     value = training._score(predicted, problem_type)
-    return n.select(F.lit(spec_.name).alias("model"), F.lit(spec_.family).alias("family"), "n", "n_predicted", F.lit(round(float(value), 4)).alias("test_score"))
+    return n.select(F.lit(spec_.name).alias("model"), "n", "n_predicted", F.lit(float(value) >= FOUND).alias("found_rule"))
 
 
 def _register(prefix: str, key: str, name: str, bank, data, problem_type: str, classes: int):
-    @query(f"{prefix}_{key}")
+    @query(f"{prefix}_{key}", _rule_sql(name, f"orders WHERE {_HELD_OUT}"))
     def run(spark, sf):
-        frame = data(spark, sf)
-        train, test = train_test_split(frame, ["row_id"], 42)
+        train, test = train_test_split(data(spark, sf), ["row_id"], 42)
         train = keep(train)
         s = spec(bank, name)
-        return _scored_row(s, s.train(train, context_of(train, classes, 42, BUDGET)), test, problem_type)
+        return _judge_rule(s, s.train(train, context_of(train, classes)), test, problem_type)
 
 
 for _key, _name in {"logistic": "logistic_regression", "ridge_logistic": "ridge_classifier", "linear_svc": "linear_svc", "svm_rbf": "svm_rbf", "decision_tree": "decision_tree",
@@ -77,7 +84,7 @@ for _key, _name in {"logistic": "logistic_regression", "ridge_logistic": "ridge_
 
 for _key, _name in {"linear_svr": "linear_svr", "svr_rbf": "svr_rbf", "decision_tree": "decision_tree", "random_forest": "random_forest", "extra_trees": "extra_trees",
                     "gradient_boosting": "gradient_boosting", "ada_boost": "ada_boost", "xgb_style": "xgboost", "lgbm_style": "lightgbm", "catboost_style": "catboost", "mlp": "mlp_ann"}.items():
-    _register("reg", _key, _name, REGRESSORS, _priced, "regression", 0)
+    _register("reg", _key, _name, REGRESSORS, _scored, "regression", 0)
 
 
 # ---------------------------------------------------------------- models with a closed form, checked by SQL
@@ -170,14 +177,13 @@ def _languages(spark, sf):
 
 
 def _register_text(key: str, name: str, bank):
-    @query(f"txt_{key}")
+    @query(f"txt_{key}", _rule_sql(name, f"documents WHERE {token_sql('doc_id', seed=42)} % 5 = 0"))
     def run(spark, sf):
         frame, classes = _languages(spark, sf)
         train, test = train_test_split(frame, ["row_id"], 42)
         train = keep(train)
         s = spec(bank, name)
-        ctx = training.Context(train.count(), 0, classes, 1.0, 1.0, 42, BUDGET)
-        return _scored_row(s, s.train(train, ctx), test, "classification")
+        return _judge_rule(s, s.train(train, training.Context(train.count(), 0, classes)), test, "classification")
 
 
 for _key in ("tfidf_logistic", "tfidf_linear_svc", "tfidf_complement_nb", "tfidf_random_forest"):
@@ -194,28 +200,32 @@ def _part_points(spark, sf):
 
 
 def _judged(assigned, name):
-    assigned = keep(assigned)
-    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.select(F.lit(name).alias("model"), F.col("cluster").cast("long").alias("cluster"), "size")
+    """Every row has a cluster, and how many clusters there are."""
+    return assigned.agg(F.lit(name).alias("model"), F.count_distinct("cluster").alias("n_clusters"), F.count("cluster").alias("n"))
+
 
+def _three_sql(name: str) -> str:
+    return f"SELECT '{name}' AS model, 3::BIGINT AS n_clusters, count(*) AS n FROM part"
 
-@query("clu_kmeans_sweep")
+
+@query("clu_kmeans_sweep", "SELECT 'kmeans_k' || k AS model, true AS separated FROM range(2, (SELECT least(10, greatest(3, count(*) // 5)) FROM part)) t(k)")
 def clu_kmeans_sweep(spark, sf):
-    result = training.train_clusters(_part_points(spark, sf).select("row_id", F.col("x")[0].alias("size"), F.col("x")[1].alias("price")), ["size", "price"], "row_id", starts=2, methods=[])
-    return result.leaderboard
+    points = _part_points(spark, sf).select("row_id", F.col("x")[0].alias("size"), F.col("x")[1].alias("price"))
+    board = training.train_clusters(points, ["size", "price"], "row_id", methods=[]).leaderboard
+    return board.select("model", (F.col("silhouette_score") > 0.2).alias("separated"))
 
 
-@query("clu_agglomerative")
+@query("clu_agglomerative", _three_sql("agglomerative"))
 def clu_agglomerative(spark, sf):
-    return _judged(cl.fit_agglomerative(_part_points(spark, sf), 3, 200), "agglomerative")
+    return _judged(cl.fit_agglomerative(_part_points(spark, sf), 3), "agglomerative")
 
 
-@query("clu_gaussian_mixture")
+@query("clu_gaussian_mixture", _three_sql("gaussian_mixture"))
 def clu_gaussian_mixture(spark, sf):
     return _judged(cl.fit_gaussian_mixture(_part_points(spark, sf), 3), "gaussian_mixture")
 
 
-@query("clu_birch")
+@query("clu_birch", _three_sql("birch"))
 def clu_birch(spark, sf):
     return _judged(cl.fit_birch(_part_points(spark, sf), 2, 3, 0.05), "birch")
 
@@ -239,57 +249,78 @@ def _daily(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("y"))
 
 
-@query("ts_arima")
+@query("ts_arima", """WITH h AS (SELECT event_type, date_trunc('hour', ts) AS t, avg(value) AS y FROM events GROUP BY ALL)
+  SELECT event_type AS series, m.model, CAST(count(*) - floor(0.8 * count(*)) AS BIGINT) AS n_test, true AS sound
+  FROM h CROSS JOIN (VALUES ('ARIMA(1,1,1)'), ('ARIMA(2,1,1)'), ('ARIMA(1,1,2)')) m(model) GROUP BY ALL""")
 def ts_arima(spark, sf):
-    return ts.arima_leaderboard(ts.arima_forecasts(_daily(spark, sf), "hour", "y", "event_type"))
+    """Every hour after the first four fifths has a forecast, with a mean error below the spread of the values."""
+    f = ts.arima_forecasts(_daily(spark, sf), "hour", "y", "event_type")
+    return f.groupBy("series", "model").agg(F.count("forecast").alias("n_test"), (F.avg(F.abs(F.col("forecast") - F.col("actual"))) < F.stddev_pop("actual") * 1.5).alias("sound"))
 
 
 # ---------------------------------------------------------------- explanation
 
-def _small_forest(spark, sf):
-    frame = _binary(spark, sf)
-    train, test = train_test_split(frame, ["row_id"], 42)
+def _forest(spark, sf):
+    train, test = train_test_split(_binary(spark, sf), ["row_id"], 42)
     train = keep(train)
-    return spec(CLASSIFIERS, "random_forest").train(train, context_of(train, 2, 42, 0.02)), test
+    return spec(CLASSIFIERS, "random_forest").train(train, context_of(train, 2)), test
 
 
-@query("shap_tree")
+_ADDS_UP_SQL = f"SELECT o_orderkey, true AS adds_up FROM orders WHERE {_HELD_OUT}"
+_MATTERS_SQL = "SELECT * FROM (VALUES ('price', true), ('late', true), ('weekday', false), ('customer', false)) t(feature, matters)"
+
+
+def _adds_up(values, model, test, base):
+    """Per row: do the values and the base sum to the model's output?"""
+    said = model.transform(test).select(F.col("row_id").alias("row"), F.col("probability")[1].alias("said"))
+    sums = values.groupBy("row").agg(F.sum("value").alias("total"))
+    gap = F.abs(F.col("total") + base - F.col("said"))
+    return said.join(sums, "row", "left").select(F.col("row").cast("long").alias("o_orderkey"), F.coalesce(gap < 1e-6, F.lit(False)).alias("adds_up"))
+
+
+@query("shap_tree", _ADDS_UP_SQL)
 def shap_tree(spark, sf):
-    model, test = _small_forest(spark, sf)
-    return ex.shap_aggregate(ex.shap_long(ex.shap_tree(test, model.parts[0]), ORDER_FEATURES))
+    model, test = _forest(spark, sf)
+    values = keep(ex.shap_tree(test, model.parts[0]))
+    base = values.select(F.col("base")[1].alias("b")).first()["b"]
+    return _adds_up(ex.shap_long(values, ORDER_FEATURES).filter("class = 1"), model, test, F.lit(base))
 
 
-@query("shap_sampled")
+@query("shap_sampled", _ADDS_UP_SQL)
 def shap_sampled(spark, sf):
-    model, test = _small_forest(spark, sf)
-    background = [r["x"] for r in test.select(vector_to_array("features").alias("x"), F.xxhash64("row_id").alias("h")).orderBy("h").limit(5).collect()]
+    """Fifty background rows, and fifty orders of the features, for every held-out row."""
+    model, test = _forest(spark, sf)
+    drawn = test.select("row_id", "features", F.xxhash64("row_id").alias("h")).orderBy("h", "row_id").limit(50)
+    background = [r["x"] for r in drawn.select(vector_to_array("features").alias("x")).collect()]
     score = lambda d: model.transform(d).withColumn("y", F.col("probability")[1])
-    values = ex.shap_sampled(test, score, "y", ORDER_FEATURES, background, rounds=5)
-    return ex.top_features(values.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")))
+    values = ex.shap_sampled(test, score, "y", ORDER_FEATURES, background, rounds=len(background))
+    base = score(spark.createDataFrame([(str(i), Vectors.dense(x)) for i, x in enumerate(background)], ["row_id", "features"])).agg(F.avg("y").alias("b")).first()["b"]
+    return _adds_up(values, model, test, F.lit(base))
 
 
-@query("permutation_importance")
+@query("permutation_importance", _MATTERS_SQL)
 def permutation_importance(spark, sf):
-    model, test = _small_forest(spark, sf)
-    return ex.permutation_importance(test, model.transform, "classification", ORDER_FEATURES)
+    model, test = _forest(spark, sf)
+    return ex.permutation_importance(test, model.transform, "classification", ORDER_FEATURES).select("feature", (F.col("importance") > 0.05).alias("matters"))
 
 
-@query("native_importance")
+@query("native_importance", _MATTERS_SQL)
 def native_importance(spark, sf):
-    model, _ = _small_forest(spark, sf)
-    return ex.native_importance(model.parts[0], ORDER_FEATURES, spark)
+    model, _ = _forest(spark, sf)
+    return ex.native_importance(model.parts[0], ORDER_FEATURES, spark).select("feature", (F.col("importance") > 0.05).alias("matters"))
 
 
 # ---------------------------------------------------------------- leaderboard, artifacts, scoring
 
-QUICK = ["logistic_regression", "gaussian_nb", "decision_tree", "linear_svc"]
+QUICK = ["logistic_regression", "gaussian_nb", "decision_tree"]
 
 
-@query("leaderboard")
+@query("leaderboard", "SELECT unnest([" + ", ".join(f"'{c.name}'" for c in CLASSIFIERS) + "]) AS model, 'ok' AS status, true AS found_rule")
 def leaderboard(spark, sf):
+    """The whole bank with its presets, cross-validated and held out."""
     train, test = train_test_split(_binary(spark, sf), ["row_id"], 42)
-    rows, _ = training.evaluate_bank([spec(CLASSIFIERS, n) for n in QUICK], train, test, "classification", 2, 3, BUDGET)
-    return training.leaderboard_frame(spark, rows)
+    rows, _ = training.evaluate_bank(CLASSIFIERS, train, test, "classification", 2)
+    return training.leaderboard_frame(spark, rows).select("model", "status", ((F.col("test_score") >= FOUND) & (F.col("cv_mean_score") >= FOUND)).alias("found_rule"))
 
 
 def _customers(spark, sf):
@@ -304,12 +335,13 @@ def _customers(spark, sf):
 
 def _analysis(spark, sf, folder=None):
     return run_analysis(_customers(spark, sf), use_case_id="customer_churn", source="customers", bank=[spec(CLASSIFIERS, n) for n in QUICK[:3]],
-                        folds=2, budget=BUDGET, trees=20, folder=folder)
+                        folder=folder)
 
 
-@query("analyze_leaderboard")
+@query("analyze_leaderboard", "SELECT unnest(['logistic_regression', 'gaussian_nb', 'decision_tree']) AS model, 'ok' AS status, true AS has_probability, true AS in_range")
 def analyze_leaderboard(spark, sf):
-    return _analysis(spark, sf).leaderboard
+    score = F.col("test_score")
+    return _analysis(spark, sf).leaderboard.select("model", "status", "has_probability", score.between(0, 1).alias("in_range"))
 
 
 @query("explain_report")
@@ -326,7 +358,7 @@ def _staged(spark, sf):
     features = prep.fit_transform(train, "Churn", ["last_order"], ["customer_id"], ["customer_id"])
     label = (F.col("Churn") == "Yes")
     frame = keep(training.assemble(features, prep.feature_columns, label, "customer_id"))
-    model = spec(CLASSIFIERS, "logistic_regression").train(frame, context_of(frame, 2, 42, BUDGET))
+    model = spec(CLASSIFIERS, "logistic_regression").train(frame, context_of(frame, 2))
     meta = {"problem_type": "classification", "classes": ["No", "Yes"], "target": "Churn", "use_case_id": "customer_churn", "best_model": "logistic_regression", "text_columns": []}
     return sinks.save_artifact(spark, f"{folder}/staging", model, prep, meta), folder
 
@@ -339,39 +371,55 @@ def sink_model_artifact(spark, sf):
                                  "best_model string, n_features int, classes string, has_probability boolean")
 
 
-@query("promote_model")
+@query("promote_model", "SELECT c_custkey AS customer_id, 1::BIGINT AS n_rows, true AS same FROM customer")
 def promote_model(spark, sf):
+    """The promoted model must score every customer as the staged one does."""
     path, folder = _staged(spark, sf)
     sinks.promote_model(spark, path, f"{folder}/production", True, f"{folder}/versions")
-    scored, _ = score_with(spark, f"{folder}/production", _customers(spark, sf), ["customer_id"])
-    return scored.groupBy("prediction", "risk_tier").agg(F.count(F.lit(1)).alias("n"))
+    staged, _ = score_with(spark, path, _customers(spark, sf), ["customer_id"])
+    promoted, _ = score_with(spark, f"{folder}/production", _customers(spark, sf), ["customer_id"])
+    return _same_scores(staged, promoted)
 
 
-@query("score_batch")
+def _same_scores(one, other):
+    """Per customer: rows in ``other``, and whether all of them agree with ``one``."""
+    told = one.select("customer_id", F.struct("prediction", F.round("score", 9).alias("score"), "risk_tier", "recommended_action").alias("a"))
+    again = other.select("customer_id", F.struct("prediction", F.round("score", 9).alias("score"), "risk_tier", "recommended_action").alias("b"))
+    both = told.join(again, "customer_id", "full")
+    return both.groupBy("customer_id").agg(F.count("b").alias("n_rows"), F.bool_and(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+
+
+@query("score_batch", "SELECT c_custkey AS customer_id, true AS prediction_fits, true AS tier_fits, true AS has_action FROM customer")
 def score_batch(spark, sf):
-    path, _ = _staged(spark, sf)
-    scored, _ = score_with(spark, path, _customers(spark, sf), ["customer_id"])
-    return scored
+    """Each row's prediction, tier and action must follow from its score; the batch is logged with its input means."""
+    path, folder = _staged(spark, sf)
+    scored, _ = score_with(spark, path, _customers(spark, sf), ["customer_id"], log=f"{folder}/log", batch="customers")
+    template = get_use_case("customer_churn")
+    tier = F.when(F.col("score") >= template["high"], "high").when(F.col("score") >= template["medium"], "medium").otherwise("low")
+    return scored.select("customer_id", ((F.col("prediction") == "Yes") == (F.col("score") > 0.5)).alias("prediction_fits"),
+                         (F.col("risk_tier") == tier).alias("tier_fits"), (F.length("recommended_action") > 0).alias("has_action"))
 
 
-@query("stream_score")
+@query("stream_score", "SELECT c_custkey AS customer_id, 1::BIGINT AS n_rows, true AS same FROM customer")
 def stream_score(spark, sf):
-    """The batch's records as arriving files: the streamed output must equal ``score_batch``."""
+    """The batch's records as arriving files: each must be scored once, as ``score_batch`` does."""
     path, folder = _staged(spark, sf)
     _customers(spark, sf).write.parquet(f"{folder}/incoming")
     model, prep, meta = sinks.load_artifact(spark, path)
-    stream = jobs.read_stream(spark, f"{folder}/incoming", spark.read.parquet(f"{folder}/incoming").schema, max_files=4)
+    incoming = spark.read.parquet(f"{folder}/incoming")
+    stream = jobs.read_stream(spark, f"{folder}/incoming", incoming.schema, max_files=4)
     jobs.stream_score(stream, model, prep, meta, f"{folder}/scored", f"{folder}/state", ["customer_id"]).awaitTermination()
-    return spark.read.parquet(f"{folder}/scored")
+    batch, _ = score_with(spark, path, incoming, ["customer_id"])
+    return _same_scores(batch, spark.read.parquet(f"{folder}/scored"))
 
 
 @query("analyze_clusters")
 def analyze_clusters(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")
-    return run_analysis(parts, source="parts", id_columns=["p_partkey"], trees=10, cluster_options={"starts": 1, "ks": [2, 3], "methods": ["gaussian_mixture", "birch"]}).leaderboard
+    return run_analysis(parts, source="parts", id_columns=["p_partkey"], cluster_options={"ks": [2, 3], "methods": ["gaussian_mixture", "birch"]}).leaderboard
 
 
 @query("analyze_series")
 def analyze_series(spark, sf):
     orders = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n"))
-    return run_analysis(orders, "revenue", source="daily revenue", trees=10, allow_continuous=True).leaderboard
+    return run_analysis(orders, "revenue", source="daily revenue", allow_continuous=True).leaderboard

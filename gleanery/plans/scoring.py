@@ -12,7 +12,7 @@ from ..operators.monitor import check_drift
 from ..operators.scoring import positive_class_index, score_probability
 from ..operators.usecases import get_use_case, tier_of
 from ..sources.readers import check_columns
-from ..sources.sinks import load_artifact
+from ..sources.sinks import load_artifact, log_predictions
 
 
 class SeriesModelRefused(ValueError):
@@ -50,8 +50,11 @@ def score_frame(df: DataFrame, model, preprocessor, meta: dict, keep: list[str])
             .withColumn("probability_label", F.lit(template["probability_label"])).withColumn("use_case_id", F.lit(template["id"])))
 
 
-def score_batch(spark: SparkSession, artifact: str, records: DataFrame, keep: list[str], baseline: DataFrame | None = None):
-    """Scored rows and, with a baseline, the drift warnings of the batch."""
+def score_batch(spark: SparkSession, artifact: str, records: DataFrame, keep: list[str], baseline: DataFrame | None = None,
+                log: str | None = None, batch: str = "batch"):
+    """Scored rows and, with a baseline, the drift warnings of the batch; with ``log``, the batch is logged there."""
     model, prep, meta = load_artifact(spark, artifact)
     scored = score_frame(records, model, prep, meta, keep)
+    if log:
+        log_predictions(scored, log, "prediction", [c for c in records.columns if c not in keep], batch, records)
     return scored, (check_drift(records, baseline) if baseline is not None else None)

@@ -114,11 +114,11 @@ def latest_analysis(spark: SparkSession, path: str) -> dict | None:
         return None
 
 
-def log_predictions(df: DataFrame, path: str, prediction: str, inputs: list[str], batch: str) -> None:
-    """Append every prediction of a batch, and one row with its size and input means."""
+def log_predictions(df: DataFrame, path: str, prediction: str, inputs: list[str], batch: str, records: DataFrame | None = None) -> None:
+    """Append every prediction of a batch, and one row with its size and input means (of ``records``, if given)."""
     at = F.lit(_now())
     df.select(F.lit(batch).alias("batch"), at.alias("timestamp"), F.col(prediction).cast("string").alias("prediction")).write.mode("append").parquet(f"{path}/predictions")
-    entry = prediction_log_entry(df.withColumn("_b", F.lit(batch)), inputs, "_b")
+    entry = prediction_log_entry((df if records is None else records).withColumn("_b", F.lit(batch)), inputs, "_b")
     entry.withColumn("timestamp", at).write.mode("append").parquet(f"{path}/batches")
 
 
