@@ -100,11 +100,15 @@ def impute_knn(spark, sf):
     return out.select("p_partkey", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), "c")
 
 
-@query("detect_anomalies")
+@query("detect_anomalies", """SELECT count(*) AS n, count(*) FILTER (l_orderkey % 997 = 0) AS n_planted, true AS share_holds, true AS planted_stand_out FROM lineitem""")
 def detect_anomalies(spark, sf):
     lines = table(spark, sf, "lineitem").withColumn("l_quantity", F.when(F.col("l_orderkey") % 997 == 0, F.col("l_quantity") * 1000).otherwise(F.col("l_quantity")))
     out = flag_anomalies(lines)
-    return out.groupBy((F.col("l_orderkey") % 997 == 0).alias("planted")).agg(F.count(F.lit(1)).alias("n"), F.sum("is_anomaly").alias("flagged"))
+    planted, flagged = F.col("l_orderkey") % 997 == 0, F.col("is_anomaly") == 1
+    found = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(planted).alias("n_planted"), F.count_if(flagged).alias("n_flagged"), F.count_if(planted & flagged).alias("both"))
+    # A fiftieth of the rows is flagged, and a planted row at least four times as often as any row.
+    return found.select("n", "n_planted", (F.abs(F.col("n_flagged") - 0.02 * F.col("n")) <= 1 + 0.002 * F.col("n")).alias("share_holds"),
+                        (F.col("both") * F.col("n") >= 4 * F.col("n_flagged") * F.col("n_planted")).alias("planted_stand_out"))
 
 
 _LEAK_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "leak"]

@@ -317,10 +317,10 @@ QUICK = ["logistic_regression", "gaussian_nb", "decision_tree"]
 
 @query("leaderboard", "SELECT unnest([" + ", ".join(f"'{c.name}'" for c in CLASSIFIERS) + "]) AS model, 'ok' AS status, true AS found_rule")
 def leaderboard(spark, sf):
-    """The whole bank with its presets, cross-validated and held out."""
+    """The whole bank with its presets, on held-out rows; ``analyze_leaderboard`` has folds."""
     train, test = train_test_split(_binary(spark, sf), ["row_id"], 42)
-    rows, _ = training.evaluate_bank(CLASSIFIERS, train, test, "classification", 2)
-    return training.leaderboard_frame(spark, rows).select("model", "status", ((F.col("test_score") >= FOUND) & (F.col("cv_mean_score") >= FOUND)).alias("found_rule"))
+    rows, _ = training.evaluate_bank(CLASSIFIERS, train, test, "classification", 2, folds=0)
+    return training.leaderboard_frame(spark, rows).select("model", "status", (F.col("test_score") >= FOUND).alias("found_rule"))
 
 
 def _customers(spark, sf):
@@ -363,7 +363,8 @@ def _staged(spark, sf):
     return sinks.save_artifact(spark, f"{folder}/staging", model, prep, meta), folder
 
 
-@query("sink_model_artifact")
+@query("sink_model_artifact", """SELECT 'logistic_regression' AS best_model, CAST(9 + count(DISTINCT c_mktsegment) - 1 AS INT) AS n_features, 'No,Yes' AS classes,
+  true AS has_probability FROM customer""")
 def sink_model_artifact(spark, sf):
     path, _ = _staged(spark, sf)
     model, prep, meta = sinks.load_artifact(spark, path)

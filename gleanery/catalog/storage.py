@@ -125,10 +125,21 @@ def stream_drift_sliding(spark, sf):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", "column", F.round("batch_mean", 4).alias("batch_mean"))
 
 
-@query("stream_profile")
+_PROFILED = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@query("stream_profile", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS missing_count, true AS unique_close, """
+    + (", ".join(f"round(CAST({f}({c}) AS DOUBLE), 3) AS {n}" for f, n in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max"))) if c in ("event_id", "user_id", "value")
+       else ", ".join(f"CAST(NULL AS DOUBLE) AS {n}" for n in ("mean", "std", "min", "max"))) + " FROM events" for c in _PROFILED))
 def stream_profile(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    """The sketched distinct counts must lie within a seventh of the exact ones."""
+    events = spark.read.parquet(f"{sf}/events.parquet")
     out = fresh_path(spark, "profile")
-    job = jobs.stream_profile(jobs.read_stream(spark, f"{sf}/events*.parquet", schema), out, fresh_path(spark, "profile-state"))
+    job = jobs.stream_profile(jobs.read_stream(spark, f"{sf}/events*.parquet", events.schema), out, fresh_path(spark, "profile-state"))
     job.awaitTermination()
-    return jobs.profile_long(spark.read.parquet(out), schema)
+    exact = events.agg(*[F.count_distinct(c).alias(c) for c in _PROFILED]).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in _PROFILED])))
+    found = jobs.latest_profile(spark, out, events.schema).join(F.broadcast(exact), "column")
+    return found.select("column", "n_rows", "missing_count", (F.abs(F.col("unique_count") - F.col("exact")) * 7 <= F.col("exact")).alias("unique_close"),
+                        *[F.round(m, 3).alias(m) for m in ("mean", "std", "min", "max")])

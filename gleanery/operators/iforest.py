@@ -11,6 +11,7 @@ from ..session import cut, spread
 from .quantiles import exact_quantiles
 
 TREES, SAMPLE = 100, 256
+RUN, SPACE = 4096, 1 << 40
 
 
 def _path_constant(n):
@@ -50,28 +51,38 @@ def _grow(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
 def fit_forest(df: DataFrame, columns: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> tuple[list[dict], int]:
     """Grow each tree on its own bounded sample, in its own task.
 
-    Every row, copies included, has the same chance to be drawn. A large table gives one pool of ``trees * sample``
-    rows, dealt out without overlap; a small one lets every tree draw from all rows. The draw is written before
-    it is used, so all trees see one and the same sample.
+    One rule at every size: copies of a row are numbered, so a row is named by its cells and its number, and a tree
+    draws the ``sample`` rows whose token with the tree's number is smallest. The draw knows nothing of files or
+    partitions. Rows with a token beyond three times the wanted share cannot be among the smallest and never leave
+    their task; a tree that found too few anyway (as good as never) draws from all rows.
     """
-    n = df.count()
     x = F.array(*[F.coalesce(quoted(c).cast("double"), F.lit(0.0)) for c in columns]).alias("x")
-    rows = df.select(x)
+    counts = cut(df.select(x).groupBy("x").agg(F.count(F.lit(1)).alias("copies")))
+    n = counts.agg(F.sum("copies").alias("n")).first()["n"]
     size = min(sample, n)
-    if n >= trees * sample * 2:
-        pool = rows.withColumn("u", F.rand(seed)).orderBy("u").limit(trees * sample)
-        dealt = pool.select("x", F.floor(F.rand(seed + 1) * trees).cast("int").alias("tree"))
-    else:
-        # At most 2 * trees * sample rows here, so trees times that many candidates stay bounded.
-        every = rows.select("x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        dealt = every.filter(F.rand(seed) < min(1.0, 1.5 * size / max(1, n)))
-    dealt = cut(dealt)
+
+    # Copies come in runs of bounded length; runs beyond a row's first are dealt out, as one row may own a third of the table.
+    first = counts.select("x", F.lit(0).cast("long").alias("run"), F.least("copies", F.lit(RUN)).alias("many"))
+    more = counts.filter(F.col("copies") > RUN).select("x", "copies", F.explode(F.sequence(F.lit(1).cast("long"), F.floor((F.col("copies") - 1) / RUN))).alias("run"))
+    more = more.select("x", "run", F.least(F.col("copies") - F.col("run") * RUN, F.lit(RUN)).alias("many")).repartition("x", "run")
+    each = first.unionByName(more).select("x", "run", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many"))).alias("place"))
+    named = each.select("x", F.xxhash64(F.lit(seed), "x", "run", "place").alias("name"))
+
+    def drawn(share: float, wanted: list[int]) -> DataFrame:
+        """(x, tree, token): the trees among ``wanted`` for which a row's token lies below ``share``."""
+        tokens = F.transform(F.array(*[F.lit(t) for t in wanted]), lambda t: F.struct(t.alias("tree"), F.pmod(F.xxhash64("name", t), F.lit(SPACE)).alias("token")))
+        return named.select("x", F.explode(F.filter(tokens, lambda p: p["token"] < F.lit(int(share * SPACE)))).alias("p")).select("x", "p.tree", "p.token")
+
+    dealt = cut(drawn(min(1.0, 3.0 * size / n), list(range(trees))))
+    enough = {r["tree"] for r in dealt.groupBy("tree").count().filter(F.col("count") >= size).select("tree").collect()}
+    short = [t for t in range(trees) if t not in enough]
+    if short:
+        dealt = cut(dealt.filter(~F.col("tree").isin(short)).unionByName(drawn(1.0, short)))
 
     def build(key, pdf):
         rng = np.random.default_rng(seed * 100_003 + int(key[0]))
-        points = np.array(sorted(map(tuple, pdf["x"])), dtype=float)
-        if len(points) > size:
-            points = points[np.sort(rng.choice(len(points), size, replace=False))]
+        smallest = sorted(zip(pdf["token"], map(tuple, pdf["x"])))[:size]
+        points = np.array(sorted(p for _, p in smallest), dtype=float)
         return pd.DataFrame([{**_grow(points, rng), "tree": int(key[0])}])
 
     schema = "feature array<int>, threshold array<double>, left array<int>, right array<int>, depth array<double>, tree int"

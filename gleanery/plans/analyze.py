@@ -36,11 +36,12 @@ class Analysis:
     explanation: DataFrame
     leakage: list[str] = field(default_factory=list)
     target_status: str | None = None
+    target_warning: bool = False
+    failed: dict[str, str] = field(default_factory=dict)
     architectures: DataFrame | None = None
     n_classes: int | None = None
     run_id: str | None = None
     artifact: str | None = None
-    scored: DataFrame | None = None
 
 
 def row_identity(df: DataFrame) -> DataFrame:
@@ -161,9 +162,10 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
     cleaned = row_identity(detect_anomalies(cleaned, trees=trees))
     cleaned = cut(clean.drop_id_columns(cleaned, [i for i in ids if i != ROW_ID]))
 
-    status, leakage = None, []
+    status, warning, leakage = None, False, []
     if target:
-        status = infer.validate_target(cleaned.drop(ROW_ID, "is_anomaly"), [target], allow_continuous).first()["status"]
+        status = infer.validate_target(cleaned.drop(ROW_ID, "is_anomaly"), [target], allow_continuous).first()
+        status, warning = status["status"], bool(status["many_values_warning"])
         if status != "ok":
             raise ValueError(f"Target column '{target}' cannot be used: {status}")
         leakage = [r["column"] for r in clean.detect_leakage(cleaned, target).collect()]
@@ -177,7 +179,7 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
     baseline = training_baseline(inputs, exclude=[target] if target else [])
     save_baseline(baseline, f"{folder}/baseline", source)
 
-    prep, scored = None, None
+    prep = None
     if task == "time_series":
         result = training.train_series(cleaned, dates[0], target, series)
         names = []
@@ -216,5 +218,10 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
         artifact = save_artifact(spark, f"{folder}/staging", result.best, None if result.kind == "text" else prep, meta)
     shape = columns.agg(F.max("n_rows").alias("n")).first()
     run_id = log_run(spark, f"{folder}/runs", source, task, result.best_name or "none", leakage, shape["n"] or 0, len(raw.columns), result.leaderboard)
-    save_analysis(spark, f"{folder}/analyses", {"run_id": run_id, "problem_type": task, "best_model": result.best_name, "leakage": leakage})
-    return Analysis(task, columns, result.leaderboard, result.best_name, report, leakage, status, plan, n_classes, run_id, artifact, scored)
+    # Everything kept here has as many rows as there are models, features or columns.
+    as_rows = lambda d: [r.asDict() for r in d.collect()]
+    save_analysis(spark, f"{folder}/analyses", {
+        "run_id": run_id, "source": source, "target": target, "use_case_id": use_case_id, "problem_type": task, "best_model": result.best_name,
+        "n_classes": n_classes, "leakage": leakage, "target_warning": warning, "failed": result.failed, "leaderboard": as_rows(result.leaderboard),
+        "explanation": as_rows(report), "architectures": as_rows(plan), "modality": modality.asDict()})
+    return Analysis(task, columns, result.leaderboard, result.best_name, report, leakage, status, warning, result.failed, plan, n_classes, run_id, artifact)

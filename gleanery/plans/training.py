@@ -32,6 +32,7 @@ class TrainingResult:
     classes: list[str] | None = None
     models: dict = field(default_factory=dict)
     kind: str = "tabular"
+    failed: dict[str, str] = field(default_factory=dict)
 
 
 def assemble(df: DataFrame, feature_columns: list[str], label, row_id: str) -> DataFrame:
@@ -167,17 +168,18 @@ def train_clusters(df: DataFrame, columns: list[str], row_id: str, starts: int =
         try:
             assigned = keep(make())
             row = clusters.judge(assigned, name, not name.startswith("kmeans")).first()
-            return (tuple(row) if row else None), assigned
-        except Exception:  # noqa: BLE001 - a method may not suit the data
-            return None, None
+            return (tuple(row) if row else None), assigned, None
+        except Exception as problem:  # noqa: BLE001 - a method may not suit the data; the result names it
+            return None, None, str(problem)[:500]
 
     with ThreadPoolExecutor(max_workers=3) as pool:
         found = dict(zip(runs, pool.map(run, runs.items())))
     schema = "model string, family string, silhouette_score double, n_labels bigint, noise_share double, from_bank boolean, metric string"
-    board = clusters.select_clusterings(spark.createDataFrame([r for r, _ in found.values() if r], schema))
+    board = clusters.select_clusterings(spark.createDataFrame([r for r, _, _ in found.values() if r], schema))
     top = board.first()
     return TrainingResult(board, top["model"] if top else None, found[top["model"]][1] if top else None, None, None,
-                          {k: a for k, (_, a) in found.items() if a is not None}, "clustering")
+                          {k: a for k, (_, a, _) in found.items() if a is not None}, "clustering",
+                          {k: why for k, (_, _, why) in found.items() if why})
 
 
 def train_series(df: DataFrame, order: str, value: str, series: str | None = None) -> TrainingResult:

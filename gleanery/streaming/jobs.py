@@ -77,11 +77,18 @@ def profile_long(row: DataFrame, schema) -> DataFrame:
 
 
 def stream_profile(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the profile of all files seen so far; each trigger replaces the stored row."""
+    """Keep the profile of all files seen so far. Each trigger writes a table of its own; readers of an earlier one go on."""
     profile = running_profile(stream)
 
     def store(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return (profile.writeStream.outputMode("complete").foreachBatch(store)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_profile(spark, out: str, schema) -> DataFrame:
+    """The profile after the newest trigger, one row per column."""
+    rows = spark.read.parquet(out)
+    newest = rows.agg(F.max("epoch").alias("e")).first()["e"]
+    return profile_long(rows.filter(F.col("epoch") == newest).drop("epoch"), schema)

@@ -258,6 +258,19 @@ def test_copies_count_as_rows_when_sampling(spark):
     assert out[out.i >= 9000]["anomaly_score"].min() > out[out.i < 3000]["anomaly_score"].max()
 
 
+def test_flags_do_not_depend_on_files(spark, tmp_path):
+    """The same rows in two and in nine files, one row owning a third of them beyond a run of copies."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([np.full((5000, 2), 4.0), rng.normal(size=(9000, 2))])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("ab")).assign(k=[f"r{i}" for i in range(len(x))]))
+    flags = []
+    for files in (2, 9):
+        df.repartition(files).write.parquet(f"{tmp_path}/{files}")
+        out = detect_anomalies(spark.read.parquet(f"{tmp_path}/{files}"), trees=20)
+        flags.append({r["k"] for r in out.filter("is_anomaly = 1").select("k").collect()})
+    assert flags[0] == flags[1] and 0 < len(flags[0]) <= 280
+
+
 def test_no_numbers_no_anomalies(spark):
     df = spark.createDataFrame([("a",), ("b",)], "t string")
     assert detect_anomalies(df).agg(F.sum("is_anomaly")).first()[0] == 0
