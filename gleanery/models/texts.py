@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import words
 from ..operators.text import MAX_VOCAB, NgramVectors
+from ..session import cut
 from .base import Context, Fitted, fit_one_vs_rest, fit_spark
 
 
@@ -58,7 +59,8 @@ class NgramFront(NgramVectors):
 def fit_ngram_model(df: DataFrame, ctx: Context, make, max_features: int = 8000) -> TextModel:
     front = NgramFront(max_features)
     front.fit(df, "text")
-    ready = front.transform(df, "text")
+    # Vectors are written once: solvers and one-against-rest models read them again and again.
+    ready = cut(front.transform(df, "text").select("features", "label"))
     return TextModel(front, make(ready, ctx))
 
 
