@@ -409,7 +409,7 @@ def stream_score(spark, sf):
     model, prep, meta = sinks.load_artifact(spark, path)
     incoming = spark.read.parquet(f"{folder}/incoming")
     stream = jobs.read_stream(spark, f"{folder}/incoming", incoming.schema, max_files=4)
-    jobs.stream_score(stream, model, prep, meta, f"{folder}/scored", f"{folder}/state", ["customer_id"]).awaitTermination()
+    jobs.stream_score(stream, model, prep, meta, f"{folder}/scored", f"{folder}/state", ["customer_id"], log=f"{folder}/log").awaitTermination()
     batch, _ = score_with(spark, path, incoming, ["customer_id"])
     return _same_scores(batch, spark.read.parquet(f"{folder}/scored"))
 

@@ -114,12 +114,16 @@ def latest_analysis(spark: SparkSession, path: str) -> dict | None:
         return None
 
 
-def log_predictions(df: DataFrame, path: str, prediction: str, inputs: list[str], batch: str, records: DataFrame | None = None) -> None:
-    """Append every prediction of a batch, and one row with its size and input means (of ``records``, if given)."""
-    at = F.lit(_now())
-    df.select(F.lit(batch).alias("batch"), at.alias("timestamp"), F.col(prediction).cast("string").alias("prediction")).write.mode("append").parquet(f"{path}/predictions")
+def log_predictions(df: DataFrame, path: str, prediction: str, inputs: list[str], batch: str, records: DataFrame | None = None,
+                    part: str | None = None) -> None:
+    """Append every prediction of a batch, and one row with its size and input means (of ``records``, if given).
+
+    With ``part`` the rows go to a folder of that name and replace what an earlier try left there.
+    """
+    at, mode, own = F.lit(_now()), "overwrite" if part else "append", f"/{part}" if part else ""
+    df.select(F.lit(batch).alias("batch"), at.alias("timestamp"), F.col(prediction).cast("string").alias("prediction")).write.mode(mode).parquet(f"{path}/predictions{own}")
     entry = prediction_log_entry((df if records is None else records).withColumn("_b", F.lit(batch)), inputs, "_b")
-    entry.withColumn("timestamp", at).write.mode("append").parquet(f"{path}/batches")
+    entry.withColumn("timestamp", at).write.mode(mode).parquet(f"{path}/batches{own}")
 
 
 def save_baseline(baseline: DataFrame, path: str, model_id: str) -> None:
