@@ -94,6 +94,11 @@ TEXT_SEQUENCE = [
     Spec("embed_sequence", texts.fit_embed_sequence, True),
 ]
 
+TEXT_REGRESSORS = [
+    Spec("embed_windows", texts.fit_embed_windows),
+    Spec("embed_sequence", texts.fit_embed_sequence),
+]
+
 
 def spec(bank: list[Spec], name: str) -> Spec:
     return next(s for s in bank if s.name == name)

@@ -1,8 +1,9 @@
-"""Text classifiers over one text column."""
+"""Text classifiers over one text column; word vectors also serve regressions (no classes in the context), by ridge regression."""
 
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from ..functions.text import words
 from ..operators.text import MAX_VOCAB, NgramVectors
 from ..session import cut
 from .base import Context, Fitted, fit_one_vs_rest, fit_spark
+from .linear import fit_least_squares
 
 
 class TextModel:
@@ -174,6 +176,9 @@ def _word_model(df: DataFrame, ctx: Context, pooling: str, size: int) -> TextMod
     front.fit(df, ctx.seed, ctx.scaled(6, 1))
     ready = front.transform(df, "text")
     width = front.size * (3 if pooling == "windows" else 2)
+    if not ctx.classes:
+        # One pass over the texts, where gradient steps would take one pass each.
+        return TextModel(front, fit_least_squares(ready, replace(ctx, width=width), l2=1.0 / ctx.n))
     inner = fit_spark(MultilayerPerceptronClassifier(layers=[width, max(8, ctx.scaled(64)), max(2, ctx.classes)], maxIter=ctx.scaled(200, 20), seed=ctx.seed), ready)
     return TextModel(front, inner)
 

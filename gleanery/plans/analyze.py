@@ -180,20 +180,24 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
     save_baseline(baseline, f"{folder}/baseline", source)
 
     prep = None
-    if task == "time_series":
+    text_columns = [c for c in text_columns if c in cleaned.columns and c != target]
+    whole = cleaned.dropna(subset=[*text_columns, *([target] if target else [])])
+    n_text = whole.limit(training.MIN_APPEND_ROWS).count() if text_columns else 0
+    trainers = training.choose_task(task, len(text_columns), n_text, 0, both=True)
+    if "time_series" in trainers:
         result = training.train_series(cleaned, dates[0], target, series)
         names = []
     else:
         prep = Preprocessor()
-        if task == "clustering":
-            features = prep.fit_transform(cleaned, None, dates, [ROW_ID, *[c for c in text_columns if c in cleaned.columns]], [ROW_ID])
+        if "clustering" in trainers:
+            features = prep.fit_transform(cleaned, None, dates, [ROW_ID, *text_columns], [ROW_ID])
             # Clusters are formed on the scaled numbers; dummies stay out.
             dummies = {f"{c}_{v}" for c, values in prep.categories.items() for v in values[1:]}
             names = [c for c in prep.feature_columns if c not in dummies]
             result = training.train_clusters(features, names, ROW_ID, seed=seed, **(cluster_options or {}))
         else:
             known_text = cleaned.dropna(subset=[target])
-            known = known_text.drop(*[c for c in text_columns if c != target])
+            known = known_text.drop(*text_columns)
             flagged = known.withColumn("_test", bucket_of([ROW_ID], 5, seed) == 0)
             train_rows, test_rows = flagged.filter("not _test").drop("_test"), flagged.filter("_test").drop("_test")
             train = prep.fit_transform(train_rows, target, dates, [ROW_ID], [ROW_ID])
@@ -202,8 +206,8 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
             both = train.select(target, ROW_ID, *[quoted(c) for c in names]).unionByName(test.select(target, ROW_ID, *[quoted(c) for c in names]))
             # A table of ids and texts only has nothing for the tabular bank.
             result = training.train_tabular(cut(both), names, target, task, ROW_ID, use_case_id, bank, budget, folds, seed=seed) if names else None
-            if text_columns and task == "classification":
-                text = training.train_text(known_text, text_columns, target, ROW_ID, budget, seed=seed)
+            if "text" in trainers or "sequence" in trainers:
+                text = training.train_text(known_text, text_columns, target, ROW_ID, budget, seed=seed, problem_type=task)
                 if text is not None:
                     result = _better(result, text)
             if result is None:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import joined_text
 from ..functions.types import quoted
-from ..models.bank import TEXT_CLASSIFIERS, TEXT_SEQUENCE, Spec, bank_for
+from ..models.bank import TEXT_CLASSIFIERS, TEXT_REGRESSORS, TEXT_SEQUENCE, Spec, bank_for
 from ..models.base import Context, context_of
 from ..models import cluster as clusters
 from ..models import series as ts
@@ -76,7 +76,11 @@ def evaluate_bank(bank: list[Spec], train: DataFrame, test: DataFrame, problem_t
         marked = train
     marked, test = keep(marked), keep(test)
     has_vector = "features" in marked.columns
-    ctx = context_of(marked, classes, seed, budget) if has_vector else Context(marked.count(), 0, classes, 1.0, 1.0, seed, budget)
+    if has_vector:
+        ctx = context_of(marked, classes, seed, budget)
+    else:
+        row = marked.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("label").alias("std")).first()
+        ctx = Context(row["n"], 0, classes, float(row["std"] or 1.0), 1.0, seed, budget)
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         found = list(pool.map(lambda s: _one(s, marked, test, ctx, problem_type, folds), bank))
     marked.unpersist()
@@ -129,18 +133,24 @@ def train_tabular(features: DataFrame, feature_columns: list[str], target: str,
 
 
 def train_text(df: DataFrame, text_columns: list[str], target: str, row_id: str, budget: float = 1.0, folds: int = 3,
-               bank: list[Spec] | None = None, seed: int = 42) -> TrainingResult | None:
-    """Classical and sequence text models on the joined text; too few rows give none."""
+               bank: list[Spec] | None = None, seed: int = 42, problem_type: str = "classification") -> TrainingResult | None:
+    """Classical and sequence text models on the joined text; too few rows give none. Regressions have sequence models only."""
+    classify = problem_type == "classification"
     complete = df.dropna(subset=[*text_columns, target])
     if complete.limit(MIN_TEXT_ROWS).count() < MIN_TEXT_ROWS:
         return None
-    classes = label_classes(complete, target)
+    classes = label_classes(complete, target) if classify else None
+    label = label_encode(target, classes) if classify else quoted(target).cast("double")
     data = keep(spread(complete).select(quoted(row_id).cast("string").alias("row_id"), joined_text(text_columns).alias("text"),
-                                label_encode(target, classes).alias("label")))
+                                label.alias("label")))
     train, test = train_test_split(data, ["row_id"], seed)
-    classical, sequence = bank or TEXT_CLASSIFIERS, [] if bank else TEXT_SEQUENCE
-    rows, models = evaluate_bank(classical, train, test, "classification", len(classes), folds, budget, seed=seed)
-    more, extra = evaluate_bank(sequence, train, test, "classification", len(classes), 0, budget, parallel=2, seed=seed) if sequence else ([], {})
+    if classify:
+        classical, sequence = bank or TEXT_CLASSIFIERS, [] if bank else TEXT_SEQUENCE
+    else:
+        classical, sequence = [], bank or TEXT_REGRESSORS
+    n = len(classes or [])
+    rows, models = evaluate_bank(classical, train, test, problem_type, n, folds, budget, seed=seed) if classical else ([], {})
+    more, extra = evaluate_bank(sequence, train, test, problem_type, n, 0, budget, parallel=2, seed=seed) if sequence else ([], {})
     models.update(extra)
     board = leaderboard_union(leaderboard_frame(df.sparkSession, rows), leaderboard_frame(df.sparkSession, more)) if more else leaderboard_frame(df.sparkSession, rows)
     done = [r for r in [*rows, *more] if r[6] == "ok"]

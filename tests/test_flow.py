@@ -203,6 +203,13 @@ def test_promotion_scoring_drift_and_stream(spark, analysis):
     stream = jobs.read_stream(spark, f"{folder}/incoming", batch.schema, max_files=2)
     jobs.stream_score(stream, model, prep, meta, f"{folder}/out", f"{folder}/state", ["customer_id"]).awaitTermination()
     assert spark.read.parquet(f"{folder}/out").exceptAll(scored).count() == 0 and spark.read.parquet(f"{folder}/out").count() == 200
+    base = sinks.load_baseline(spark, f"{folder}/baseline", "churn")
+    jobs.stream_score(stream, model, prep, meta, f"{folder}/out2", f"{folder}/state2", ["customer_id"], f"{folder}/log2", base).awaitTermination()
+    assert spark.read.parquet(f"{folder}/out2").drop("epoch").exceptAll(scored).count() == 0 and spark.read.parquet(f"{folder}/log2/predictions").count() == 200
+    assert spark.read.parquet(f"{folder}/log2/batches").agg(F.sum("n_records")).first()[0] == 200
+    assert {r["column"] for r in spark.read.parquet(f"{folder}/log2/drift").collect()} >= {"monthly_charges"}
+    with pytest.raises(ValueError, match="log folder"):
+        jobs.stream_score(stream, model, prep, meta, f"{folder}/out3", f"{folder}/state3", ["customer_id"], baseline=base)
     sinks.log_predictions(scored.join(batch, "customer_id"), f"{folder}/log", "prediction", ["tenure_months", "town"], "b1")
     entry = spark.read.parquet(f"{folder}/log/batches").first()
     assert entry["n_records"] == 200 and list(entry["input_means"]) == ["tenure_months"] and spark.read.parquet(f"{folder}/log/predictions").count() == 200
@@ -269,3 +276,16 @@ def test_text_analysis_names_the_words(spark):
         assert words & {w for t in topics for w in t}
     scored, _ = score_batch(spark, a.artifact, df.drop("kind"), ["ticket_id"])
     assert scored.join(df, "ticket_id").filter("prediction = kind").count() >= 110
+
+
+def test_regression_with_text_gets_sequence_models(spark):
+    rng = np.random.default_rng(1)
+    topics = [["cheap", "small", "plain", "used"], ["luxury", "large", "golden", "new"]]
+    rows = [(i, " ".join(rng.choice(topics[i % 2], 9)) + f" item number{i}", float(rng.normal()), 10.0 * (i % 2) + float(rng.normal()) * 0.3) for i in range(160)]
+    df = spark.createDataFrame(rows, "item_id long, body string, noise double, price double")
+    a = run_analysis(df, "price", bank=[spec(REGRESSORS, "linear_regression")], folds=2, budget=0.4, trees=5, id_columns=["item_id"], allow_continuous=True)
+    board = {r["model"]: r for r in a.leaderboard.collect()}
+    assert set(board) == {"linear_regression", "embed_windows", "embed_sequence"} and a.problem_type == "regression"
+    assert a.best_name.startswith("embed_") and board[a.best_name]["test_score"] > 0.8
+    scored, _ = score_batch(spark, a.artifact, df.drop("price"), ["item_id"])
+    assert scored.join(df, "item_id").filter("abs(prediction - price) < 5").count() >= 150
