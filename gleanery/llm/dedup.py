@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..models.cluster import connected_components
 from ..operators.lookup import lookup_join
@@ -97,10 +97,11 @@ def similarity_estimate(a: str, b: str, how: MinHash):
     return ((1 - apart / F.lit(float(how.size))) - F.lit(c)) / F.lit(1 - c)
 
 
-def sketches(docs: DataFrame, how: MinHash) -> DataFrame:
-    """(doc_id, text_key, digest, n_shingles, bands, signature) of every row; ``text_key`` finds the text again."""
+def sketches(docs: DataFrame, how: MinHash, *more: str) -> DataFrame:
+    """(doc_id, text_key, digest, n_shingles, bands, signature) of every row; ``text_key`` finds the text again. ``more`` are
+    long columns that come along."""
     out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.string()), ("n_shingles", pa.int64()),
-                     ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64()))])
+                     ("bands", pa.list_(pa.int64())), ("signature", pa.list_(pa.int64())), *[(c, pa.int64()) for c in more]])
 
     def run(batches):
         from xxhash import xxh3_64_intdigest, xxh3_128_hexdigest
@@ -119,10 +120,11 @@ def sketches(docs: DataFrame, how: MinHash) -> DataFrame:
                 keys = [xxh3_64_intdigest(row.tobytes(), seed=i) for i, row in enumerate(least.reshape(how.bands, how.rows))]
                 bands.append(np.array(keys, np.uint64).view(np.int64))
                 signatures.append(packed(least, how.bits).view(np.int64))
-            yield arrow_batch(out, part.column(0), part.column(1), digests, sizes, bands, signatures)
+            yield arrow_batch(out, part.column(0), part.column(1), digests, sizes, bands, signatures, *[part.column(c) for c in more])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_key long, digest string, n_shingles long, bands array<long>, signature array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text", *more)
+    schema = "doc_id long, text_key long, digest string, n_shingles long, bands array<long>, signature array<long>"
+    return rows.mapInArrow(run, ", ".join([schema, *[f"{c} long" for c in more]]))
 
 
 def _bucket_rows(classes: DataFrame) -> DataFrame:
@@ -222,6 +224,16 @@ def _links(classes: DataFrame, docs: DataFrame, how: MinHash) -> DataFrame:
     return cut(first.unionByName(rest))
 
 
+def _named(rows: DataFrame, docs: DataFrame, how: MinHash, least: Column) -> DataFrame:
+    """(node, root, ``least``, copies, linked) of every class of the sketched ``rows``; ``least`` is an aggregate over its rows."""
+    classes = cut(rows.filter(F.col("digest").isNotNull()).groupBy(F.col("digest").alias("node")).agg(
+        least, F.min(F.struct("doc_id", "text_key")).alias("who"), F.count(F.lit(1)).alias("copies"),
+        F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")))
+    roots = connected_components(_links(classes, docs, how))
+    name = classes.columns[1]
+    return classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), name, "copies", F.col("root").isNotNull().alias("linked"))
+
+
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each input row.
 
@@ -233,11 +245,7 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     states; no bucket is cut.
     """
     rows = cut(sketches(docs, how))
-    classes = cut(rows.filter(F.col("digest").isNotNull()).groupBy(F.col("digest").alias("node")).agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("who"), F.count(F.lit(1)).alias("copies"),
-        F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")))
-    roots = connected_components(_links(classes, docs, how))
-    named = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id", "copies", F.col("root").isNotNull().alias("linked"))
+    named = _named(rows, docs, how, F.min("doc_id").alias("least_id"))
     ids = named.filter("linked").groupBy("root").agg(F.min("least_id").alias("root_id"))
     facts = cut(named.filter("linked or copies > 1").join(ids, "root", "left").select(
         F.col("node").alias("digest"), "copies", F.coalesce("root_id", "least_id").alias("named_id")))
@@ -248,13 +256,23 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, one for each; a row without doc_id stays unless it repeats
-    a document that has one."""
-    verdict = cut(near_duplicates(docs, how).select("doc_id", "kept"))
-    dropped = small(verdict.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("times")).filter("not kept or times > 1"))
-    marked = docs.alias("d").join(dropped.alias("v"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("v.doc_id")), "left")
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    once = marked.filter(F.col("v.times").isNull()).select(*own)
-    again = marked.filter(F.col("v.kept") & (F.col("v.times") > 1))
-    first = again.select(*own).dropDuplicates(["doc_id"])
-    return once.unionByName(first)
+    """The rows of ``docs`` that stand for their component, one for each: the one with the smallest doc_id, and a row without
+    one only where no other has any. Rows are told apart by a number of their own, so different texts stay whether they share
+    a doc_id or have none. Texts without words have no links; of those that repeat a doc_id and a text one stays."""
+    row = "_dedup_row"
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = cut(sketches(numbered, how, row))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "text_key", row)
+    named = cut(_named(rows, numbered, how, F.min(order).alias("first")))
+    firsts = named.filter("linked").groupBy("root").agg(F.min("first").alias("root_first"))
+    linked = named.filter("linked or copies > 1").join(firsts, "root", "left").select(
+        F.col("node").alias("key"), "copies", F.coalesce("root_first", "first")[row].alias("stays"))
+    # A row without words and doc_id has no key: nothing says that it repeats another.
+    keyed = rows.select(row, F.coalesce("digest", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text_key").cast("string"))).alias("key"), "digest")
+    wordless = keyed.filter(F.col("digest").isNull() & F.col("key").isNotNull()).groupBy("key").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(row).alias("stays")).filter("copies > 1")
+    facts = cut(linked.unionByName(wordless))
+    sizes = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    found = lookup_join(keyed.select(row, "key"), facts, "key", "copies", ["stays"], sizes[0], sizes[1])
+    dropped = small(found.filter(F.col("stays") != F.col(row)).select(row))
+    return numbered.join(dropped, row, "left_anti").drop(row)

@@ -79,6 +79,19 @@ def test_one_of_each_stays(spark):
     assert sorted(str(r["doc_id"]) for r in left.filter("doc_id is not null").collect()) == expected
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Different texts under no doc_id or one stay, copies go, whatever else the id stands for."""
+    def text(name):
+        return " ".join(f"{name}{i}" for i in range(30))
+
+    rows = [(1, text("a")), (None, text("a")), (None, text("b")), (None, text("c")), (None, text("c").upper()), (2, text("d")), (2, text("e")), (2, text("a")),
+            (3, text("d") + " more"), (None, None), (None, ""), (None, None), (4, None), (4, None), (4, "")]
+    left = dedup.keep_one_of_each(spark.createDataFrame([(*r, "other") for r in rows], SCHEMA).repartition(4))
+    got = sorted((str(r["doc_id"]), str(r["text"]).lower()) for r in left.collect())
+    assert got == sorted([("1", text("a")), ("None", text("b")), ("None", text("c")), ("2", text("d")), ("2", text("e")),
+                          ("None", "none"), ("None", ""), ("None", "none"), ("4", "none"), ("4", "")])
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert dedup.near_duplicates(empty).collect() == []
