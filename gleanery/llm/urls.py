@@ -44,15 +44,13 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
 
 @dataclass(frozen=True)
 class TemplateTree:
-    """A branch keeps its own segment with ``share`` of its parent's rows, ``least`` rows, and a blocked rate that
-    differs from its siblings' by ``z`` standard errors; the other branches merge into a wildcard. Rates lean
-    on the parent's with the weight of ``prior`` labelled rows. Segments after ``depth`` are one wildcard."""
+    """A branch keeps its own segment with ``least`` rows and a blocked rate that differs from its siblings' by ``z`` standard
+    errors, whatever its share; the other branches merge into a wildcard. Rates lean on the parent's with the weight of ``prior``
+    labelled rows. The tree is as deep as the paths."""
 
-    share: float = 0.02
     least: int = 5
     z: float = 2.0
     prior: float = 2.0
-    depth: int = 8
     cutoff: float = 0.5
 
 
@@ -68,12 +66,12 @@ def _differs(how: TemplateTree) -> Column:
 def template_verdicts(paths: DataFrame, how: TemplateTree = TemplateTree()) -> DataFrame:
     """(host, path, template, purity) for rows (host, path, n, known, blocked), unique by host and path.
 
-    One pass per level of the tree: counts per branch, which branches stay, the smoothed blocked rate of every node. Nodes
-    are only ever summed, so a host with most of the rows is spread like any other.
+    One pass per level of the tree: counts per branch, which branches stay, the smoothed blocked rate of every node. A path
+    leaves the loop where its segments end. Nodes are only ever summed, so a host with most of the rows is spread like any other.
     """
-    totals = paths.agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"), F.max(F.size(F.split("path", "/"))).alias("deep")).first()
-    overall = totals["blocked"] / totals["known"] if totals["known"] else 0.0
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
+    totals = paths.agg(F.sum("known").alias("known"), F.sum("blocked").alias("blocked"), F.max(F.size(parts)).alias("deep")).first()
+    overall = totals["blocked"] / totals["known"] if totals["known"] else 0.0
     rows = paths.select("*", parts.alias("parts"), F.lit("").alias("template"), F.lit(float(overall)).alias("purity"))
 
     def smoothed(rows: DataFrame) -> DataFrame:
@@ -82,19 +80,22 @@ def template_verdicts(paths: DataFrame, how: TemplateTree = TemplateTree()) -> D
         rate = (F.col("node_blocked") + how.prior * F.col("purity")) / (F.col("node_known") + how.prior)
         return cut(met.withColumn("purity", rate).drop("node_known", "node_blocked"))
 
-    rows = smoothed(rows)
-    for level in range(min(how.depth, totals["deep"] or 0)):
+    rows, done = smoothed(rows), []
+    for level in range(totals["deep"] or 0):
         going = F.size("parts") > level
-        rows = rows.withColumn("branch", F.when(going, F.get("parts", F.lit(level))))
-        branches = rows.filter(going).groupBy("host", "template", "branch").agg(*[F.sum(c).alias(c) for c in ("n", "known", "blocked")])
+        # Paths that end at a node are a branch of it.
+        done.append(smoothed(rows.filter(~going)))
+        rows = rows.filter(going).withColumn("branch", F.get("parts", F.lit(level)))
+        branches = rows.groupBy("host", "template", "branch").agg(*[F.sum(c).alias(c) for c in ("n", "known", "blocked")])
         nodes = branches.groupBy("host", "template").agg(*[F.sum(c).alias(f"node_{c}") for c in ("n", "known", "blocked")])
-        stays = branches.join(nodes, ["host", "template"]).filter(
-            (F.col("n") >= how.least) & (F.col("n") >= how.share * F.col("node_n")) & _differs(how)).select("host", "template", "branch", F.lit(True).alias("stays"))
+        stays = branches.join(nodes, ["host", "template"]).filter((F.col("n") >= how.least) & _differs(how)).select("host", "template", "branch", F.lit(True).alias("stays"))
         met = rows.join(small(stays), ["host", "template", "branch"], "left")
-        step = F.when(F.col("branch").isNull(), F.lit("")).when(F.col("stays"), F.concat(F.lit("/"), "branch")).otherwise(F.lit("/*"))
-        moved = met.withColumn("before", F.col("template")).withColumn("template", F.concat("template", step)).drop("stays", "branch")
-        rows = smoothed(moved.drop("before"))
-    return rows.select("host", "path", "template", "purity")
+        step = F.when(F.col("stays"), F.concat(F.lit("/"), "branch")).otherwise(F.lit("/*"))
+        rows = smoothed(met.withColumn("template", F.concat("template", step)).drop("stays", "branch"))
+    out = smoothed(rows)
+    for more in done:
+        out = out.unionByName(more)
+    return out.select("host", "path", "template", "purity")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], how: TemplateTree = TemplateTree()) -> DataFrame:

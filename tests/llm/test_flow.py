@@ -51,6 +51,20 @@ def test_templates_learn_what_rules_say(spark):
     assert urls.judge_urls(frame.filter("false"), rules).collect() == []
 
 
+def test_small_and_deep_branches_stay_apart(spark):
+    rules = [urls.Rule("allow", "h.net", "/fr/"), urls.Rule("block", "h.net", "/de/")]
+    paths = [f"/fr/{i}" for i in range(980)] + [f"/de/{i}" for i in range(20)] + [f"/en/{i}" for i in range(1000)] + ["/en", "/", ""]
+    frame = spark.createDataFrame([(i, f"http://h.net{p}") for i, p in enumerate(paths)], "page_id long, url string")
+    got = {r["path"]: r for r in urls.judge_urls(frame, rules).collect()}
+    assert len(got) == len(paths) and got["/de/3"]["template"] == "/de/*" and got["/fr/3"]["template"] == "/fr/*"
+    assert all(r["verdict"] == ("block" if p.startswith("/de/") else "allow") for p, r in got.items())
+    deep = "/a/b/c/d/e/f/g/h/i/j"
+    rules = [urls.Rule("block", "h.net", f"{deep}/ads/1"), urls.Rule("allow", "h.net", f"{deep}/news/1")]
+    frame = spark.createDataFrame([(n, f"http://h.net{deep}/{kind}/{n}/x") for kind in ("ads", "news") for n in range(100, 300)], "page_id long, url string")
+    for r in urls.judge_urls(frame, rules).collect():
+        assert r["verdict"] == ("block" if "/ads/" in r["path"] else "allow")
+
+
 def test_targets():
     sizes = {"a": 100, "b": 10, None: 1000, "c": 0}
     got = mixing.targets(sizes)
