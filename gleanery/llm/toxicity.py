@@ -19,11 +19,12 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Scoring:
     """``hinge``: how many nats above a text's usual log-likelihood ratio a word must lie to speak for a class; ``sample``: labelled rows
-    that the calibration may hold; ``share``: part of the labelled texts that must hold a word for it to count by class."""
+    that the calibration may hold; ``table``: words whose ratios every task holds, at 16 bytes each; the rarer words of a larger
+    vocabulary are joined by word."""
 
     hinge: float = 2.0
-    share: float = 0.0005
     sample: int = 20_000
+    table: int = 4_000_000
 
 
 def expressions(text: str) -> list[str]:
@@ -73,50 +74,66 @@ def _discounts(singles: int, twos: int, threes: int, fours: int) -> tuple[float,
 
 @dataclass
 class Ratios:
-    """Log-likelihood ratio of each common word, and of all others."""
+    """Log-likelihood ratio of each word by its hash, and of a word that neither class has seen.
 
-    values: dict[str, float]
-    rare: float
+    ``keys``, in ascending order, and ``values`` hold all words, or the most common ones if there are too many; then ``rest``
+    has (key, value) of the others.
+    """
 
+    keys: np.ndarray
+    values: np.ndarray
+    unseen: float
+    rest: DataFrame | None
 
-def fit_ratios(counts: DataFrame, documents: int, share: float) -> Ratios | None:
-    """log p(word | toxic) - log p(word | ordinary), each class discounted and topped up from the shared distribution.
 
-    A word found in fewer than two of the ``documents`` labelled ones, or in less than ``share`` of them, is rare: both
-    classes leave it to the shared distribution, so that it says the same about either class whatever it is. The other
-    words number at most the mean count of distinct words in a text divided by ``share``, however large the corpus. None
-    unless both classes have words.
-    """
-    least = max(2, math.ceil(share * documents))
-    common = F.col("contexts") >= least
+def fit_ratios(counts: DataFrame, table: int) -> Ratios | None:
+    """log p(word | toxic) - log p(word | ordinary) of every word, each class discounted and topped up from the shared
+    distribution. None unless both classes have words."""
+    steps = [1 << k for k in range(1, 62)]
     totals = counts.agg(
-        F.sum("contexts").alias("contexts"), F.count(F.lit(1)).alias("words"),
-        *[a for c in ("toxic_n", "plain_n") for a in (
-            F.sum(c).alias(c), *[F.count_if(F.col(c) == k).alias(f"{c}{k}") for k in (1, 2, 3, 4)],
-            *[F.sum(F.when(common & test, 1).otherwise(0)).alias(f"{c}_{name}") for name, test in (("one", F.col(c) == 1), ("two", F.col(c) == 2), ("more", F.col(c) >= 3))],
-            F.sum(F.when(common, 0).otherwise(F.col(c))).alias(f"{c}_rare"))]).first()
+        F.sum("contexts").alias("contexts"), F.count(F.lit(1)).alias("words"), *[F.count_if(F.col("contexts") >= n).alias(f"from{n}") for n in steps],
+        *[a for c in ("toxic_n", "plain_n") for a in (F.sum(c).alias(c), *[F.count_if(F.col(c) == k).alias(f"{c}{k}") for k in (1, 2, 3, 4)],
+                                                       F.count_if(F.col(c) >= 3).alias(f"{c}_more"))]).first()
     if not totals["toxic_n"] or not totals["plain_n"]:
         return None
     shared = (F.col("contexts") + 0.5) / (totals["contexts"] + 0.5 * (totals["words"] + 1))
 
     def model(c: str) -> tuple[Column, float]:
         d = _discounts(*[totals[f"{c}{k}"] for k in (1, 2, 3, 4)])
-        left = (d[0] * totals[f"{c}_one"] + d[1] * totals[f"{c}_two"] + d[2] * totals[f"{c}_more"] + totals[f"{c}_rare"]) / totals[c]
+        left = (d[0] * totals[f"{c}1"] + d[1] * totals[f"{c}2"] + d[2] * totals[f"{c}_more"]) / totals[c]
         off = F.when(F.col(c) == 0, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
         return (F.col(c) - off) / totals[c] + left * shared, left
 
     (toxic, toxic_left), (plain, plain_left) = model("toxic_n"), model("plain_n")
-    rows = counts.filter(common).select("word", F.log(toxic / plain).alias("value")).toArrow()
-    return Ratios(dict(zip(rows["word"].to_pylist(), rows["value"].to_pylist())), math.log(toxic_left / plain_left))
+    known = counts.select(F.xxhash64("word").alias("key"), F.log(toxic / plain).alias("value"), "contexts")
+    least = 0 if totals["words"] <= table else next(n for n in steps if totals[f"from{n}"] <= table)
+    rows = known.filter(F.col("contexts") >= least).select("key", "value").toArrow()
+    keys, values = rows["key"].to_numpy(), rows["value"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    rest = known.filter(F.col("contexts") < least).select("key", "value") if least else None
+    return Ratios(keys[order], values[order], math.log(toxic_left / plain_left), rest)
 
 
 class _Lookup(dict):
-    def __init__(self, ratios: Ratios):
-        super().__init__(ratios.values)
-        self.rare = ratios.rare
+    """(ratio, hash) of words, remembered up to a bound; the ratio of a word that is not in the table is not a number."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bound: int = 400_000):
+        super().__init__()
+        self.keys, self.values, self.bound = keys, values, bound
+
+    def learn(self, words: set[str]) -> None:
+        from xxhash import xxh64_intdigest
 
-    def __missing__(self, word: str) -> float:
-        return self.rare
+        if len(self) >= self.bound:
+            self.clear()
+        new = [w for w in words if w not in self]
+        # The seed is that of Spark's function.
+        keys = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in new], np.uint64).view(np.int64)
+        got = np.full(len(new), np.nan)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            got = np.where(self.keys[at] == keys, self.values[at], np.nan)
+        self.update(zip(new, zip(got.tolist(), keys.tolist())))
 
 
 def evidence(values: np.ndarray, hinge: float) -> float:
@@ -131,18 +148,51 @@ def evidence(values: np.ndarray, hinge: float) -> float:
 
 def evidence_of(docs: DataFrame, ratios: Ratios | None, hinge: float) -> DataFrame:
     """(doc_id, evidence) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+    if ratios is None:
+        return docs.select("doc_id", F.lit(0.0).alias("evidence"))
+    sent, unseen, whole = docs.sparkSession.sparkContext.broadcast((ratios.keys, ratios.values)), ratios.unseen, ratios.rest is None
 
-    def run(batches):
-        table = _Lookup(sent.value) if sent.value else None
+    def looked_up(batches):
+        """Each slice of rows, and per text the ratios and hashes of its words."""
+        table = _Lookup(*sent.value)
         for part, texts in texts_of(batches):
-            got = []
-            for text in texts:
-                words = expressions(text or "") if table else []
-                got.append(evidence(np.fromiter(map(table.__getitem__, words), np.float64, len(words)), hinge) if words else 0.0)
+            words = [expressions(t or "") for t in texts]
+            table.learn({w for own in words for w in own})
+            yield part, [np.array([table[w] for w in own], [("value", "f8"), ("key", "i8")]) for own in words]
+
+    def run(batches):
+        for part, found in looked_up(batches):
+            got = [evidence(np.where(np.isnan(f["value"]), unseen, f["value"]), hinge) for f in found]
             yield pa.record_batch([part.column(0), pa.array(got, pa.float64())], names=["doc_id", "evidence"])
 
-    return docs.mapInArrow(run, "doc_id long, evidence double")
+    if whole:
+        return docs.mapInArrow(run, "doc_id long, evidence double")
+
+    # Some words are beyond the table: each row asks for those it holds, once each with its count.
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("known", pa.list_(pa.float64())),
+                        ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+
+    def ask(batches):
+        for part, found in looked_up(batches):
+            away = [np.unique(f["key"][np.isnan(f["value"])], return_counts=True) for f in found]
+            yield arrow_batch(schema, part.column(0), part.column("row"), [f["value"][~np.isnan(f["value"])] for f in found],
+                              [k for k, _ in away], [n for _, n in away])
+
+    def answer(batches):
+        for batch in batches:
+            got = []
+            for known, times, values, counts in zip(*(batch.column(c).to_pylist() for c in ("known", "times", "values", "counts"))):
+                values, counts = values or [], counts or []
+                missing = sum(times) - sum(counts)
+                got.append(evidence(np.concatenate([known, np.repeat(np.array(values, float), np.array(counts, int)), np.full(missing, unseen)]), hinge))
+            yield pa.record_batch([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "evidence"])
+
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    asked = cut(numbered.mapInArrow(ask, "doc_id long, row long, known array<double>, keys array<long>, times array<long>"))
+    each = asked.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("key"), F.col("w.times").alias("n"))
+    told = each.join(ratios.rest, "key").groupBy("row").agg(F.collect_list(F.struct("value", "n")).alias("told"))
+    both = asked.join(told, "row", "left").select("doc_id", "known", "times", F.col("told.value").alias("values"), F.col("told.n").alias("counts"))
+    return both.mapInArrow(answer, "doc_id long, evidence double")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -175,7 +225,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fold: Column, calibrate:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     learn = rows.join(small(marks.filter(F.col("fold") != calibrate).select("doc_id", "toxic")), "doc_id").select("text", "toxic")
     counts = cut(class_counts(learn))
-    ratios = fit_ratios(counts, marks.filter(F.col("fold") != calibrate).count(), how.share)
+    ratios = fit_ratios(counts, how.table)
     measured = cut(evidence_of(rows, ratios, how.hinge))
     held = measured.join(small(marks.filter(F.col("fold") == calibrate).select("doc_id", "toxic")), "doc_id")
     # A bounded sample by hash: one row per bucket.

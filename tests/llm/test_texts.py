@@ -221,3 +221,24 @@ def test_toxicity(spark):
     none = toxicity.score_toxicity(docs, labels.filter("false"), fold_of("doc_id", 5))
     assert none.filter("predicted = 1").count() == 0
     assert toxicity.score_toxicity(docs.filter("false"), labels, fold_of("doc_id", 5)).collect() == []
+
+
+def test_toxicity_of_rare_words(spark):
+    """A word of one labelled text counts by class, and ratios that are joined by word say the same as the broadcast ones."""
+    import zlib
+
+    draw, rows = random.Random(11), []
+    words = [f"{a}{b}" for a in "bcdfghk" for b in ("an", "ere", "ou", "ing")]
+    marks = [(i, int(i % 4 == 0)) for i in range(400)]
+    learnt = next(i for i, toxic in marks if toxic and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3))
+    for i, toxic in marks:
+        own = [draw.choice(words) for _ in range(50)] + ["scumm", "trasho"] * (2 * toxic) + [f"only{chr(97 + i % 26)}{chr(97 + i // 26)}x"]
+        rows.append((i, " ".join(own + ["zzslur"] * (5 * (i == learnt)))))
+    plain = " ".join(words)
+    docs = spark.createDataFrame([*rows, (1000, f"{plain} zzslur zzslur"), (1001, f"{plain} zzother zzother"), (1002, None), (1002, "!")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    one = sorted((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(docs, labels, fold_of("doc_id", 5)).collect())
+    scores = dict(one)
+    assert scores[1000] > scores[1001] + 1e-6
+    two = sorted((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(docs, labels, fold_of("doc_id", 5), how=toxicity.Scoring(table=30)).collect())
+    assert [d for d, _ in one] == [d for d, _ in two] and [s for _, s in one] == pytest.approx([s for _, s in two])
