@@ -46,7 +46,14 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 O, B, I = 0, 1, 2
 
 
+_KINDS_OF = str.maketrans({c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c if c in "\"'=:;,.!?()[]{}|/+-_@#" else "x"
+                           for c in map(chr, range(128))})
+_RUN = re.compile(r"(.)\1+")
+
+
 def _shape(word: str) -> str:
+    if word.isascii():
+        return _RUN.sub(r"\1", word[:64].translate(_KINDS_OF))[:12]
     out = []
     for c in word[:64]:
         kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c if c in "\"'=:;,.!?()[]{}|/+-_@#" else "x"
@@ -61,10 +68,14 @@ PLAIN = re.compile(rb"[A-Za-z\x80-\xff.,!?;]+")
 
 def word_features(word: str) -> list[str]:
     """What a word shows of itself, whatever its neighbours."""
-    if PLAIN.fullmatch(word.encode("utf-8", "surrogatepass")):
-        return ["plain", f"w{word.lower().rstrip('.,!?;')[:12]}"]
     core = VALUE.search(word)
     value = core.group() if core else ""
+    if PLAIN.fullmatch(word.encode("utf-8", "surrogatepass")):
+        # Without digits, turns and last signs: they are the same for all plain words and would only repeat the bias.
+        out = ["plain", f"w{word.lower().rstrip('.,!?;')[:12]}", f"n{min(len(value) // 4, 10)}", f"s{_shape(word)[:4]}"]
+        if value:
+            out += [f"u{min(len(set(value)) // 4, 6)}", "mixed" if value != value.lower() and value != value.upper() else "one"]
+        return out
     digits = sum(c.isdigit() for c in value)
     out = [f"n{min(len(value) // 4, 10)}", f"d{min(4, 5 * digits // max(1, len(value)))}", f"s{_shape(word)[:4]}"]
     if value:
@@ -78,6 +89,11 @@ def word_features(word: str) -> list[str]:
     return out
 
 
+def shown(names: list[str]) -> list[str]:
+    """Of a word's features, what its neighbours see: of a plain word that it is one, and which."""
+    return names[:2] if names[0] == "plain" else names
+
+
 def file_feature(words: list[str]) -> str:
     """How much of the text holds digits, in four steps."""
     share = sum(any(c.isdigit() for c in w) for w in words) / max(1, len(words))
@@ -117,8 +133,8 @@ def _sequence_features(words: list[str]) -> list[list[str]]:
     out = []
     for i in range(len(words)):
         names = ["bias", whole, *own[i]]
-        names += [f"-{n}" for n in own[i - 1]] if i else ["-start"]
-        names += [f"+{n}" for n in own[i + 1]] if i + 1 < len(words) else ["+end"]
+        names += [f"-{n}" for n in shown(own[i - 1])] if i else ["-start"]
+        names += [f"+{n}" for n in shown(own[i + 1])] if i + 1 < len(words) else ["+end"]
         out.append(names)
     return out
 
@@ -222,16 +238,20 @@ class _Rows(dict):
     def __init__(self, field: Field, bound: int):
         super().__init__()
         self.field, self.bound, self.row_of, self.scores = field, bound, {}, []
+        self.weighted = {n for w in field.weights for n in ((w, w[1:]) if w[0] in "-+" else (w,))}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
             self.clear()
         text = word.decode("utf-8", "replace")
-        names = [n for n in word_features(text) if any(side + n in self.field.weights for side in ("", "-", "+"))]
+        names = word_features(text)
+        beside = shown(names)
+        names = [n for n in names if n in self.weighted]
         key = (*names, any(c.isdigit() for c in text))
         if key not in self.row_of:
             self.row_of[key] = len(self.scores)
-            self.scores.append(np.concatenate([*(self.field.score([side + n for n in names]) for side in ("", "-", "+")), [float(key[-1])]]))
+            beside = [n for n in beside if n in self.weighted]
+            self.scores.append(np.concatenate([self.field.score(names), *(self.field.score([side + n for n in beside]) for side in "-+"), [float(key[-1])]]))
         row = self[word] = self.row_of[key]
         return row
 

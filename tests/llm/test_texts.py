@@ -142,6 +142,25 @@ def test_field_finds_what_the_patterns_miss(spark):
     assert secrets.fit_field(frame(spark, ["nothing here", None])) is None
 
 
+def test_field_finds_secrets_of_letters(spark):
+    draw = random.Random(5)
+    words = ["thander", "of", "in", "the", "reou", "onth", "Considerable", "Mr.", "misunderstanding,", "ed.", "NASA", "Vienna", "wonderful"]
+
+    def text(middle):
+        return " ".join([draw.choice(words) for _ in range(25)] + middle + [draw.choice(words) for _ in range(25)])
+
+    def value():
+        return "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24))
+
+    learn = [text([f"token={value()}" if i % 2 else "token: " + value()]) for i in range(200)] + [text([]) for _ in range(200)]
+    scanner = secrets.Scanner(secrets.fit_field(frame(spark, learn), 300))
+    for before in (["credential:"], ["credential", "="]):
+        found = [secrets.scan_text(text([*before, value()]), scanner) for _ in range(40)]
+        clean = [secrets.scan_text(text([*before, "considerable"]), scanner) for _ in range(100)]
+        assert sum(len(added) == 1 and not base for base, added in found) >= 36
+        assert not any(added for _, added in clean)
+
+
 def test_pruning_keeps_the_best_path():
     field = secrets.train([secrets.tagged("a b token = abcdef123456 c d") for _ in range(5)] + [secrets.tagged("a b c d e") for _ in range(5)])
     scanner, draw = secrets.Scanner(field), random.Random(1)
