@@ -427,3 +427,17 @@ def test_far_steps_equal_the_recursion(order):
         w.append(nxt)
         level += nxt
         assert path.level(h) == pytest.approx(level)
+
+
+def test_cluster_query_runs_the_whole_job(monkeypatch):
+    """The registered query hands the library no smaller choice of cluster numbers or methods."""
+    from types import SimpleNamespace
+    from unittest.mock import MagicMock
+
+    from gleanery.catalog import learning
+
+    asked = {}
+    monkeypatch.setattr(learning, "run_analysis", lambda *_, **options: asked.update(options) or SimpleNamespace(leaderboard=None))
+    monkeypatch.setattr(learning, "table", MagicMock())
+    learning.analyze_clusters(None, None)
+    assert asked["source"] == "parts" and "cluster_options" not in asked
