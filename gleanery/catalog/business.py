@@ -160,6 +160,7 @@ def shap_aggregate(spark, sf):
 
 _VECTOR = "(SELECT label, unnest(embedding) AS v, 'e' || (unnest(range(1, 65)) - 1) AS feature FROM embeddings)"
 _MEANS = f"(SELECT label AS cluster, feature, count(*) AS size, round(avg(CAST(v AS DOUBLE)), 4) AS mean_value FROM {_VECTOR} GROUP BY ALL)"
+_EXACT_MEANS = _MEANS.replace("round(avg(CAST(v AS DOUBLE)), 4)", "avg(CAST(v AS DOUBLE))")
 
 
 def _spread_embeddings(spark, sf):
@@ -173,7 +174,7 @@ def cluster_profiles(spark, sf):
     return ex.cluster_profiles(df, "label", names)
 
 
-@query("cluster_importance", f"SELECT feature, round(var_samp(mean_value), 8) AS importance FROM {_MEANS} GROUP BY feature ORDER BY var_samp(mean_value) DESC, feature LIMIT 10")
+@query("cluster_importance", f"SELECT feature, round(var_samp(mean_value), 8) AS importance FROM {_EXACT_MEANS} GROUP BY feature ORDER BY var_samp(mean_value) DESC, feature LIMIT 10")
 def cluster_importance(spark, sf):
     df, names = _spread_embeddings(spark, sf)
     return ex.cluster_importance(df, "label", names).withColumn("importance", F.round("importance", 8))

@@ -230,10 +230,11 @@ def native_importance(model, names: list[str], spark, n: int = 10) -> DataFrame:
 
 # ---------------------------------------------------------------- clusters
 
-def cluster_means(df: DataFrame, cluster: str, columns: list[str], digits: int = 4) -> DataFrame:
+def cluster_means(df: DataFrame, cluster: str, columns: list[str], digits: int | None = 4) -> DataFrame:
     """(cluster, size, feature, mean_value), one aggregation; the table is clusters x features long."""
+    shown = lambda mean: mean if digits is None else F.round(mean, digits)
     wide = df.groupBy(F.col(cluster).alias("cluster")).agg(
-        F.count(F.lit(1)).alias("size"), *[F.round(F.avg(quoted(c).cast("double")), digits).alias(f"m{i}") for i, c in enumerate(columns)])
+        F.count(F.lit(1)).alias("size"), *[shown(F.avg(quoted(c).cast("double"))).alias(f"m{i}") for i, c in enumerate(columns)])
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("mean_value")) for i, c in enumerate(columns)])
     return wide.select("cluster", "size", F.inline(cells))
 
@@ -245,8 +246,8 @@ def cluster_profiles(df: DataFrame, cluster: str, columns: list[str], n: int = 1
 
 
 def cluster_importance(df: DataFrame, cluster: str, columns: list[str], n: int = 10) -> DataFrame:
-    """Sample variance of the rounded cluster means."""
-    spread = cluster_means(df, cluster, columns).groupBy("feature").agg(F.var_samp("mean_value").alias("importance"))
+    """Sample variance of the cluster means, not of their rounded display."""
+    spread = cluster_means(df, cluster, columns, None).groupBy("feature").agg(F.var_samp("mean_value").alias("importance"))
     return top_features(spread.filter(F.col("importance").isNotNull()), n=n)
 
 
