@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut
-from . import dedup, language, manifest, mixing, pieces, quality, secrets, tokencount, topk, toxicity, urls
+from . import alignment, dedup, language, manifest, mixing, pieces, quality, secrets, tokencount, topk, toxicity, urls
 from .common import fold_of, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,14 @@ def model_bytes(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
+def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
+    """The same for a tokenizer in one JSON file of about a megabyte."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        return f.read()
+
+
 _NEAR_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -128,6 +136,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
 
 
+@_query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_json(), model_bytes())
+
+
 _FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", "text"))
 _MERKLE_SQL = f"""
 WITH RECURSIVE marked AS (
