@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import cut
-from . import alignment, dedup, language, manifest, mixing, pieces, quality, secrets, tokencount, topk, toxicity, urls
+from . import alignment, dedup, language, manifest, mixing, overlap, pieces, quality, secrets, tokencount, topk, toxicity, urls
 from .common import fold_of, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,13 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, l
 @_query("op12_merkle_manifest", _MERKLE_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents"))
+
+
+_NGRAM_SQL = _NEAR_SQL.replace("WHEN len(w) = 1 THEN [w[1]]", "WHEN len(w) < 4 THEN [array_to_string(w, ' ')]").replace(
+    "range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]", "range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')").replace(
+    ">= 80 *", ">= 85 *").replace(", doc_id = component_id AS kept", "")
+
+
+@_query("op13_ngram_join", _NGRAM_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.ngram_components(table(spark, sf_dir, "documents"))
