@@ -1,9 +1,10 @@
 """Exact Jaccard join of word n-gram sets by T-occurrence search over inverted lists.
 
-Two sets that are similar enough share an n-gram among the rarest few of each, so the lists of those n-grams bring candidates together. Bit parities rule out
-most pairs without their sets. For the rest, blocks of sets are indexed and searched with DivideSkip: short lists are
-merged by a heap, long ones probed by binary search, and documents that reach the required overlap are kept. Only links
-that can still connect something are looked for; no pair that the lists hold is dropped.
+Two sets that are similar enough share an n-gram among the rarest few of each, fewer still of the smaller one, so the lists of those
+n-grams bring candidates together. Bit parities rule out most pairs without their sets. For the rest, blocks of sets are
+indexed and searched with DivideSkip: short lists are merged by a heap, long ones probed by binary search, and documents
+that reach the required overlap are kept. Only links that can still connect something are looked for; no pair that the
+lists hold is dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BLOCK, SHORT_LIST = 256, 8
 #: 64-bit words of the parities of a set.
 PARITY = 16
 #: n-grams of a task that are counted at once.
-COUNTED = 2_000_000
+COUNTED = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -188,9 +189,10 @@ def frequent_ngrams(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sets(docs: DataFrame, how: Join) -> DataFrame:
-    """(doc_id, text_key, row, digest, n, rare, parity) of every row; ``rare`` are the n-grams that any similar set shares one of."""
+    """(doc_id, text_key, node, digest, n, rare, parity) of every row, ``node`` being its number; ``rare`` are the n-grams of which any similar
+    set shares one, rarest first."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, how))
-    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("row", pa.int64()), ("digest", pa.string()), ("n", pa.int64()),
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("digest", pa.string()), ("n", pa.int64()),
                      ("rare", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -214,22 +216,38 @@ def _sets(docs: DataFrame, how: Join) -> DataFrame:
                 parity.append(parities(items).view(np.int64))
             yield arrow_batch(out, part.column(0), part.column(1), part.column(2), digests, sizes, rare, parity)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row"), "text")
-    return cut(rows.mapInArrow(run, "doc_id long, text_key long, row long, digest string, n long, rare array<long>, parity array<long>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("node"), "text")
+    return cut(rows.mapInArrow(run, "doc_id long, text_key long, node long, digest string, n long, rare array<long>, parity array<long>"))
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, how: Join) -> DataFrame:
-    """(node, items) of the wanted (node, doc_id, text_key), each set once."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").alias("d")
-    met = texts.join(small_bytes(cut(wanted)).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key")))
-    schema = pa.schema([("node", pa.int64()), ("items", pa.binary())])
+class FullSets:
+    """(node, items) of the nodes that were asked for; texts are read again for those that are new."""
 
-    def run(batches):
-        hashes = Hashes()
-        for part, rows in texts_of(batches):
-            yield arrow_batch(schema, part.column(0), [shingle_set(t, how.words, hashes).tobytes() for t in rows])
+    def __init__(self, docs: DataFrame, facts: DataFrame, how: Join):
+        self.docs, self.facts, self.how, self.table = docs, facts, how, None
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        wanted = nodes.select("node").distinct()
+        wanted = cut(wanted if self.table is None else wanted.join(self.table.select("node"), "node", "left_anti"))
+        if self.table is None or not wanted.isEmpty():
+            fresh = self._read(cut(self.facts.select("node", "who", "copies").join(wanted, "node")))
+            self.table = fresh if self.table is None else self.table.unionByName(fresh)
+        return self.table
 
-    return cut(met.select("w.node", "d.text").mapInArrow(run, "node long, items binary").groupBy("node").agg(F.any_value("items").alias("items")))
+    def _read(self, wanted: DataFrame) -> DataFrame:
+        how, schema = self.how, pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("items", pa.binary())])
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").alias("d")
+        met = texts.join(small_bytes(wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.who.doc_id")) & (F.col("d.text_key") == F.col("w.who.text_key")))
+
+        def run(batches):
+            hashes = Hashes()
+            for part, rows in texts_of(batches):
+                yield arrow_batch(schema, part.column(0), part.column(1), [shingle_set(t, how.words, hashes).tobytes() for t in rows])
+
+        # A class of several rows may be found several times.
+        once = met.filter("w.copies = 1").select("w.node", "w.copies", "d.text")
+        more = met.filter("w.copies > 1").select("w.node", "w.copies", "d.text").groupBy("node", "copies").agg(F.any_value("text").alias("text"))
+        return cut(once.unionByName(more).mapInArrow(run, "node long, copies long, items binary").select("node", "items"))
 
 
 # ---------------------------------------------------------------- links
@@ -261,9 +279,9 @@ def _searched(blocks: DataFrame, how: Join) -> DataFrame:
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _blocks(members: DataFrame, probes: DataFrame, key: str, sets: DataFrame) -> DataFrame:
-    """Rows of all blocks. Members and probes of a key are dealt into shares of about ``BLOCK`` rows, and every share of the one
-    meets every share of the other; both carry the key, ``node``, ``root``, ``n_members`` and ``n_probes``."""
+def _dealt(members: DataFrame, probes: DataFrame, key: str) -> DataFrame:
+    """(block, probe, node, root) of all blocks. Members and probes of a key are dealt into shares of about ``BLOCK`` rows, and every share of
+    the one meets every share of the other; both carry the key, ``node``, ``root``, ``n_members`` and ``n_probes``."""
     shares = {False: F.ceil(F.col("n_members") / BLOCK), True: F.ceil(F.col("n_probes") / BLOCK)}
 
     def dealt(rows: DataFrame, probe: bool) -> DataFrame:
@@ -272,15 +290,34 @@ def _blocks(members: DataFrame, probes: DataFrame, key: str, sets: DataFrame) ->
         at = ("own", "met") if probe else ("met", "own")
         return rows.select(F.concat_ws(":", key, *at).alias("block"), F.lit(probe).alias("probe"), "node", "root")
 
-    return dealt(members, False).unionByName(dealt(probes, True)).join(sets, "node")
+    return dealt(members, False).unionByName(dealt(probes, True))
 
 
-def _stars(pairs: DataFrame, sets: DataFrame, how: Join) -> DataFrame:
+def _open(blocks: DataFrame, facts: DataFrame, how: Join) -> DataFrame:
+    """The rows of blocks whose sizes and parities leave room for a link in the block."""
+    def run(_key, data):
+        probe, root, n = data["probe"].to_numpy(zero_copy_only=False), data["root"].to_numpy(), data["n"].to_numpy()
+        parity = np.array(data["parity"].combine_chunks().flatten()).view(np.uint64).reshape(len(n), -1)
+        members, hit = np.flatnonzero(~probe), np.zeros(len(n), bool)
+        for p in np.flatnonzero(probe):
+            apart = np.bitwise_count(parity[members] ^ parity[p]).sum(axis=1)
+            fits = (100 * np.minimum(n[members], n[p]) >= how.percent * np.maximum(n[members], n[p])) & (root[members] != root[p])
+            near = members[fits & (apart <= n[members] + n[p] - 2 * how.needed(n[members], n[p]))]
+            hit[near] = True
+            hit[p] = len(near) > 0
+        return data.select(["block", "probe", "node", "root"]).filter(pa.array(hit))
+
+    rows = blocks.join(facts.select("node", "n", "parity"), "node").select("block", "probe", "node", "root", "n", "parity")
+    return cut(rows.groupBy("block").applyInArrow(run, "block string, probe boolean, node long, root long"))
+
+
+def _stars(pairs: DataFrame, sets: FullSets, how: Join) -> DataFrame:
     """Links among (node, centre) pairs: each centre is a probe, its nodes are the members."""
     sizes = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n_members")).withColumn("n_probes", F.lit(1).cast("long"))
     members = pairs.join(sizes, "centre").withColumn("root", F.col("node"))
     probes = sizes.withColumn("node", F.col("centre")).withColumn("root", F.col("centre"))
-    return cut(_searched(_blocks(members, probes, "centre", sets), how))
+    full = sets.of(pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))))
+    return cut(_searched(_dealt(members, probes, "centre").join(full, "node"), how))
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -290,15 +327,22 @@ def _roots(links: DataFrame) -> DataFrame:
 def _links(classes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
     """Links (a, b) between classes of equal sets, enough to connect all that are connected.
 
-    In each list all meet the node that shares most lists. Then nodes of one list that are still apart meet: by pairs in
-    short lists, in blocks in longer ones.
+    Of two similar sets the smaller one has a shared n-gram among its first few, those that ``index`` marks. Where one set
+    alone marks an n-gram, the others of the list meet that one. In other lists all meet the node that shares most; then
+    nodes of one list that are still apart meet, by pairs in short lists, in blocks in longer ones.
     """
-    rows = classes.select(F.explode("rare").alias("item"), "node")
-    sizes = rows.groupBy("item").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = cut(rows.join(sizes, "item"))
-    weight = shared.groupBy("node").agg(F.sum("size").alias("rank"))
-    facts = cut(classes.join(weight, "node").select("node", "rank", "n", "parity", "who"))
-    sets = _full_sets(docs, facts.select("node", "who.doc_id", "who.text_key"), how)
+    n = F.col("n")
+    marked = n - F.ceil(F.lit(2 * how.percent) * n / F.lit(100 + how.percent)) + 1
+    rows = classes.select("node", marked.alias("marked"), F.posexplode("rare").alias("place", "item")).select("item", "node", (F.col("place") < F.col("marked")).alias("index"))
+    marks = rows.filter("index").groupBy("item").agg(F.count(F.lit(1)).alias("marks"), F.min("node").alias("only"))
+    shared = cut(rows.select("item", "node").join(marks, "item").filter("marks > 1 or node <> only"))
+    alone = shared.filter("marks = 1").select("node", F.col("only").alias("centre"))
+    lists = shared.filter("marks > 1").select("item", "node")
+    lists = cut(lists.join(lists.groupBy("item").agg(F.count(F.lit(1)).alias("size")), "item"))
+    weight = lists.groupBy("node").agg(F.sum("size").alias("rank"))
+    nodes = alone.select("node").unionByName(alone.select(F.col("centre").alias("node"))).unionByName(lists.select("node")).distinct()
+    facts = cut(classes.select("node", "n", "parity", "who", "copies").join(nodes, "node").join(weight, "node", "left"))
+    sets = FullSets(docs, facts, how)
 
     def open_pairs(pairs: DataFrame) -> DataFrame:
         one = facts.select("node", "n", "parity")
@@ -306,25 +350,26 @@ def _links(classes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
         met = pairs.distinct().join(one, "node").join(other, "centre")
         return cut(met.filter(_may_link(F.col("n"), F.col("m"), F.col("parity"), F.col("other"), how)).select("node", "centre"))
 
-    ranked = shared.join(facts.select("node", "rank"), "node")
+    ranked = lists.join(facts.select("node", "rank"), "node")
     centres = ranked.groupBy("item").agg(F.max(F.struct("rank", "node")).alias("top")).select("item", F.col("top.node").alias("centre"))
-    first = _stars(open_pairs(shared.join(centres, "item").filter("node <> centre").select("node", "centre")), sets, how)
+    meeting = lists.join(centres, "item").filter("node <> centre").select("node", "centre")
+    first = _stars(open_pairs(alone.unionByName(meeting)), sets, how)
 
     def placed(links: DataFrame) -> DataFrame:
-        return shared.filter("size > 2").join(_roots(links), "node", "left").select("item", "node", "size", F.coalesce("root", "node").alias("root"))
+        return lists.filter("size > 2").join(_roots(links), "node", "left").select("item", "node", "size", F.coalesce("root", "node").alias("root"))
 
-    now = cut(placed(first))
-    short = now.filter(F.col("size") <= SHORT_LIST)
+    short = cut(placed(first).filter(F.col("size") <= SHORT_LIST))
     one, two = short.select("item", "node", "root"), short.select("item", F.col("node").alias("centre"), F.col("root").alias("other"))
     second = _stars(open_pairs(one.join(two, "item").filter("node < centre and root <> other").select("node", "centre")), sets, how)
     both = cut(first.unionByName(second))
 
     long = cut(placed(both).filter(F.col("size") > SHORT_LIST))
-    counts = long.groupBy("item", "root").agg(F.count(F.lit(1)).alias("n"))
-    split = counts.groupBy("item").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n_members")).filter("most.n < n_members")
-    split = split.select("item", F.col("most.root").alias("main"), "n_members", (F.col("n_members") - F.col("most.n")).alias("n_probes"))
+    counts = long.groupBy("item", "root").agg(F.count(F.lit(1)).alias("here"))
+    split = counts.groupBy("item").agg(F.max(F.struct("here", "root")).alias("most"), F.sum("here").alias("n_members")).filter("most.here < n_members")
+    split = split.select("item", F.col("most.root").alias("main"), "n_members", (F.col("n_members") - F.col("most.here")).alias("n_probes"))
     members = long.join(split, "item")
-    return cut(both.unionByName(_searched(_blocks(members, members.filter("root <> main"), "item", sets), how)))
+    blocks = _open(_dealt(members, members.filter("root <> main"), "item"), facts, how)
+    return cut(both.unionByName(_searched(blocks.join(sets.of(blocks), "node"), how)))
 
 
 def ngram_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
@@ -337,14 +382,18 @@ def ngram_components(docs: DataFrame, how: Join = Join()) -> DataFrame:
     than doc_id and text are not read.
     """
     rows = _sets(docs, how)
-    classes = cut(rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_key")).alias("who"), F.count(F.lit(1)).alias("copies"),
-        F.any_value("n").alias("n"), F.any_value("rare").alias("rare"), F.any_value("parity").alias("parity")))
+    repeated = cut(rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(
+        F.min("node").alias("first"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    sizes = repeated.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    told = lookup_join(rows.filter(F.col("digest").isNotNull()), repeated.withColumn("times", F.col("copies")), "digest", "copies", ["first", "least", "times"], *sizes)
+    classes = told.filter("first is null or first = node").select(
+        "digest", "node", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("least_id"), F.struct("doc_id", "text_key").alias("who"),
+        F.coalesce("times", F.lit(1).cast("long")).alias("copies"), "n", "rare", "parity")
     roots = _roots(_links(classes, docs, how))
     named = cut(classes.select("digest", "node", "least_id", "copies").join(roots, "node", "left").select(
-        "digest", F.coalesce("root", "node").alias("root"), "least_id", "copies", F.col("root").isNotNull().alias("linked")))
+        "digest", F.coalesce("root", "node").alias("root"), "least_id", "copies", F.col("root").isNotNull().alias("linked")).filter("linked or copies > 1"))
     ids = named.filter("linked").groupBy("root").agg(F.min("least_id").alias("root_id"))
-    facts = cut(named.filter("linked or copies > 1").join(ids, "root", "left").select("digest", "copies", F.coalesce("root_id", "least_id").alias("named_id")))
+    facts = cut(named.join(ids, "root", "left").select("digest", "copies", F.coalesce("root_id", "least_id").alias("named_id")))
     sizes = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
-    found = lookup_join(rows.select("doc_id", F.col("n").alias("n_shingles"), "digest"), facts, "digest", "copies", ["named_id"], sizes[0], sizes[1])
+    found = lookup_join(rows.select("doc_id", F.col("n").alias("n_shingles"), "digest"), facts, "digest", "copies", ["named_id"], *sizes)
     return found.select("doc_id", "n_shingles", F.coalesce("named_id", "doc_id").alias("component_id"))
