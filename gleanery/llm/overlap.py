@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..models.cluster import connected_components
 from ..operators.lookup import lookup_join
 from ..session import cut
-from .common import Hashes, arrow_batch, small_bytes, texts_of
+from .common import arrow_batch, small_bytes, texts_of
 from .dedup import shingle_set
 
-#: Sets that meet in one task, and the length up to which the pairs of a list are written one by one.
+#: Sets that meet in one task, and the length up to which the pairs of a list are written without a look at parities.
 BLOCK, SHORT_LIST = 256, 8
-#: 64-bit words of the parities of a set.
+#: Fewest 64-bit words of the parities of a set.
 PARITY = 16
 #: n-grams of a task that are counted at once.
 COUNTED = 4_000_000
@@ -128,18 +128,38 @@ def merge_skip(lists: list[list[int]], need: int):
 
 # ---------------------------------------------------------------- sets, orders, candidates
 
+class WordHashes:
+    """64-bit hashes of words, without a memory."""
+
+    def __init__(self):
+        from xxhash import xxh64_intdigest
+        self.digest = xxh64_intdigest
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.digest, words), np.uint64, len(words))
+
+
 def parities(items: np.ndarray) -> np.ndarray:
-    """Whether an odd number of items falls into each of 64 * PARITY places. Two sets differ in at least as many items as places."""
-    odd = np.bincount((items >> np.uint64(64 - (64 * PARITY - 1).bit_length())).astype(np.int64), minlength=64 * PARITY) & 1
+    """Whether an odd number of items falls into each of at least two places an item. Two sets differ in at least as many items as
+    places; parities of twice the length fold to the shorter ones by exclusive or of their halves."""
+    bits = max(64 * PARITY, 1 << (2 * len(items) - 1).bit_length())
+    odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def folded(parity: np.ndarray) -> np.ndarray:
+    half = parity.shape[-1] // 2
+    return parity[..., :half] ^ parity[..., half:]
+
+
 def _may_link(n: Column, m: Column, a: Column, b: Column, how: Join) -> Column:
     """Whether sizes and parities leave room for a link."""
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    xor = lambda x, y: x.bitwiseXOR(y)
+    at_most = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), xor)).otherwise(x)
+    apart = F.aggregate(F.zip_with(at_most(a, b), at_most(b, a), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, v: s + v)
     need = F.ceil(F.lit(how.percent) * (n + m) / F.lit(100 + how.percent))
-    fits = (100 * F.least(n, m) >= how.percent * F.greatest(n, m))
-    return fits & (apart <= n + m - 2 * need)
+    # Sets of similar sizes have parities of equal length or of twice the length.
+    return F.when(100 * F.least(n, m) >= how.percent * F.greatest(n, m), apart <= n + m - 2 * need).otherwise(False)
 
 
 def frequent_ngrams(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +170,7 @@ def frequent_ngrams(docs: DataFrame, how: Join) -> tuple[np.ndarray, np.ndarray]
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
-        hashes, held, size, seen = Hashes(), [], 0, set()
+        hashes, held, size, seen = WordHashes(), [], 0, set()
 
         def counted():
             items, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -198,7 +218,9 @@ def _sets(docs: DataFrame, how: Join) -> DataFrame:
     def run(batches):
         from xxhash import xxh3_128_hexdigest
 
-        hashes, (common, texts) = Hashes(), frequent.value
+        hashes, (common, texts) = WordHashes(), frequent.value
+        often = np.zeros(1 << 22, bool)
+        often[common >> np.uint64(42)] = True
         for part, rows in texts_of(batches):
             digests, sizes, rare, parity = [], [], [], []
             for text in rows:
@@ -207,10 +229,12 @@ def _sets(docs: DataFrame, how: Join) -> DataFrame:
                 if not len(items):
                     digests.append(None), rare.append([]), parity.append([])
                     continue
-                first = items
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, items), len(common) - 1)
-                    first = items[np.argsort(np.where(common[at] == items, texts[at], 0), kind="stable")]
+                first, maybe = items, np.flatnonzero(often[items >> np.uint64(42)])
+                if len(maybe):
+                    at = np.minimum(np.searchsorted(common, items[maybe]), len(common) - 1)
+                    found = np.zeros(len(items), np.int64)
+                    found[maybe] = np.where(common[at] == items[maybe], texts[at], 0)
+                    first = items[np.argsort(found, kind="stable")]
                 digests.append(xxh3_128_hexdigest(items.tobytes()))
                 rare.append(first[:len(items) - how.least(len(items)) + 1].view(np.int64))
                 parity.append(parities(items).view(np.int64))
@@ -240,7 +264,7 @@ class FullSets:
         met = texts.join(small_bytes(wanted).alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.who.doc_id")) & (F.col("d.text_key") == F.col("w.who.text_key")))
 
         def run(batches):
-            hashes = Hashes()
+            hashes = WordHashes()
             for part, rows in texts_of(batches):
                 yield arrow_batch(schema, part.column(0), part.column(1), [shingle_set(t, how.words, hashes).tobytes() for t in rows])
 
@@ -252,72 +276,74 @@ class FullSets:
 
 # ---------------------------------------------------------------- links
 
-def _searched(blocks: DataFrame, how: Join) -> DataFrame:
-    """Links (a, b) between the probes and the members of each block.
+def _shares(n: Column) -> Column:
+    return F.ceil(n / BLOCK)
 
-    ``blocks`` has (block, probe, node, root, items); members and probes are bounded in number. Members of a probe's own root are
-    connected to it already.
-    """
+
+def _share_of(node: str, shares: Column) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(5)), shares)
+
+
+def _every(shares: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))
+
+
+def _stars(pairs: DataFrame, sets: FullSets, how: Join) -> DataFrame:
+    """The (node, centre) pairs that are links, as (a, b). Each centre probes its nodes, in shares of about ``BLOCK``."""
     def run(_key, data):
-        node, root = data["node"].to_numpy(), data["root"].to_numpy()
-        probe = data["probe"].to_numpy(zero_copy_only=False)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in data["items"]]
+        node, probe = data["node"].to_numpy(), data["probe"].to_numpy(zero_copy_only=False)
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in data["items"]]
         members, left, right = np.flatnonzero(~probe), [], []
         if len(members):
-            lists = Lists([sets[i] for i in members], how)
-            parity, sizes = np.array([parities(sets[i]) for i in members]), np.array([len(sets[i]) for i in members])
+            lists = Lists([items[i] for i in members], how)
             for p in np.flatnonzero(probe):
-                apart = np.bitwise_count(parity ^ parities(sets[p])).sum(axis=1)
-                open_ = (apart <= len(sets[p]) + sizes - 2 * how.needed(len(sets[p]), sizes)) & (root[members] != root[p])
-                if open_.any():
-                    for m in members[lists.search(sets[p])]:
-                        if root[m] != root[p]:
-                            left.append(node[p]), right.append(node[m])
+                near = node[members[lists.search(items[p])]]
+                left += [node[p]] * len(near)
+                right += near.tolist()
         return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    links = blocks.groupBy("block").applyInArrow(run, "a long, b long")
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _dealt(members: DataFrame, probes: DataFrame, key: str) -> DataFrame:
-    """(block, probe, node, root) of all blocks. Members and probes of a key are dealt into shares of about ``BLOCK`` rows, and every share of
-    the one meets every share of the other; both carry the key, ``node``, ``root``, ``n_members`` and ``n_probes``."""
-    shares = {False: F.ceil(F.col("n_members") / BLOCK), True: F.ceil(F.col("n_probes") / BLOCK)}
-
-    def dealt(rows: DataFrame, probe: bool) -> DataFrame:
-        own = F.pmod(F.xxhash64("node", F.lit(5)), shares[probe])
-        rows = rows.withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), shares[not probe] - 1)))
-        at = ("own", "met") if probe else ("met", "own")
-        return rows.select(F.concat_ws(":", key, *at).alias("block"), F.lit(probe).alias("probe"), "node", "root")
+    shares = _shares(F.col("members"))
+    sizes = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
+    members = pairs.join(sizes, "centre").select("centre", _share_of("node", shares).alias("share"), F.lit(False).alias("probe"), "node")
+    probes = sizes.select("centre", _every(shares).alias("share"), F.lit(True).alias("probe"), F.col("centre").alias("node"))
+    full = sets.of(pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))))
+    blocks = members.unionByName(probes).join(full, "node")
+    return cut(blocks.groupBy("centre", "share").applyInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    return dealt(members, False).unionByName(dealt(probes, True))
 
+def _near(lists: DataFrame, facts: DataFrame, how: Join) -> DataFrame:
+    """The pairs (node, centre) that share a list, are apart, and that sizes and parities leave open.
 
-def _open(blocks: DataFrame, facts: DataFrame, how: Join) -> DataFrame:
-    """The rows of blocks whose sizes and parities leave room for a link in the block."""
+    ``lists`` has (item, node, root). In a list the nodes outside its largest group meet all, in blocks of bounded size.
+    """
     def run(_key, data):
-        probe, root, n = data["probe"].to_numpy(zero_copy_only=False), data["root"].to_numpy(), data["n"].to_numpy()
-        parity = np.array(data["parity"].combine_chunks().flatten()).view(np.uint64).reshape(len(n), -1)
-        members, hit = np.flatnonzero(~probe), np.zeros(len(n), bool)
+        probe, root, n, node = (data[c].to_numpy(zero_copy_only=False) for c in ("probe", "root", "n", "node"))
+        parity, left, right = [np.array(x.values, np.int64).view(np.uint64) for x in data["parity"]], [], []
+        sizes = np.array([len(x) for x in parity])
+        members = {}
+        for size in np.unique(sizes[~probe]):
+            own = np.flatnonzero(~probe & (sizes == size))
+            members[int(size)] = own, np.stack([parity[i] for i in own])
         for p in np.flatnonzero(probe):
-            apart = np.bitwise_count(parity[members] ^ parity[p]).sum(axis=1)
-            fits = (100 * np.minimum(n[members], n[p]) >= how.percent * np.maximum(n[members], n[p])) & (root[members] != root[p])
-            near = members[fits & (apart <= n[members] + n[p] - 2 * how.needed(n[members], n[p]))]
-            hit[near] = True
-            hit[p] = len(near) > 0
-        return data.select(["block", "probe", "node", "root"]).filter(pa.array(hit))
-
-    rows = blocks.join(facts.select("node", "n", "parity"), "node").select("block", "probe", "node", "root", "n", "parity")
-    return cut(rows.groupBy("block").applyInArrow(run, "block string, probe boolean, node long, root long"))
-
-
-def _stars(pairs: DataFrame, sets: FullSets, how: Join) -> DataFrame:
-    """Links among (node, centre) pairs: each centre is a probe, its nodes are the members."""
-    sizes = pairs.groupBy("centre").agg(F.count(F.lit(1)).alias("n_members")).withColumn("n_probes", F.lit(1).cast("long"))
-    members = pairs.join(sizes, "centre").withColumn("root", F.col("node"))
-    probes = sizes.withColumn("node", F.col("centre")).withColumn("root", F.col("centre"))
-    full = sets.of(pairs.select("node").unionByName(pairs.select(F.col("centre").alias("node"))))
-    return cut(_searched(_dealt(members, probes, "centre").join(full, "node"), how))
+            mine = parity[p]
+            for size, (own, theirs) in members.items():
+                if size not in (len(mine), 2 * len(mine), len(mine) // 2):
+                    continue
+                one, many = (folded(mine), theirs) if size < len(mine) else (mine, folded(theirs)) if size > len(mine) else (mine, theirs)
+                fits = (100 * np.minimum(n[own], n[p]) >= how.percent * np.maximum(n[own], n[p])) & (root[own] != root[p])
+                near = node[own[fits & (np.bitwise_count(many ^ one).sum(axis=1) <= n[own] + n[p] - 2 * how.needed(n[own], n[p]))]]
+                left += np.minimum(near, node[p]).tolist()
+                right += np.maximum(near, node[p]).tolist()
+        return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["node", "centre"])
+
+    counts = lists.groupBy("item", "root").agg(F.count(F.lit(1)).alias("here"))
+    split = counts.groupBy("item").agg(F.max(F.struct("here", "root")).alias("most"), F.sum("here").alias("all")).filter("most.here < all")
+    split = split.select("item", F.col("most.root").alias("main"), _shares(F.col("all")).alias("parts"), _shares(F.col("all") - F.col("most.here")).alias("probes"))
+    met = lists.join(split, "item").join(facts.select("node", "n", "parity"), "node")
+    columns = ["item", "node", "root", "n", "parity"]
+    members = met.select(*columns, F.lit(False).alias("probe"), _share_of("node", F.col("parts")).alias("x"), _every(F.col("probes")).alias("y"))
+    probes = met.filter("root <> main").select(*columns, F.lit(True).alias("probe"), _every(F.col("parts")).alias("x"), _share_of("node", F.col("probes")).alias("y"))
+    return members.unionByName(probes).groupBy("item", "x", "y").applyInArrow(run, "node long, centre long").distinct()
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -328,8 +354,9 @@ def _links(classes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
     """Links (a, b) between classes of equal sets, enough to connect all that are connected.
 
     Of two similar sets the smaller one has a shared n-gram among its first few, those that ``index`` marks. Where one set
-    alone marks an n-gram, the others of the list meet that one. In other lists all meet the node that shares most; then
-    nodes of one list that are still apart meet, by pairs in short lists, in blocks in longer ones.
+    alone marks an n-gram, the others of the list meet that one. In other lists all meet the node that shares most; where
+    nodes are still apart then, all pairs of short lists meet, and in longer ones another centre. What is apart after
+    that is compared by parities in blocks.
     """
     n = F.col("n")
     marked = n - F.ceil(F.lit(2 * how.percent) * n / F.lit(100 + how.percent)) + 1
@@ -350,26 +377,35 @@ def _links(classes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
         met = pairs.distinct().join(one, "node").join(other, "centre")
         return cut(met.filter(_may_link(F.col("n"), F.col("m"), F.col("parity"), F.col("other"), how)).select("node", "centre"))
 
-    ranked = lists.join(facts.select("node", "rank"), "node")
-    centres = ranked.groupBy("item").agg(F.max(F.struct("rank", "node")).alias("top")).select("item", F.col("top.node").alias("centre"))
-    meeting = lists.join(centres, "item").filter("node <> centre").select("node", "centre")
-    first = _stars(open_pairs(alone.unionByName(meeting)), sets, how)
+    ranked = cut(lists.join(facts.select("node", "rank"), "node"))
+
+    def apart(links: DataFrame) -> DataFrame:
+        """The rows of lists whose nodes are not all connected."""
+        placed = ranked.filter("size > 2").join(_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = placed.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        return cut(placed.join(split.select("item"), "item"))
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        """Every node of a list with the one that shares most."""
+        top = rows.groupBy("item").agg(F.max(F.struct("rank", "node")).alias("top")).select("item", F.col("top.node").alias("centre"))
+        return rows.join(top, "item").filter("node <> centre").select("node", "centre")
 
-    def placed(links: DataFrame) -> DataFrame:
-        return lists.filter("size > 2").join(_roots(links), "node", "left").select("item", "node", "size", F.coalesce("root", "node").alias("root"))
+    links = _stars(open_pairs(alone.unionByName(meeting(ranked))), sets, how)
 
-    short = cut(placed(first).filter(F.col("size") <= SHORT_LIST))
+    rows = apart(links)
+    short = rows.filter(F.col("size") <= SHORT_LIST)
     one, two = short.select("item", "node", "root"), short.select("item", F.col("node").alias("centre"), F.col("root").alias("other"))
-    second = _stars(open_pairs(one.join(two, "item").filter("node < centre and root <> other").select("node", "centre")), sets, how)
-    both = cut(first.unionByName(second))
-
-    long = cut(placed(both).filter(F.col("size") > SHORT_LIST))
-    counts = long.groupBy("item", "root").agg(F.count(F.lit(1)).alias("here"))
-    split = counts.groupBy("item").agg(F.max(F.struct("here", "root")).alias("most"), F.sum("here").alias("n_members")).filter("most.here < n_members")
-    split = split.select("item", F.col("most.root").alias("main"), "n_members", (F.col("n_members") - F.col("most.here")).alias("n_probes"))
-    members = long.join(split, "item")
-    blocks = _open(_dealt(members, members.filter("root <> main"), "item"), facts, how)
-    return cut(both.unionByName(_searched(blocks.join(sets.of(blocks), "node"), how)))
+    pairs = one.join(two, "item").filter("node < centre and root <> other").select("node", "centre")
+    # In long lists all of other groups meet the best node outside the first one's group.
+    long = rows.filter(F.col("size") > SHORT_LIST)
+    first = long.groupBy("item").agg(F.max_by("root", F.struct("rank", "node")).alias("led"))
+    rest = long.join(first, "item").filter("root <> led")
+    second = rest.groupBy("item").agg(F.max(F.struct("rank", "node", "root")).alias("top")).select("item", F.col("top.node").alias("centre"), F.col("top.root").alias("other"))
+    pairs = pairs.unionByName(long.join(second, "item").filter("root <> other").select("node", "centre"))
+    links = cut(links.unionByName(_stars(open_pairs(pairs), sets, how)))
+
+    long = apart(links).filter(F.col("size") > SHORT_LIST).select("item", "node", "root")
+    return cut(links.unionByName(_stars(cut(_near(long, facts, how)), sets, how)))
 
 
 def ngram_components(docs: DataFrame, how: Join = Join()) -> DataFrame:

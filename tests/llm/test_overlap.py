@@ -81,7 +81,17 @@ def test_heap_merge_counts():
 
 def test_parities_bound_the_difference():
     draw = np.random.default_rng(2)
-    for n in (1, 50, 3000):
-        a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        b = np.unique(np.concatenate([a[: n // 2], draw.integers(0, 1 << 63, n).astype(np.uint64)]))
-        assert np.bitwise_count(overlap.parities(a) ^ overlap.parities(b)).sum() <= len(np.setxor1d(a, b))
+    for n in (1, 50, 500, 530, 3000, 8000):
+        a = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], draw.integers(0, 1 << 63, n // 2 + n // 10).astype(np.uint64)]))
+        one, two = overlap.parities(a), overlap.parities(b)
+        if len(one) != len(two):
+            one, two = (overlap.folded(one), two) if len(one) > len(two) else (one, overlap.folded(two))
+        assert np.bitwise_count(one ^ two).sum() <= len(np.setxor1d(a, b))
+
+
+def test_similar_sets_have_parities_that_compare():
+    sizes = [len(overlap.parities(np.arange(n, dtype=np.uint64))) for n in range(1, 5000)]
+    for n in range(1, 4000):
+        m = min(100 * n // 85, 4999)
+        assert sizes[m - 1] in (sizes[n - 1], 2 * sizes[n - 1])
