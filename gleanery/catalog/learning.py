@@ -281,7 +281,7 @@ def _adds_up(values, model, test, base):
 @query("shap_tree", _ADDS_UP_SQL)
 def shap_tree(spark, sf):
     model, test = _forest(spark, sf)
-    values = keep(ex.shap_tree(test, model.parts[0]))
+    values = keep(ex.shap_tree(test, model))
     base = values.select(F.col("base")[1].alias("b")).first()["b"]
     return _adds_up(ex.shap_long(values, ORDER_FEATURES).filter("class = 1"), model, test, F.lit(base))
 
@@ -307,7 +307,7 @@ def permutation_importance(spark, sf):
 @query("native_importance", _MATTERS_SQL)
 def native_importance(spark, sf):
     model, _ = _forest(spark, sf)
-    return ex.native_importance(model.parts[0], ORDER_FEATURES, spark).select("feature", (F.col("importance") > 0.05).alias("matters"))
+    return ex.native_importance(model, ORDER_FEATURES, spark).select("feature", (F.col("importance") > 0.05).alias("matters"))
 
 
 # ---------------------------------------------------------------- leaderboard, artifacts, scoring

@@ -4,30 +4,28 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, RandomForestClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
+from . import forest
 from .base import RESERVED, Context, Fitted, fit_one_vs_rest, fit_spark, predictor
 
-DEEPEST = 30  # Spark's limit; "unbounded" trees stop here
-
 
 def fit_tree(df: DataFrame, ctx: Context, depth: int = 12) -> Fitted:
     kind = DecisionTreeClassifier if ctx.classes else DecisionTreeRegressor
     return fit_spark(kind(maxDepth=depth, maxBins=256, seed=ctx.seed), df)
 
 
-def fit_forest(df: DataFrame, ctx: Context, trees: int = 200, depth: int = 20) -> Fitted:
-    kind, subset = (RandomForestClassifier, "sqrt") if ctx.classes else (RandomForestRegressor, "all")
-    depth = min(DEEPEST, max(3, ctx.scaled(depth)))
-    return fit_spark(kind(numTrees=ctx.scaled(trees, 5), maxDepth=depth, featureSubsetStrategy=subset, maxBins=64, seed=ctx.seed), df)
+def _tries(ctx: Context) -> int:
+    """Features looked at in a node: the square root of their number for classes, all for numbers."""
+    return max(1, math.isqrt(ctx.width)) if ctx.classes else max(1, ctx.width)
+
+
+def fit_forest(df: DataFrame, ctx: Context, trees: int = 200) -> Fitted:
+    """Bootstrap draws of rows, best cuts, trees grown until their leaves are pure."""
+    return forest.fit(df, forest.Plan(ctx.scaled(trees, 5), ctx.classes, _tries(ctx), seed=ctx.seed), ctx.width, ctx.n)
 
 
 def fit_boosted(df: DataFrame, ctx: Context, trees: int = 100, depth: int = 3, rate: float = 0.1) -> Fitted:
@@ -40,53 +38,9 @@ def fit_boosted(df: DataFrame, ctx: Context, trees: int = 100, depth: int = 3, r
     return fit_one_vs_rest(lambda: GBTClassifier(**options), df, ctx.classes, True)
 
 
-# ---------------------------------------------------------------- extremely randomised trees
-
-def _steps(cuts: list[list[float]]):
-    """Replace each feature by the number of its cuts below it: trees then split at random cuts only."""
-    table = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in cuts])
-    return lambda x: array_to_vector(F.zip_with(x, table, lambda v, row: F.size(F.filter(row, lambda c: c < v)).cast("double")))
-
-
-def fit_extra_trees(df: DataFrame, ctx: Context, trees: int = 200, groups: int = 10, cuts: int = 31, depth: int = 20) -> Fitted:
-    """No bootstrap; split points drawn at random.
-
-    Each group of trees draws its own random cut points per feature between the feature's limits, and may split
-    at those only. All rows take part in every tree.
-    """
-    stats = df.agg(Summarizer.metrics("min", "max").summary(F.col("features")).alias("s")).first()["s"]
-    low, high = stats["min"].toArray(), stats["max"].toArray()
-    groups = min(groups, ctx.scaled(groups))
-    per_group = max(1, math.ceil(ctx.scaled(trees, 2) / groups))
-    rng = np.random.default_rng(ctx.seed)
-    parts, tables = [], []
-    for g in range(groups):
-        table = [sorted(rng.uniform(a, b, cuts).tolist()) if b > a else [float(a)] * cuts for a, b in zip(low, high)]
-        kind, subset = (RandomForestClassifier, "sqrt") if ctx.classes else (RandomForestRegressor, "all")
-        ready = df.select("label", _steps(table)(vector_to_array("features")).alias("features"))
-        parts.append(kind(numTrees=per_group, maxDepth=min(DEEPEST, max(3, ctx.scaled(depth))), bootstrap=False, subsamplingRate=1.0,
-                          featureSubsetStrategy=subset if per_group > 1 or ctx.classes else "all", maxBins=64, seed=ctx.seed + g).fit(ready))
-        tables.append(table)
-    return Fitted("extra_trees", parts, {"has_probability": bool(ctx.classes), "cuts": tables})
-
-
-@predictor("extra_trees")
-def _extra_trees(model: Fitted, df: DataFrame) -> DataFrame:
-    out = df.withColumn("_x", vector_to_array("features")).withColumn("_original", F.col("features"))
-    for i, (part, table) in enumerate(zip(model.parts, model.params["cuts"])):
-        out = part.transform(out.withColumn("features", _steps(table)("_x")))
-        value = vector_to_array("probability") if model.has_probability else F.col("prediction")
-        out = out.withColumn(f"_v{i}", value).drop(*RESERVED)
-    n = len(model.parts)
-    if model.has_probability:
-        total = F.col("_v0")
-        for i in range(1, n):
-            total = F.zip_with(total, F.col(f"_v{i}"), lambda a, b: a + b)
-        out = out.withColumn("probability", F.transform(total, lambda v: v / n))
-        out = out.withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double"))
-    else:
-        out = out.withColumn("prediction", sum((F.col(f"_v{i}") for i in range(n)), F.lit(0.0)) / n)
-    return out.drop("features", "_x", *[f"_v{i}" for i in range(n)]).withColumnRenamed("_original", "features")
+def fit_extra_trees(df: DataFrame, ctx: Context, trees: int = 200) -> Fitted:
+    """All rows in every tree; each node draws one cut for each feature it looks at and takes the best of them."""
+    return forest.fit(df, forest.Plan(ctx.scaled(trees, 2), ctx.classes, _tries(ctx), True, False, ctx.seed), ctx.width, ctx.n)
 
 
 # ---------------------------------------------------------------- adaptive boosting

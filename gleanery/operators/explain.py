@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.hashing import row_token
 from ..functions.types import quoted, to_long
+from ..models import forest
+from ..models.base import Fitted
 from ..session import cut, fresh_path, spread
 from .position import with_position
 
@@ -43,98 +46,138 @@ def shap_aggregate(values: DataFrame, n: int = 10) -> DataFrame:
     return top_features(per_row.groupBy("feature").agg(F.avg("v").alias("importance")), n=n)
 
 
-def tree_leaves(model, spark) -> list[dict]:
-    """The leaves of a Spark tree model, read from its saved node table: value, path and share of rows at each step.
+def packed_trees(model, spark):
+    """The trees of a model in groups of bounded size, each as (feature, threshold, left, right, value, size) by node.
 
-    The table is as large as the model. Classification leaves carry the class shares.
+    Grown forests are read from their table group by group; the node table of a Spark tree model is as large as the model.
+    Classification leaves carry class shares, and a tree's share of the sum is in its values.
     """
+    if isinstance(model, Fitted):
+        if model.kind == "spark":
+            yield from packed_trees(model.parts[0], spark)
+            return
+        for group in forest.sent_trees(model):
+            yield [(*tree[:4], tree[4] / model.params["trees"], tree[5]) for tree in group]
+        return
     path = fresh_path(spark, "tree")
     model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
-    if "nodeData" in nodes.columns:
-        nodes = nodes.select("treeID", "nodeData.*")
-    else:
-        nodes = nodes.withColumn("treeID", F.lit(0))
+    nodes = nodes.select("treeID", "nodeData.*") if "nodeData" in nodes.columns else nodes.withColumn("treeID", F.lit(0))
     by_tree: dict[int, dict[int, object]] = {}
     for r in nodes.collect():
         by_tree.setdefault(r["treeID"], {})[r["id"]] = r
     weights = list(getattr(model, "treeWeights", [1.0] * len(by_tree)))
-    forest = hasattr(model, "treeWeights") and "RandomForest" in type(model).__name__
+    averaged = hasattr(model, "treeWeights") and "RandomForest" in type(model).__name__
     classes = getattr(model, "numClasses", 0) if "Classif" in type(model).__name__ and "GBT" not in type(model).__name__ else 0
-    leaves = []
+    trees = []
     for t, table in sorted(by_tree.items()):
-        scale = 1.0 / len(by_tree) if forest else weights[t] if t < len(weights) else 1.0
-        todo = [(0, [], {})]
-        while todo:
-            i, steps, shares = todo.pop()
-            node = table[i]
-            stats = np.array(node["impurityStats"], dtype=float)
-            size = float(node["rawCount"]) if "rawCount" in node and node["rawCount"] else float(stats.sum() if classes else stats[0])
-            if node["leftChild"] < 0:
-                value = (stats / stats.sum() if classes else np.array([float(node["prediction"])])) * scale
-                leaves.append({"value": value, "steps": steps, "shares": shares})
-                continue
-            split = node["split"]
-            f = split["featureIndex"]
-            threshold = split["leftCategoriesOrThreshold"][0]
-            for child, upper in ((node["leftChild"], False), (node["rightChild"], True)):
-                below = table[child]
-                s = np.array(below["impurityStats"], dtype=float)
-                part = float(below["rawCount"]) if "rawCount" in below and below["rawCount"] else float(s.sum() if classes else s[0])
-                merged = {**shares, f: shares.get(f, 1.0) * part / size}
-                todo.append((child, [*steps, (f, threshold, upper)], merged))
+        scale = 1.0 / len(by_tree) if averaged else weights[t] if t < len(weights) else 1.0
+        place = {i: n for n, i in enumerate(sorted(table))}
+        rows = [table[i] for i in sorted(table)]
+        stats = [np.array(r["impurityStats"], dtype=float) for r in rows]
+        sizes = np.array([float(r["rawCount"]) if "rawCount" in r and r["rawCount"] else float(s.sum() if classes else s[0]) for r, s in zip(rows, stats)])
+        inner = [r["leftChild"] >= 0 for r in rows]
+        trees.append((np.array([r["split"]["featureIndex"] if i else -1 for r, i in zip(rows, inner)]),
+                      np.array([r["split"]["leftCategoriesOrThreshold"][0] if i else 0.0 for r, i in zip(rows, inner)]),
+                      np.array([place[r["leftChild"]] if i else -1 for r, i in zip(rows, inner)]), np.array([place[r["rightChild"]] if i else -1 for r, i in zip(rows, inner)]),
+                      np.array([s / s.sum() if classes else [float(r["prediction"])] for r, s in zip(rows, stats)]) * scale, sizes))
+    yield trees
+
+
+def tree_leaves(tree) -> list[dict]:
+    """The leaves of a packed tree: value, the steps to it, and by feature the share of rows that take those steps."""
+    feature, threshold, left, right, value, size = tree
+    leaves, todo = [], [(0, [], {})]
+    while todo:
+        i, steps, shares = todo.pop()
+        f = int(feature[i])
+        if f < 0:
+            leaves.append({"value": value[i], "steps": steps, "shares": shares})
+            continue
+        for child, upper in ((left[i], False), (right[i], True)):
+            todo.append((child, [*steps, (f, float(threshold[i]), upper)], {**shares, f: shares.get(f, 1.0) * size[child] / size[i]}))
     return leaves
 
 
-def _leaf_values(x: np.ndarray, leaf: dict, out: np.ndarray) -> None:
-    """Add one leaf's Shapley values for all rows.
-
-    With o the indicator that a row follows the leaf's steps on a feature and z the share of rows that do, the
-    value of feature i is (o_i - z_i) times the integral over t in [0, 1] of the product over the other features of
-    o t + z (1 - t). The product is a polynomial, so Gauss-Legendre nodes give it exactly.
-    """
-    features = sorted(leaf["shares"])
-    if not features:
-        return
-    o = np.ones((len(x), len(features)))
-    for f, threshold, upper in leaf["steps"]:
-        hit = x[:, f] > threshold if upper else x[:, f] <= threshold
-        o[:, features.index(f)] *= hit
-    z = np.array([leaf["shares"][f] for f in features])
-    points, weights = np.polynomial.legendre.leggauss(max(1, (len(features) + 1) // 2))
-    for t, w in zip((points + 1) / 2, weights / 2):
-        terms = o * t + z * (1 - t)
-        for j, f in enumerate(features):
-            others = np.prod(np.delete(terms, j, axis=1), axis=1)
-            out[:, f, :] += (w * (o[:, j] - z[j]) * others)[:, None] * leaf["value"][None, :]
+class LeafTable:
+    """The leaves of a tree as arrays: per leaf the features on its way, each with the open interval of values and its share."""
+
+    def __init__(self, tree, width: int):
+        leaves = tree_leaves(tree)
+        depth = max(1, max(len(leaf["shares"]) for leaf in leaves))
+        shape = (len(leaves), depth)
+        self.feature, self.low, self.high, self.share = np.zeros(shape, np.int64), np.full(shape, -np.inf), np.full(shape, np.inf), np.ones(shape)
+        self.used = np.zeros(shape, bool)
+        self.value = np.array([leaf["value"] for leaf in leaves])
+        for i, leaf in enumerate(leaves):
+            slot = {f: s for s, f in enumerate(leaf["shares"])}
+            for f, s in slot.items():
+                self.feature[i, s], self.share[i, s], self.used[i, s] = f, leaf["shares"][f], True
+            for f, threshold, upper in leaf["steps"]:
+                bound = self.low if upper else self.high
+                bound[i, slot[f]] = max(bound[i, slot[f]], threshold) if upper else min(bound[i, slot[f]], threshold)
+        self.base = (self.value * np.prod(self.share, axis=1)[:, None]).sum(axis=0)
+        points, weights = np.polynomial.legendre.leggauss(max(1, (depth + 1) // 2))
+        self.points, self.weights, self.width = (points + 1) / 2, weights / 2, width
+
+    def add(self, x: np.ndarray, out: np.ndarray, rows: int = 64, leaves: int = 512) -> None:
+        """Add the Shapley values of all rows to ``out`` (row, output, feature).
+
+        With o the indicator that a row follows a leaf's steps on a feature and z the share of rows that do, the value of a feature
+        is (o - z) times the integral over t in [0, 1] of the product over the other features of o t + z (1 - t). The
+        product is a polynomial, so Gauss-Legendre points give it exactly; none of its factors is zero in between.
+        """
+        for l in range(0, len(self.value), leaves):
+            part = slice(l, l + leaves)
+            feature, share, used = self.feature[part], self.share[part], self.used[part]
+            hot = np.zeros((*feature.shape, self.width))
+            np.put_along_axis(hot, feature[:, :, None], used[:, :, None].astype(float), axis=2)
+            for r in range(0, len(x), rows):
+                here = x[r:r + rows]
+                v = here[:, feature]
+                follows = (v > self.low[part]) & (v <= self.high[part])
+                for t, weight in zip(self.points, self.weights):
+                    yes, no = share * (1 - t) + t, share * (1 - t)
+                    product = np.prod(np.where(follows, yes, no), axis=2)
+                    rise, fall = (1 - share) / yes, -share / no
+                    for c in range(self.value.shape[1]):
+                        worth = product * (weight * self.value[part, c])
+                        total = worth @ (fall[:, :, None] * hot).sum(axis=1)
+                        for s in range(feature.shape[1]):
+                            total += (worth * follows[:, :, s]) @ ((rise - fall)[:, s, None] * hot[:, s])
+                        out[r:r + rows, c] += total
 
 
 def shap_tree(df: DataFrame, model, features: str = "features") -> DataFrame:
-    """Exact Shapley values of a tree model for all rows: (row_id, base, shap array per class and feature).
+    """Exact Shapley values of a tree model for all rows: (row_id, base, shap array per output and feature).
 
-    Regression and boosted models have one output, others one per class. The leaves are broadcast; their number is
-    that of the model.
+    Regression and boosted models have one output, others one per class. Trees go along in groups of bounded size; each group
+    adds its part to every row where the row is, and nothing shuffles.
     """
-    leaves = tree_leaves(model, df.sparkSession)
-    outputs = len(leaves[0]["value"])
-    width = model.numFeatures
-    base = np.zeros(outputs)
-    for leaf in leaves:
-        base += leaf["value"] * np.prod(list(leaf["shares"].values()) or [1.0])
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
-
-    def explain(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.stack(pdf["x"].to_numpy())
-            out = np.zeros((len(x), width, outputs))
-            for leaf in shared.value:
-                _leaf_values(x, leaf, out)
-            yield pd.DataFrame({"row_id": pdf["row_id"], "base": [base.tolist()] * len(x), "shap": [row.T.tolist() for row in out]})
-
-    rows = spread(df.select(F.col("row_id").cast("string").alias("row_id"), vector_to_array(features).alias("x")))
-    return rows.mapInPandas(explain, "row_id string, base array<double>, shap array<array<double>>")
+    width = model.params["width"] if isinstance(model, Fitted) and model.kind != "spark" else (model.parts[0] if isinstance(model, Fitted) else model).numFeatures
+    rows = spread(df.select(F.col("row_id").cast("string").alias("row_id"), vector_to_array(features).alias("_x")))
+    sums, base = [], 0.0
+    for i, group in enumerate(packed_trees(model, df.sparkSession)):
+        tables = [LeafTable(tree, width) for tree in group]
+        base, outputs = base + sum(t.base for t in tables), tables[0].value.shape[1]
+        shared = df.sparkSession.sparkContext.broadcast(group)
+
+        @F.pandas_udf("array<array<double>>")
+        def values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            tables = [LeafTable(tree, width) for tree in shared.value]
+            for xs in batches:
+                x = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, width))
+                out = np.zeros((len(x), outputs, width))
+                for t in tables:
+                    t.add(x, out)
+                yield pd.Series([row.tolist() for row in out], dtype=object)
+
+        rows = rows.withColumn(f"_s{i}", values("_x"))
+        sums.append(F.col(f"_s{i}"))
+    total = sums[0]
+    for more in sums[1:]:
+        total = F.zip_with(total, more, lambda a, b: F.zip_with(a, b, lambda u, v: u + v))
+    return rows.select("row_id", F.array(*[F.lit(float(b)) for b in base]).alias("base"), total.alias("shap"))
 
 
 def shap_long(values: DataFrame, names: list[str]) -> DataFrame:
@@ -223,7 +266,7 @@ def _scores(predicted: DataFrame, problem_type: str) -> DataFrame:
 
 
 def native_importance(model, names: list[str], spark, n: int = 10) -> DataFrame:
-    values = model.featureImportances.toArray().tolist()
+    values = forest.importances(model) if isinstance(model, Fitted) else model.featureImportances.toArray().tolist()
     rows = [(name, float(v), "Model-native feature importance") for name, v in zip(names, values)]
     return top_features(spark.createDataFrame(rows, "feature string, importance double, method_detail string"), n=n)
 

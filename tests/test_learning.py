@@ -188,7 +188,7 @@ def test_tree_values_add_up(spark, line, three, kind):
     name, bank, frame, k = {"tree": ("decision_tree", REGRESSORS, line, 0), "forest": ("random_forest", REGRESSORS, line, 0),
                             "boosted": ("gradient_boosting", REGRESSORS, line, 0), "classes": ("random_forest", CLASSIFIERS, three, 3)}[kind]
     model = spec(bank, name).train(frame, context_of(frame, k, 42, 0.1))
-    out = ex.shap_tree(frame, model.parts[0]).join(model.transform(frame).withColumn("row_id", F.col("row_id")), "row_id").toPandas()
+    out = ex.shap_tree(frame, model).join(model.transform(frame).withColumn("row_id", F.col("row_id")), "row_id").toPandas()
     for _, r in out.iterrows():
         for c in range(len(r["base"])):
             want = r["probability"][c] if k else r["prediction"]
@@ -197,8 +197,8 @@ def test_tree_values_add_up(spark, line, three, kind):
 
 def test_tree_values_equal_all_subsets(spark, line):
     model = spec(REGRESSORS, "decision_tree").train(line, context_of(line, 0, 42, 0.1))
-    leaves = ex.tree_leaves(model.parts[0], spark)
-    rows = ex.shap_tree(line.limit(5), model.parts[0]).join(line.select("row_id", vector_to_array("features").alias("x")), "row_id").collect()
+    leaves = ex.tree_leaves(next(ex.packed_trees(model, spark))[0])
+    rows = ex.shap_tree(line.limit(5), model).join(line.select("row_id", vector_to_array("features").alias("x")), "row_id").collect()
     for r in rows:
         def value(known):
             total = 0.0
@@ -231,7 +231,7 @@ def test_permuting_noise_changes_nothing(line):
 
 def test_saliency_and_native(spark, line):
     model = spec(REGRESSORS, "random_forest").train(line, context_of(line, 0, 42, 0.1))
-    top = ex.native_importance(model.parts[0], ["a", "b", "noise"], spark).collect()
+    top = ex.native_importance(model, ["a", "b", "noise"], spark).collect()
     assert top[0]["feature"] == "a" and sum(r["importance"] for r in top) == pytest.approx(1)
 
 
