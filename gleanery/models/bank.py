@@ -57,10 +57,10 @@ CLASSIFIERS = [
     Spec("extra_trees", lambda d, c: trees.fit_extra_trees(d, c, 200), True),
     Spec("gradient_boosting", lambda d, c: trees.fit_boosted(d, c, 100, 3, 0.1), True),
     Spec("ada_boost", lambda d, c: trees.fit_ada_classifier(d, c, 50), True),
-    Spec("xgboost", lambda d, c: trees.fit_boosted(d, c, 100, 6, 0.3), True),
+    Spec("xgboost", trees.fit_xgb_style, True),
     Spec("mlp_ann", lambda d, c: other.fit_mlp_classifier(d, c, (128, 64), 400), True),
-    Spec("lightgbm", lambda d, c: trees.fit_boosted(d, c, 200, 5, 0.1), True),
-    Spec("catboost", lambda d, c: trees.fit_boosted(d, c, 200, 6, 0.05), True),
+    Spec("lightgbm", trees.fit_lgbm_style, True),
+    Spec("catboost", trees.fit_catboost_style, True),
 ]
 
 REGRESSORS = [
@@ -76,10 +76,10 @@ REGRESSORS = [
     Spec("extra_trees", lambda d, c: trees.fit_extra_trees(d, c, 200)),
     Spec("gradient_boosting", lambda d, c: trees.fit_boosted(d, c, 100, 3, 0.1)),
     Spec("ada_boost", lambda d, c: trees.fit_ada_regressor(d, c, 50)),
-    Spec("xgboost", lambda d, c: trees.fit_boosted(d, c, 100, 6, 0.3)),
+    Spec("xgboost", trees.fit_xgb_style),
     Spec("mlp_ann", lambda d, c: other.fit_mlp_regressor(d, c, (128, 64), 400)),
-    Spec("lightgbm", lambda d, c: trees.fit_boosted(d, c, 200, 5, 0.1)),
-    Spec("catboost", lambda d, c: trees.fit_boosted(d, c, 200, 6, 0.05)),
+    Spec("lightgbm", trees.fit_lgbm_style),
+    Spec("catboost", trees.fit_catboost_style),
 ]
 
 TEXT_CLASSIFIERS = [

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from . import forest
+from . import boost, forest
 from .base import RESERVED, Context, Fitted, fit_one_vs_rest, fit_spark, predictor
 
 
@@ -43,6 +44,25 @@ def fit_extra_trees(df: DataFrame, ctx: Context, trees: int = 200) -> Fitted:
     return forest.fit(df, forest.Plan(ctx.scaled(trees, 2), ctx.classes, _tries(ctx), True, False, ctx.seed), ctx.width, ctx.n)
 
 
+def _second_order(df: DataFrame, ctx: Context, how: boost.Booster) -> Fitted:
+    return boost.fit(df, replace(how, rounds=ctx.scaled(how.rounds, 3)), ctx.classes, ctx.width, ctx.n)
+
+
+def fit_xgb_style(df: DataFrame, ctx: Context) -> Fitted:
+    """Trees by level, shrunken leaves, a least Hessian per child."""
+    return _second_order(df, ctx, boost.Booster(100, 0.3, "level", depth=6, l2=1.0, least_hessian=1.0))
+
+
+def fit_lgbm_style(df: DataFrame, ctx: Context) -> Fitted:
+    """Trees by best leaf, at least 20 rows in each of up to 31."""
+    return _second_order(df, ctx, boost.Booster(200, 0.1, "leaf", leaves=31, l2=0.0, least_hessian=1e-3, least_rows=20))
+
+
+def fit_catboost_style(df: DataFrame, ctx: Context) -> Fitted:
+    """Symmetric trees: one split for all nodes of a level. Boosting is plain, not ordered."""
+    return _second_order(df, ctx, boost.Booster(200, 0.05, "symmetric", depth=6, l2=3.0, least_hessian=0.0))
+
+
 # ---------------------------------------------------------------- adaptive boosting
 
 def fit_ada_classifier(df: DataFrame, ctx: Context, rounds: int = 50) -> Fitted:

@@ -56,8 +56,9 @@ def packed_trees(model, spark):
         if model.kind == "spark":
             yield from packed_trees(model.parts[0], spark)
             return
+        scale = 1.0 if model.kind == "boosted" else 1.0 / model.params["trees"]
         for group in forest.sent_trees(model):
-            yield [(*tree[:4], tree[4] / model.params["trees"], tree[5]) for tree in group]
+            yield [(*tree[:4], tree[4] * scale, tree[5]) for tree in group]
         return
     path = fresh_path(spark, "tree")
     model.write().overwrite().save(path)
@@ -95,7 +96,7 @@ def tree_leaves(tree) -> list[dict]:
             leaves.append({"value": value[i], "steps": steps, "shares": shares})
             continue
         for child, upper in ((left[i], False), (right[i], True)):
-            todo.append((child, [*steps, (f, float(threshold[i]), upper)], {**shares, f: shares.get(f, 1.0) * size[child] / size[i]}))
+            todo.append((child, [*steps, (f, float(threshold[i]), upper)], {**shares, f: shares.get(f, 1.0) * (size[child] / size[i] if size[i] else 0.0)}))
     return leaves
 
 
@@ -125,7 +126,8 @@ class LeafTable:
 
         With o the indicator that a row follows a leaf's steps on a feature and z the share of rows that do, the value of a feature
         is (o - z) times the integral over t in [0, 1] of the product over the other features of o t + z (1 - t). The
-        product is a polynomial, so Gauss-Legendre points give it exactly; none of its factors is zero in between.
+        product is a polynomial, so Gauss-Legendre points give it exactly. A factor is zero only where a row does not follow a step
+        that no training row took; the leaf adds nothing to that row then.
         """
         for l in range(0, len(self.value), leaves):
             part = slice(l, l + leaves)
@@ -139,7 +141,7 @@ class LeafTable:
                 for t, weight in zip(self.points, self.weights):
                     yes, no = share * (1 - t) + t, share * (1 - t)
                     product = np.prod(np.where(follows, yes, no), axis=2)
-                    rise, fall = (1 - share) / yes, -share / no
+                    rise, fall = (1 - share) / yes, np.full(share.shape, -1 / (1 - t))
                     for c in range(self.value.shape[1]):
                         worth = product * (weight * self.value[part, c])
                         total = worth @ (fall[:, :, None] * hot).sum(axis=1)
@@ -151,12 +153,12 @@ class LeafTable:
 def shap_tree(df: DataFrame, model, features: str = "features") -> DataFrame:
     """Exact Shapley values of a tree model for all rows: (row_id, base, shap array per output and feature).
 
-    Regression and boosted models have one output, others one per class. Trees go along in groups of bounded size; each group
+    Regression models and boosted ones of two classes have one output, others one per class; boosted outputs are margins. Trees go along in groups of bounded size; each group
     adds its part to every row where the row is, and nothing shuffles.
     """
     width = model.params["width"] if isinstance(model, Fitted) and model.kind != "spark" else (model.parts[0] if isinstance(model, Fitted) else model).numFeatures
     rows = spread(df.select(F.col("row_id").cast("string").alias("row_id"), vector_to_array(features).alias("_x")))
-    sums, base = [], 0.0
+    sums, base = [], np.array(model.params["base"]) if isinstance(model, Fitted) and model.kind == "boosted" else 0.0
     for i, group in enumerate(packed_trees(model, df.sparkSession)):
         tables = [LeafTable(tree, width) for tree in group]
         base, outputs = base + sum(t.base for t in tables), tables[0].value.shape[1]

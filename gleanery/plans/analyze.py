@@ -107,7 +107,7 @@ def _importance(result, names, problem_type, rows, n) -> DataFrame:
     model, spark = result.best, result.test.sparkSession
     part = model.parts[0] if model.kind == "spark" else None
     kind = type(part).__name__ if part is not None else ""
-    if model.kind == "grown" or "Tree" in kind or "GBT" in kind:
+    if model.kind in ("grown", "boosted") or "Tree" in kind or "GBT" in kind:
         long = explain.shap_long(explain.shap_tree(result.test, model), names)
         top = explain.shap_aggregate(long, n)
         return rows(top, "importance", F.lit("SHAP (Shapley additive values)"), F.col("feature"), F.col("importance"))
