@@ -232,46 +232,70 @@ def fit_field(docs: DataFrame, sample: int = 300) -> Field | None:
     return train(sequences)
 
 
+#: ASCII letters as their case, other bytes as they are.
+_CASES = bytes.maketrans(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"a" * 26 + b"A" * 26)
+
+
 class _Rows(dict):
-    """Row of each word in the scanner's tables, remembered up to a bound; words alike in all features share a row."""
+    """Row of each word in the table of scores; words alike in all features share a row.
 
-    def __init__(self, field: Field, bound: int):
+    What a plain ASCII word shows beside its letters follows from its pattern of cases and marks, which is looked at once.
+    """
+
+    def __init__(self, field: Field):
         super().__init__()
-        self.field, self.bound, self.row_of, self.scores = field, bound, {}, []
+        self.field, self.row_of, self.patterns = field, {}, {}
+        self.table, self.rows = np.zeros((1024, 10)), 0
         self.weighted = {n for w in field.weights for n in ((w, w[1:]) if w[0] in "-+" else (w,))}
 
+    def _row(self, key: tuple, names: list[str], digits: bool) -> int:
+        if self.rows == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        beside = [n for n in shown(names) if n in self.weighted]
+        self.table[self.rows] = np.concatenate([self.field.score(names), *(self.field.score([side + n for n in beside]) for side in "-+"), [float(digits)]])
+        self.row_of[key] = self.rows
+        self.rows += 1
+        return self.rows - 1
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        text = word.decode("utf-8", "replace")
-        names = word_features(text)
-        beside = shown(names)
-        names = [n for n in names if n in self.weighted]
-        key = (*names, any(c.isdigit() for c in text))
-        if key not in self.row_of:
-            self.row_of[key] = len(self.scores)
-            beside = [n for n in beside if n in self.weighted]
-            self.scores.append(np.concatenate([self.field.score(names), *(self.field.score([side + n for n in beside]) for side in "-+"), [float(key[-1])]]))
-        row = self[word] = self.row_of[key]
+        pattern = word.translate(_CASES)
+        if pattern.translate(None, b"aA.,!?;"):
+            text = word.decode("utf-8", "replace")
+            names, digits = word_features(text), any(c.isdigit() for c in text)
+            key = (*[n for n in names if n in self.weighted], digits)
+            row = self.row_of.get(key)
+            row = self[word] = self._row(key, names, digits) if row is None else row
+            return row
+        told = self.patterns.get(pattern)
+        if told is None:
+            core = VALUE.search(word.decode())
+            told = self.patterns[pattern] = (tuple(n for n in word_features(word.decode()) if n[0] not in "wu" and n in self.weighted), core.span() if core else (0, 0))
+        rest, (start, end) = told
+        name = "w" + word.lower().rstrip(b".,!?;")[:12].decode()
+        distinct = min(len(set(word[start:end])) // 4, 6)
+        key = (rest, distinct, name if name in self.weighted else None)
+        row = self.row_of.get(key)
+        row = self[word] = self._row(key, word_features(word.decode()), False) if row is None else row
         return row
 
 
 class Scanner:
-    """Tags whole texts. Words are looked up once; a text is decoded only where some path could beat all-outside."""
+    """Tags whole texts. Words are looked up once; a text is decoded only where some path could beat all-outside. What is
+    remembered starts anew beyond ``bound`` words or rows."""
 
-    def __init__(self, field: Field | None, bound: int = 500_000):
-        self.field = field
+    def __init__(self, field: Field | None, bound: int = 400_000):
+        self.field, self.bound = field, bound
         if field is not None:
-            self.rows, self.table = _Rows(field, bound), np.zeros((0, 10))
+            self.rows = _Rows(field)
             self.whole = [field.score(["bias", f"f{i}"]) for i in range(4)]
             self.first, self.last = field.score(["-start"]), field.score(["+end"])
 
     def tags(self, words: list[bytes]) -> np.ndarray | None:
         """Best tags, or None if all are outside."""
+        if len(self.rows) > self.bound or self.rows.rows > self.bound or len(self.rows.patterns) > self.bound:
+            self.rows = _Rows(self.field)
         ids = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        if len(self.table) < len(self.rows.scores):
-            self.table = np.array(self.rows.scores)
-        got = self.table[ids]
+        got = self.rows.table[ids]
         share = got[:, 9].mean()
         emission = got[:, :3] + self.whole[sum(share >= s for s in (1e-9, 0.02, 0.2))]
         emission[1:] += got[:-1, 3:6]
