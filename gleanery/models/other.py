@@ -28,16 +28,17 @@ def fit_knn(df: DataFrame, ctx: Context, k: int = 7) -> Fitted:
 
 @predictor("knn")
 def _knn(model: Fitted, df: DataFrame) -> DataFrame:
+    """Rows are written and numbered for the search, so rows that share every column, or have no name, keep answers of their own."""
     p = model.params
-    keyed = df.withColumn("_id", F.col("row_id"))
+    keyed = cut(df.withColumn("_id", F.monotonically_increasing_id()))
     queries = keyed.select(F.col("_id").alias("id"), vector_to_array("features").alias("x"))
     if not p["classes"]:
-        found = knn_regress(model.tables["train"], queries, p["width"], p["k"])
-        return keyed.join(found, F.col("_id") == F.col("id"), "left").drop("id", "_id")
+        found = knn_regress(model.tables["train"], queries, p["width"], p["k"]).select(F.col("id").alias("_found"), "prediction")
+        return keyed.join(found, F.col("_id") == F.col("_found"), "left").drop("_found", "_id")
     found = knn_classify(model.tables["train"], queries, p["width"], p["k"])
     share = F.array(*[F.coalesce(F.element_at("votes", F.lit(float(c))), F.lit(0)) / F.lit(float(p["k"])) for c in range(p["classes"])])
-    found = found.select("id", "prediction", share.alias("probability"))
-    return keyed.join(found, F.col("_id") == F.col("id"), "left").drop("id", "_id")
+    found = found.select(F.col("id").alias("_found"), "prediction", share.alias("probability"))
+    return keyed.join(found, F.col("_id") == F.col("_found"), "left").drop("_found", "_id")
 
 
 # ---------------------------------------------------------------- multilayer perceptrons

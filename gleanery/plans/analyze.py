@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.hashing import bucket_of
-from ..functions.types import nan_to_null, quoted
+from ..functions.types import categorical_columns, nan_to_null, quoted
 from ..models.bank import Spec
 from ..models.texts import NgramFront, TextModel
 from ..operators import advisor, clean, explain, infer
@@ -45,11 +45,18 @@ class Analysis:
 
 
 def row_identity(df: DataFrame) -> DataFrame:
-    """Rows are distinct after deduplication, so the digest of all cells names a row on any cluster."""
+    """The digest of all cells names a row on any cluster; to be taken right after deduplication, while no two rows are alike."""
     text = F.concat_ws("\u0001", *[F.coalesce(quoted(c).cast("string"), F.lit("\u0000")) for c in df.columns])
     return df.withColumn(ROW_ID, F.md5(text))
 
 
+def named_and_filled(raw: DataFrame) -> DataFrame:
+    """Distinct rows with a name and without gaps. They are named while ids and gaps are still there: two customers may be alike
+    in all else, or in what fills a gap."""
+    named = row_identity(cut(clean.dedupe_rows(raw)))
+    return clean.impute_mode(clean.impute_median(named), categorical_columns(raw))
+
+
 def explain_report(result: training.TrainingResult, problem_type: str, feature_columns: list[str], train: DataFrame | None = None, n: int = 10) -> DataFrame:
     """Long report: (section, key, name, value) with the method as its own section."""
     def rows(df: DataFrame, section: str, key, name, value) -> DataFrame:
@@ -157,9 +164,7 @@ def run_analysis(df: DataFrame, target: str | None = None, use_case_id: str | No
     text_columns = [r["column"] for r in roles.filter("is_text").collect()]
 
     # Cleaning. Deduplication is the one shuffle of whole rows, so its result is written once and read from there.
-    cleaned = clean.impute_auto(cut(clean.dedupe_rows(raw)))
-    # Rows are told apart while their ids are still there; two customers may be alike in all else.
-    cleaned = row_identity(detect_anomalies(cleaned, trees=trees))
+    cleaned = detect_anomalies(named_and_filled(raw), trees=trees)
     cleaned = cut(clean.drop_id_columns(cleaned, [i for i in ids if i != ROW_ID]))
 
     status, warning, leakage = None, False, []

@@ -19,8 +19,15 @@ class SeriesModelRefused(ValueError):
     pass
 
 
+def needs_batches(model) -> bool:
+    """Whether a model can only score rows that are all there: nearest neighbours are found block by block."""
+    return getattr(model, "kind", None) == "knn"
+
+
 def score_frame(df: DataFrame, model, preprocessor, meta: dict, keep: list[str]) -> DataFrame:
-    """Kept columns, decoded prediction, score, tier and action. Narrow transforms and static joins only."""
+    """Kept columns, decoded prediction, score, tier and action; one row for each input row, whatever the kept columns repeat.
+
+    Narrow transforms and static joins only, but for nearest neighbours, which search per batch (``needs_batches``)."""
     if meta.get("problem_type") == "time_series":
         raise SeriesModelRefused("Time-series models do not support batch record prediction.")
     if meta.get("text_columns"):
@@ -31,8 +38,6 @@ def score_frame(df: DataFrame, model, preprocessor, meta: dict, keep: list[str])
         renamed = features.select(*[quoted(c) for c in keep], *[quoted(c).cast("double").alias(f"_f{i}") for i, c in enumerate(preprocessor.feature_columns)])
         ready = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(preprocessor.feature_columns))], outputCol="features").transform(renamed)
         ready = ready.select(*[quoted(c) for c in keep], "features")
-        if "row_id" not in ready.columns and keep:
-            ready = ready.withColumn("row_id", quoted(keep[0]).cast("string"))
     predicted = model.transform(ready)
     has_probability = "probability" in predicted.columns
     has_margin = "margin" in predicted.columns

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.types import is_numeric_or_bool, quoted
 from ..operators.monitor import check_drift, with_drift
-from ..plans.scoring import score_frame
+from ..plans.scoring import needs_batches, score_frame
 from ..sources.sinks import log_predictions
 
 
@@ -25,22 +25,25 @@ def stream_score(stream: DataFrame, model, preprocessor, meta: dict, out: str, c
 
     Preprocessing is expressions and static joins, so scoring needs no state; the file sink makes the output
     exactly-once. With ``log``, each trigger also logs its predictions and input means there and, given a ``baseline``,
-    its drift warnings. It then writes folders of its own, so a trigger that runs again replaces what it left.
+    its drift warnings. It then writes folders of its own, so a trigger that runs again replaces what it left; so does a
+    model that needs whole batches.
     """
-    if log is not None:
+    if baseline is not None and log is None:
+        raise ValueError("Drift warnings of a stream need a log folder.")
+    if log is not None or needs_batches(model):
         inputs = [c for c in stream.columns if c not in keep]
 
         def store(batch: DataFrame, epoch: int) -> None:
             trigger = f"epoch={epoch}"
             score_frame(batch, model, preprocessor, meta, keep).write.mode("overwrite").parquet(f"{out}/{trigger}")
+            if log is None:
+                return
             scored = batch.sparkSession.read.parquet(f"{out}/{trigger}")
             log_predictions(scored, log, "prediction", inputs, f"stream-{epoch}", batch, trigger)
             if baseline is not None:
                 check_drift(batch, baseline).write.mode("overwrite").parquet(f"{log}/drift/{trigger}")
 
         return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    if baseline is not None:
-        raise ValueError("Drift warnings of a stream need a log folder.")
     scored = score_frame(stream, model, preprocessor, meta, keep)
     return (scored.writeStream.outputMode("append").format("parquet").option("path", out)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
