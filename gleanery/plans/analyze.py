@@ -58,7 +58,14 @@ def named_and_filled(raw: DataFrame) -> DataFrame:
 
 
 def explain_report(result: training.TrainingResult, problem_type: str, feature_columns: list[str], train: DataFrame | None = None, n: int = 10) -> DataFrame:
-    """Long report: (section, key, name, value) with the method as its own section."""
+    """Long report: (section, key, name, value).
+
+    ``method`` names how importance was found and for which model, ``class_label`` the classes of the test rows by their number in the
+    other sections, ``warning`` what could not be explained and which models failed to train.
+    """
+    spark = result.best.sparkSession if isinstance(result.best, DataFrame) else result.test.sparkSession
+    said: list[tuple[str, str, str, float | None]] = [("warning", name, str(problem), None) for name, problem in sorted(result.failed.items())]
+
     def rows(df: DataFrame, section: str, key, name, value) -> DataFrame:
         return df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), name.cast("string").alias("name"), value.cast("double").alias("value"))
 
@@ -69,10 +76,13 @@ def explain_report(result: training.TrainingResult, problem_type: str, feature_c
             rows(explain.cluster_profiles(wide, "cluster", feature_columns, n), "cluster_profile", F.col("cluster"), F.col("feature"), F.col("mean_value")),
             rows(explain.cluster_metrics(wide, "cluster"), "metric", F.lit("cluster_profile"), F.lit("n_clusters"), F.col("n_clusters")),
         ]
+        method = "cluster_profile"
     elif problem_type == "time_series":
         scores = forecast_scores(result.best.filter(F.col("model") == result.best_name), ["series"])
         parts = [rows(scores, "forecast_summary", F.col("series"), F.lit(m), F.col(m)) for m in ("train_size", "test_size", "test_mae", "test_rmse")]
+        method = "forecast"
     else:
+        method = "none"
         predicted = keep(result.best.transform(result.test))
         if problem_type == "classification":
             report = class_report(predicted, "label", "prediction")
@@ -83,12 +93,22 @@ def explain_report(result: training.TrainingResult, problem_type: str, feature_c
         else:
             scores = regression_scores(predicted, "label", "prediction")
             parts = [rows(scores, "metric", F.lit("test"), F.lit(m), F.col(m)) for m in ("r2", "mae", "rmse")]
+        if problem_type == "classification":
+            names = result.classes or []
+            present = sorted(int(r["label"]) for r in predicted.select("label").distinct().collect())  # no more than there are classes
+            said += [("class_label", str(c), str(names[c]) if c < len(names) else str(c), float(c)) for c in present]
         if result.kind == "tabular":
-            parts.append(_importance(result, feature_columns, problem_type, rows, n))
+            method, importance = _importance(result, feature_columns, problem_type, rows, n)
+            parts.append(importance)
         elif isinstance(result.best, TextModel):
             tokens = text_tokens(result.best, result.test, n)
             if tokens is not None:
+                method = "text_saliency"
                 parts.append(rows(tokens, "text_tokens", F.lit("Linear saliency"), F.col("token"), F.col("score")))
+            else:
+                said.append(("warning", str(result.best_name), "The model has no weight for a single word, so no word is named.", None))
+    said.append(("method", method, str(result.best_name), None))
+    parts.append(spark.createDataFrame(said, "section string, key string, name string, value double"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -110,22 +130,22 @@ def text_tokens(model: TextModel, texts: DataFrame, n: int = 10) -> DataFrame |
     return table.filter("score > 0").orderBy(F.col("score").desc(), F.col("token")).limit(n)
 
 
-def _importance(result, names, problem_type, rows, n) -> DataFrame:
+def _importance(result, names, problem_type, rows, n) -> tuple[str, DataFrame]:
     model, spark = result.best, result.test.sparkSession
     part = model.parts[0] if model.kind == "spark" else None
     kind = type(part).__name__ if part is not None else ""
     if model.kind in ("grown", "boosted") or "Tree" in kind or "GBT" in kind:
         long = explain.shap_long(explain.shap_tree(result.test, model), names)
         top = explain.shap_aggregate(long, n)
-        return rows(top, "importance", F.lit("SHAP (Shapley additive values)"), F.col("feature"), F.col("importance"))
+        return "shap", rows(top, "importance", F.lit("SHAP (Shapley additive values)"), F.col("feature"), F.col("importance"))
     if kind == "LinearRegressionModel" or (kind == "LogisticRegressionModel" and part.numClasses == 2):
         x = vector_to_array("features")
         wide = result.test.select(*[x[i].alias(c) for i, c in enumerate(names)])
         coefs = dict(zip(names, part.coefficients.toArray().tolist()))
         top = explain.shap_importance(explain.shap_linear(wide, coefs), names, n=n)
-        return rows(top, "importance", F.lit("SHAP (Shapley additive values)"), F.col("feature"), F.col("importance"))
+        return "shap", rows(top, "importance", F.lit("SHAP (Shapley additive values)"), F.col("feature"), F.col("importance"))
     top = explain.permutation_importance(result.test, model.transform, problem_type, names, n=n)
-    return rows(top, "importance", F.lit("Permutation importance"), F.col("feature"), F.col("importance"))
+    return "permutation", rows(top, "importance", F.lit("Permutation importance"), F.col("feature"), F.col("importance"))
 
 
 def _better(tabular: training.TrainingResult | None, text: training.TrainingResult) -> training.TrainingResult:

@@ -172,7 +172,10 @@ def test_analysis_end_to_end(spark, analysis):
     board = a.leaderboard.collect()
     assert len(board) == 2 and board[0]["test_score"] > 0.85 and a.best_name in ("logistic_regression", "decision_tree")
     sections = {r["section"] for r in a.explanation.select("section").distinct().collect()}
-    assert sections == {"metric", "confusion", "class_report", "importance"}
+    assert sections - {"warning"} == {"metric", "confusion", "class_report", "importance", "class_label", "method"}
+    said = {(r["section"], r["key"]): r["name"] for r in a.explanation.filter("section in ('class_label', 'method')").collect()}
+    assert (said["class_label", "0"], said["class_label", "1"]) == ("No", "Yes")
+    assert {v for k, v in said.items() if k[0] == "method"} == {a.best_name} and {k[1] for k in said if k[0] == "method"} <= {"shap", "permutation"}
     top = [r["name"] for r in a.explanation.filter("section = 'importance'").orderBy(F.desc("value")).collect()]
     assert "tenure_months" in top[:3]
     run = sinks.get_run(spark, f"{folder}/runs", a.run_id).first()
