@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -44,10 +45,72 @@ def sweep_range(n: int) -> range:
     return range(2, min(10, max(3, n // 5)))
 
 
-def fit_gaussian_mixture(df: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    ready = keep(_vectors(df))
-    model = GaussianMixture(k=k, seed=seed).fit(ready)
-    return model.transform(ready).select("row_id", "x", F.col("prediction").cast("long").alias("cluster"))
+def fit_gaussian_mixture(df: DataFrame, k: int = 3, seed: int = 42, rounds: int = 100, tolerance: float = 1e-3, floor: float = 1e-6) -> DataFrame:
+    """Full covariances, from the groups that k-means finds; a poor draw of means would leave well separated groups merged.
+
+    Each round is one pass over the rows: every task adds up shares, sums and products of its rows, and the driver solves for
+    ``k`` means and covariances. It ends when the mean log-likelihood changes by less than ``tolerance``.
+    """
+    first = df.select(F.size("x").alias("n")).first()
+    if first is None:
+        return df.select("row_id", "x", F.lit(0).cast("long").alias("cluster"))
+    width, ready = first["n"], keep(_vectors(df))
+    start = _kmeans(ready, k, 3, seed).transform(ready).select("x", F.col("prediction").cast("long").alias("cluster"))
+    cells = width * width + width + 1
+    rows = keep(df.select("x"))
+
+    def sums(frame: DataFrame, shares) -> tuple[np.ndarray, float, int]:
+        def run(batches):
+            total, likelihood, n = np.zeros((k, cells)), 0.0, 0
+            for pdf in batches:
+                if len(pdf):
+                    x = np.stack(pdf["x"].to_numpy())
+                    share, log = shares(pdf, x)
+                    full = np.concatenate([np.ones((len(x), 1)), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)], axis=1)
+                    total, likelihood, n = total + share.T @ full, likelihood + log, n + len(x)
+            yield pd.DataFrame({"s": [total.ravel().tolist()], "log": [likelihood], "n": [n]})
+
+        got = frame.mapInPandas(run, "s array<double>, log double, n long")
+        row = got.agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(k * cells)], F.sum("log").alias("log"), F.sum("n").alias("n")).first()
+        return np.array([row[f"s{i}"] for i in range(k * cells)]).reshape(k, cells), row["log"], row["n"]
+
+    def solved(total: np.ndarray, n: int):
+        weight = total[:, 0] + 10 * np.finfo(float).eps
+        mean = total[:, 1:1 + width] / weight[:, None]
+        spread = total[:, 1 + width:].reshape(k, width, width) / weight[:, None, None] - mean[:, :, None] * mean[:, None, :]
+        return weight / n, mean, spread + floor * np.eye(width)
+
+    def shares_of(model):
+        weight, mean, spread = model
+        factor = np.linalg.cholesky(np.linalg.inv(spread))
+        offset = np.log(weight) + np.log(np.diagonal(factor, axis1=1, axis2=2)).sum(axis=1) - width * math.log(2 * math.pi) / 2
+
+        def shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            log = offset - 0.5 * (np.einsum("nkd,kde->nke", x[:, None, :] - mean, factor) ** 2).sum(axis=2)
+            top = log.max(axis=1, keepdims=True)
+            whole = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
+            return np.exp(log - whole[:, None]), whole
+
+        return shares
+
+    total, _, n = sums(start, lambda pdf, x: (np.eye(k)[pdf["cluster"].to_numpy()], 0.0))
+    model, before = solved(total, n), -np.inf
+    for _ in range(rounds):
+        shares = shares_of(model)
+        total, log, n = sums(rows, lambda pdf, x: (lambda s: (s[0], float(s[1].sum())))(shares(x)))
+        model = solved(total, n)
+        if abs(log / n - before) < tolerance:
+            break
+        before = log / n
+    shares = shares_of(model)
+    ready.unpersist()
+    rows.unpersist()
+
+    @F.pandas_udf("long")
+    def likeliest(x: pd.Series) -> pd.Series:
+        return pd.Series(shares(np.stack(x.to_numpy()))[0].argmax(axis=1) if len(x) else [], dtype="int64")
+
+    return df.select("row_id", "x", likeliest("x").alias("cluster"))
 
 
 # ---------------------------------------------------------------- hierarchical, over summaries
