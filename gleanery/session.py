@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, types as T
@@ -13,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 SPREAD_BYTES = 16 << 30
 
 _own_folder: dict[str, str] = {}
+#: Where ``cut`` notes the tables it writes, while somebody owns them.
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str = "gleanery") -> SparkSession:
@@ -71,10 +76,34 @@ def cut(df: DataFrame) -> DataFrame:
         shared_folder(spark)
         return df.checkpoint(eager=True)
     path = fresh_path(spark, "cut")
+    if (owner := _owner.get()) is not None:
+        owner.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def owning(paths: list[str]) -> Iterator[None]:
+    """Tables that ``cut`` writes inside are noted in ``paths``, so that their owner can remove them."""
+    token = _owner.set(paths)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def remove_unread(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
+    """Delete the noted tables that ``reader`` does not read, and strike them off ``paths``.
+
+    Results that were not written yet and read such a table are lost, so an owner calls this once they are.
+    """
+    read = {part for file in reader.inputFiles() for part in file.split("/")[-3:]} if paths else set()
+    for path in [p for p in paths if p.rsplit("/", 1)[1] not in read]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        paths.remove(path)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cache for reuse within one job chain; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
