@@ -30,6 +30,28 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def numbered(docs: DataFrame, stem: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two long columns that tell its rows apart, and their names.
+
+    Rows of a Parquet table are named by their file (a 64-bit hash of its path) and their place in it, which no re-run changes,
+    so nothing is written. Rows of any other plan are written with a running number.
+    """
+    names = [free_name(docs, f"{stem}_file"), free_name(docs, f"{stem}_at")]
+    plan = docs._jdf.queryExecution().analyzed()
+    scan = plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    if scan and plan.relation().fileFormat().toString() == "Parquet" and "_metadata" not in {c.lower() for c in docs.columns}:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias(names[0]), F.col("_metadata.row_index").alias(names[1])), names
+    return cut(docs.select("*", F.lit(0).cast("long").alias(names[0]), F.monotonically_increasing_id().alias(names[1]))), names
+
+
 def small_bytes(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
     """Mark a written table for broadcast only while its rows, measured and not estimated, take at most ``limit`` bytes."""
     size = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0)) + 32

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..models.cluster import connected_components
 from ..operators.lookup import lookup_join
 from ..session import cut
-from .common import Hashes, arrow_batch, small, texts_of
+from .common import Hashes, arrow_batch, free_name, numbered, small, texts_of
 
 #: Members of a bucket that meet in one task.
 BLOCK = 256
@@ -259,11 +259,11 @@ def keep_one_of_each(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     """The rows of ``docs`` that stand for their component, one for each: the one with the smallest doc_id, and a row without
     one only where no other has any. Rows are told apart by a number of their own, so different texts stay whether they share
     a doc_id or have none. Texts without words have no links; of those that repeat a doc_id and a text one stays."""
-    row = "_dedup_row"
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    rows = cut(sketches(numbered, how, row))
+    known, names = numbered(docs, "_dedup")
+    row = free_name(known, "_dedup_row")
+    rows = cut(sketches(known, how, *names).withColumn(row, F.struct(*names)))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "text_key", row)
-    named = cut(_named(rows, numbered, how, F.min(order).alias("first")))
+    named = cut(_named(rows, known, how, F.min(order).alias("first")))
     firsts = named.filter("linked").groupBy("root").agg(F.min("first").alias("root_first"))
     linked = named.filter("linked or copies > 1").join(firsts, "root", "left").select(
         F.col("node").alias("key"), "copies", F.coalesce("root_first", "first")[row].alias("stays"))
@@ -274,5 +274,5 @@ def keep_one_of_each(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     facts = cut(linked.unionByName(wordless))
     sizes = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
     found = lookup_join(keyed.select(row, "key"), facts, "key", "copies", ["stays"], sizes[0], sizes[1])
-    dropped = small(found.filter(F.col("stays") != F.col(row)).select(row))
-    return numbered.join(dropped, row, "left_anti").drop(row)
+    dropped = small(found.filter(F.col("stays") != F.col(row)).select(F.col(f"{row}.*")))
+    return known.join(dropped, names, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -130,3 +130,26 @@ def test_top_k_over_many_shards(spark):
     empty = vectors.filter("false")
     assert topk.top_k(empty, empty).collect() == []
     assert topk.top_k(vectors, empty).collect() == []
+
+
+def test_rows_of_a_table_need_no_copy(spark, tmp_path):
+    """Parquet rows are named by file and place; names of working columns may be taken already."""
+    from gleanery.llm.common import numbered
+    from gleanery.session import owning
+
+    rows = [(None, "one two three four five six seven", "a"), (None, "eight nine ten eleven twelve", "b"), (1, "one two three four five six seven", "c"),
+            (2, None, "d"), (2, None, "e"), (3, "", None), (1, "other words under the same id here", "f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _dedup_row string").selectExpr("*", "_dedup_row as _dedup_at", "'en' as lang", "'s' as source")
+    frame.repartition(3).write.parquet(f"{tmp_path}/t")
+    table, written = spark.read.parquet(f"{tmp_path}/t"), []
+    with owning(written):
+        known, names = numbered(table, "_dedup")
+        assert written == [] and names == ["_dedup_file", "_dedup_at_"]
+        assert known.select(*names).distinct().count() == len(rows)
+        other, names = numbered(table.filter("true"), "_dedup")
+        assert len(written) == 1 and other.select(*names).distinct().count() == len(rows)
+    for source in (table, frame):
+        left = dedup.keep_one_of_each(source)
+        assert left.columns == table.columns
+        got = sorted((r["doc_id"] or 0, r["_dedup_row"] or "") for r in left.collect())
+        assert got in ([(0, "b"), (1, "c"), (1, "f"), (2, "d"), (3, "")], [(0, "b"), (1, "c"), (1, "f"), (2, "e"), (3, "")])
