@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
-from .common import word_count
+from .common import free_name, numbered, small, word_count
 
 #: Documents whose probabilities are moved together.
 BLOCK = 1000
@@ -144,9 +144,15 @@ def sized(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
-    row = "_mix_row"
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    taken = mix(cut(sized(numbered, row)), weights)
-    copies = taken.filter("copies > 0").select(F.col(row), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_mix_copy"))
-    return numbered.join(copies, row).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs`` alone.
+
+    Null texts and texts without words have size 0; rows without doc_id or source, repeated rows and an empty table are treated as ``mix``
+    says. Rows are told apart by ``numbered``; the decisions go to the texts, and texts move only where there are more decisions than
+    ``small`` allows.
+    """
+    known, names = numbered(docs, "_mix")
+    times = free_name(known, "_mix_times")
+    taken = mix(cut(sized(known, *names)), weights).filter("copies > 0")
+    found = known.join(small(taken.select(*names, F.col("copies").alias(times))), names)
+    copy = free_name(found, "_mix_copy")
+    return found.select("*", F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).select(*[F.col(f"`{c}`") for c in docs.columns])
