@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm import dedup, mixing, pieces, quality, secrets
 from gleanery.llm.queries import model_bytes
-from gleanery.session import cut
+from gleanery.session import cut, owning, remove_unread
+
+#: Working tables of the last stage; its result may still read them.
+_working: list[str] = []
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose working tables go when the next one starts, as its result is written by then. Tables that the next
+    stage's documents still read stay."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_unread(spark, _working, docs)
+        with owning(_working):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +51,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(docs, model_bytes(), keys=("doc_id", "source"))
 
 
-STAGES = [("quality", good), ("near_dedup", distinct), ("secrets", without_secrets), ("mixing", mixed), ("encoding", encoded)]
+STAGES = [(name, stage(work)) for name, work in (
+    ("quality", good), ("near_dedup", distinct), ("secrets", without_secrets), ("mixing", mixed), ("encoding", encoded))]
 
 #: Robust outliers, the cube method and transducers are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -43,6 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    for _, work in STAGES[:-1]:
+        docs = cut(work(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -131,3 +131,38 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == [], name
+
+
+def test_mixed_rows_are_whole(spark, tmp_path):
+    """Null and repeated ids, null texts and working names that are taken already; table and frame agree."""
+    rows = [(None if i % 5 == 0 else i % 40, f"s{i % 3}" if i % 7 else None, "w " * (i % 23) if i % 11 else None, i) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string, _mix_at long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/t")
+    goal = mixing.targets({s: sum(len((t or "").split()) for _, x, t, _ in rows if x == s) for s in {r[1] for r in rows}})
+    by_at = {r[3]: r for r in rows}
+    for docs in (frame, spark.read.parquet(f"{tmp_path}/t")):
+        out = mixing.mixed_documents(docs)
+        taken, times = {}, {}
+        for r in out.collect():
+            assert tuple(r) == by_at[r["_mix_at"]]
+            times[r["_mix_at"]] = times.get(r["_mix_at"], 0) + 1
+            taken[r["source"]] = taken.get(r["source"], 0) + len((r["text"] or "").split())
+        assert out.columns == frame.columns and max(times.values()) <= 3
+        assert all(abs(taken[s] - g) <= 23 for s, g in goal.items())
+
+
+def test_working_tables_go_with_the_next_stage(spark, tmp_path):
+    """They stay while the documents handed on still read them."""
+    import os
+
+    docs, stages = spark.read.parquet(f"{SF}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    good = stages["quality"](spark, docs, SF)
+    first = list(corpus_pipeline._working)
+    assert first and all(os.path.isdir(p) for p in first)
+    n = good.count()
+    read = {p for p in first if any(os.path.basename(p) in f for f in good.inputFiles())}
+    stages["near_dedup"](spark, good, SF)
+    assert read and all(os.path.isdir(p) == (p in read) for p in first) and good.count() == n
+    good.write.parquet(f"{tmp_path}/good")
+    stages["secrets"](spark, spark.read.parquet(f"{tmp_path}/good"), SF)
+    assert not any(os.path.isdir(p) for p in first)
