@@ -407,14 +407,6 @@ def test_forecasts_and_stretches(spark):
     assert len(board) == 2 and all(r["test_mae"] < 60 for r in board)
 
 
-def test_autoregression_is_recovered(spark):
-    df = series_frame(spark, {"a": make_series(4000, 0.6, 3)})
-    train = ts.prepare(df, "t", "y", "s").filter("is_train")
-    d = ts.with_lags(train, "y", 1, "p").select("series", "position", (F.col("y") - F.col("p1")).alias("w"))
-    fit = ts._regress(ts.with_lags(d, "w", 1, "w_"), "w", ["w_1"], "c").first()["c"]
-    assert fit[0] == pytest.approx(0.6, abs=0.05)
-
-
 @pytest.mark.parametrize("order", ts.ORDERS)
 def test_far_steps_equal_the_recursion(order):
     p, _, q = order
