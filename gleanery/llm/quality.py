@@ -208,6 +208,11 @@ def judge_quality(docs: DataFrame, how: Outliers = Outliers()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, how: Outliers = Outliers()) -> DataFrame:
-    """The rows of ``docs`` that pass."""
-    rows = cut(with_statistics(docs, *docs.columns))
-    return with_verdict(rows, fit_outliers(rows, how), how).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with the columns of ``docs`` alone, whatever their names.
+
+    Null and empty texts fail the base rules; null languages and sources form groups of their own; repeated rows are judged alike and
+    all come back or none; an empty table gives an empty result.
+    """
+    packed = docs.select(F.struct("*").alias("doc"), "lang", "source", "text")
+    rows = cut(with_statistics(packed, "doc"))
+    return with_verdict(rows, fit_outliers(rows, how), how).filter("_kept").select("doc.*")

@@ -261,3 +261,14 @@ def test_toxicity_of_rare_words(spark):
     assert scores[1000] > scores[1001] + 1e-6
     two = sorted((r["doc_id"], r["score"]) for r in toxicity.score_toxicity(docs, labels, fold_of("doc_id", 5), how=toxicity.Scoring(table=30)).collect())
     assert [d for d, _ in one] == [d for d, _ in two] and [s for _, s in one] == pytest.approx([s for _, s in two])
+
+
+def test_kept_rows_keep_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clashing = docs.selectExpr("*", "doc_id as _q", "text as _lang", "1 as _x", "true as _failed", "'p' as doc", "n_chars as _distance", "1.5 as _group", "null as _kept")
+    plain, got = quality.keep_good(docs), quality.keep_good(clashing)
+    assert got.columns == clashing.columns
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in plain.collect()) and len(rows) > 100
+    assert all(r["_q"] == r["doc_id"] and r["_lang"] == r["text"] and r["_distance"] == r["n_chars"] for r in rows)
+    assert quality.keep_good(clashing.limit(0)).collect() == []
