@@ -7,7 +7,7 @@ import math
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.hashing import bucket_of
 from ..models import cluster as cl
@@ -22,7 +22,7 @@ from ..operators.usecases import get_use_case
 from ..plans import training
 from ..plans.analyze import run_analysis
 from ..plans.scoring import score_batch as score_with
-from ..session import fresh_path, keep, spread
+from ..session import cut, fresh_path, keep, spread
 from ..sources import sinks
 from ..streaming import jobs
 from .registry import LINE_KEYS, lines_with_key, query, table, token_sql
@@ -437,7 +437,18 @@ def analyze_clusters(spark, sf):
     return run_analysis(parts, source="parts", id_columns=["p_partkey"]).leaderboard
 
 
-@query("analyze_series")
+@query("analyze_series", """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS y FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL),
+  n AS (SELECT y, row_number() OVER (ORDER BY day) AS i, floor(0.8 * count(*) OVER ()) AS k FROM d), p AS (SELECT avg(y) FILTER (i <= k) AS m FROM n),
+  e AS (SELECT CAST(round(avg(abs(y - m))) AS BIGINT) AS mean_mae FROM n, p WHERE i > k)
+  SELECT 'all' AS series, model, 'statistical' AS family, mean_mae, true AS ranked, true AS sound
+  FROM e CROSS JOIN (VALUES ('ARIMA(1,1,1)'), ('ARIMA(2,1,1)'), ('ARIMA(1,1,2)')) m(model)""")
 def analyze_series(spark, sf):
+    """The board of the daily revenue, which has no trend: the error of no order may exceed that of the mean of the past by a twentieth."""
     orders = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("revenue"), F.count(F.lit(1)).alias("n"))
-    return run_analysis(orders, "revenue", source="daily revenue", allow_continuous=True).leaderboard
+    board = run_analysis(orders, "revenue", source="daily revenue", allow_continuous=True).leaderboard
+    placed = cut(ts.prepare(orders, "day", "revenue"))
+    mean = placed.filter("is_train").agg(F.avg("y")).first()[0]
+    error = F.lit(placed.filter("not is_train").agg(F.avg(F.abs(F.col("y") - F.lit(mean)))).first()[0])
+    by = Window.partitionBy("series").orderBy("test_mae", "model")
+    return board.select("series", "model", "family", F.round(error).cast("long").alias("mean_mae"),
+                        (F.row_number().over(by) == F.col("rank")).alias("ranked"), (F.col("test_mae") < 1.05 * error).alias("sound"))
