@@ -96,10 +96,19 @@ def select_raw_inputs(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def scan_image_paths(df: DataFrame, column: str, folder: str, least: int = 20) -> DataFrame | None:
-    """Rows whose path is a readable image under ``folder``; fewer than ``least`` give none."""
+    """Rows whose path is a readable image under ``folder``; fewer than ``least`` give none.
+
+    A relative path must be the end of an image's path, folder by folder. An absolute one, which may be of another machine, must end with
+    the image's path below ``folder``.
+    """
     spark = df.sparkSession
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+    bare = folder.split("://", 1)[-1].removeprefix("file:").rstrip("/")
     name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    known = images.select(name(F.col("image.origin")).alias("_file"))
-    found = df.withColumn("_file", name(quoted(column))).join(known, "_file", "left_semi").drop("_file")
+    origin, path = F.col("i._origin"), F.regexp_replace(quoted(column), r"^(\./)+", "")
+    known = images.select(name(F.col("image.origin")).alias("_file"), F.col("image.origin").alias("_origin")).alias("i")
+    below = F.substring_index(origin, bare + "/", -1)
+    absolute = path.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)")
+    fits = F.when(absolute, path.endswith(F.concat(F.lit("/"), below))).otherwise(origin.endswith(F.concat(F.lit("/"), path)))
+    found = df.join(known, (name(path) == F.col("i._file")) & fits, "left_semi")
     return found if found.limit(least).count() >= least else None

@@ -157,6 +157,18 @@ def test_images_from_paths_to_classes(spark, tmp_path):
     assert training._score(model.transform(frame), "classification") == 1.0
 
 
+def test_images_are_told_apart_by_folder(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    for name in ("b/1.png", "top.png"):
+        _png(tmp_path / name, (10, 20, 30))
+    (tmp_path / "b" / "broken.png").write_text("no image")
+    good = ["b/1.png", "./b/1.png", "1.png", f"{tmp_path}/b/1.png", "/other/machine/b/1.png", "C:/pictures/b/1.png", "top.png", "/elsewhere/top.png"]
+    bad = ["a/1.png", "/other/a/1.png", "xb/1.png", "b/2.png", "a/top.png", "b/broken.png", "", None]
+    rows = spark.createDataFrame([(p,) for p in good + bad], "picture string")
+    found = readers.scan_image_paths(rows, "picture", str(tmp_path), least=1)
+    assert sorted(r["picture"] for r in found.collect()) == sorted(good) and found.columns == ["picture"]
+
+
 # ---------------------------------------------------------------- analysis, artifacts, scoring
 
 @pytest.fixture(scope="module")
