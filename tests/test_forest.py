@@ -138,3 +138,19 @@ def test_trees_travel_in_bounded_groups(spark, rule, monkeypatch):
     assert all(whole[k] == pytest.approx(parts[k], abs=1e-12) for k in whole)
     for r in explain.shap_tree(frame.limit(30), model).collect():
         assert r["base"][1] + sum(r["shap"][1]) == pytest.approx(whole[r["row_id"]], abs=1e-9)
+
+
+def test_pure_nodes_are_leaves_and_groups_of_trees_agree(spark, rule):
+    """Nodes with more rows than a task holds end where they are pure; finishing a few trees at a time changes nothing."""
+    frame = training_frame(spark, *rule)
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    one, two = (forest.fit(frame, forest.Plan(12, 2, 2), 3, 900, task_bytes=8 * 6 * 120, dealt_bytes=b).tables["trees"].orderBy("tree").collect() for b in (1 << 30, 1))
+    assert one == two and len(one) == 12
+    for tree in one:
+        value = np.array(tree["value"]).reshape(-1, 2)
+        assert all(value[i].max() < 1 for i, f in enumerate(tree["feature"]) if f >= 0)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before
+    half = training_frame(spark, rule[0][:, :1], (rule[0][:, 0] > 29).astype(float))
+    whole = forest.fit(half, forest.Plan(3, 2, 1, bootstrap=False), 1, 900, task_bytes=8 * 4 * 20)
+    assert {len(t["feature"]) for t in whole.tables["trees"].collect()} == {3}
+    assert whole.transform(half).filter("prediction = label").count() == 900
