@@ -134,3 +134,16 @@ def test_nothing_to_split(spark):
     for how in SHAPES.values():
         got = boost.fit(frame, how, 2, 2, 50).transform(frame).select("probability").distinct().collect()
         assert len(got) == 1 and got[0][0][1] == pytest.approx(0.5)
+
+
+def test_a_pass_lands_rows_in_the_growing_tree_only():
+    """Margins of finished trees come with the rows; a pass over them needs no older tree."""
+    draw = np.random.default_rng(4)
+    bins, y, margin = draw.integers(0, 4, (50, 2)).astype(np.uint8), draw.normal(size=50), draw.normal(size=(50, 1))
+    growing = [(np.array([0, -1, -1]), np.array([1, 0, 0]), np.array([1, -1, -1]), np.array([2, -1, -1]))]
+    got = boost._sums([(bins, y, margin)], growing, [np.array([2])], 0, 2, 4, 2.0**30)
+    right = bins[:, 0] > 1
+    for j in range(2):
+        for b in range(4):
+            own = right & (bins[:, j] == b)
+            assert got[0, j, b, 2] == own.sum() and got[0, j, b, 0] / 2.0**30 == pytest.approx((margin[own, 0] - y[own]).sum(), abs=1e-6)
