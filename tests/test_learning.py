@@ -433,3 +433,18 @@ def test_cluster_query_runs_the_whole_job(monkeypatch):
     monkeypatch.setattr(learning, "table", MagicMock())
     learning.analyze_clusters(None, None)
     assert asked["source"] == "parts" and "cluster_options" not in asked
+
+
+def test_ngram_vectors_keep_the_first_by_spelling(spark):
+    """Equal counts are cut by spelling, weights follow document frequency, and a missing text counts as one without words."""
+    import math
+
+    from gleanery.operators.text import NgramVectors
+
+    texts = [" ".join(f"w{i:02d}" for i in range(30))] * 2 + ["w00 w00 zz", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    front = NgramVectors(10).fit(df, "text")
+    assert front.counter.vocabulary == ["w00", *[g for i in range(30) for g in (f"w{i:02d}", f"w{i:02d} w{i + 1:02d}") if g != "w00"][:9]]
+    assert front.idf[:2] == pytest.approx([math.log(5 / 4) + 1, math.log(5 / 3) + 1])
+    got = front.transform(df.filter("text = 'w00 w00 zz'"), "text").first()["features"]
+    assert got.indices.tolist() == [0] and got.values.tolist() == pytest.approx([1.0])
