@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 BLOCK = 4096
 MAX_PIVOTS = 1024
@@ -22,19 +22,59 @@ MAX_MASKS = 64
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array([[np.nan if v is None else v for v in row] for row in column], dtype=float)
+    """Rows of an array column; a missing coordinate is NaN."""
+    return np.array(column.tolist(), dtype=float)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distance; with missing coordinates, over the shared ones and scaled up to all of them."""
-    total, shared = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = a[:, j:j + 1] - b[None, :, j]
-        ok = ~np.isnan(d)
-        total += np.where(ok, d * d, 0.0)
-        shared += ok
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where(shared > 0, np.sqrt(total * (a.shape[1] / shared)), np.nan)
+class _Near:
+    """The ``k`` nearest of a block of rows by euclidean distance; with missing coordinates, over the shared ones and scaled up to all.
+
+    They are found by matrix products: the sum of squares over shared coordinates is that of both sides less twice the inner product,
+    with zeros for what is missing. It is off by rounding alone, so every row whose value lies within the error of the ``k``-th
+    smallest is then measured coordinate by coordinate.
+    """
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.width = rows, rows.shape[1]
+        with np.errstate(invalid="ignore"):
+            middle = np.nan_to_num(np.nanmean(rows, axis=0)) if len(rows) and not np.isnan(rows).all(axis=0).any() else np.zeros(self.width)
+        self.middle, self.has = middle, ~np.isnan(rows)
+        self.x = np.where(self.has, rows - middle, 0.0)
+        self.full = bool(self.has.all())
+        self.square = self.x * self.x
+
+    def find(self, queries: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, distance), queries in order, nearest first and ties in the order of the rows; ``allowed`` marks rows for each query."""
+        has = ~np.isnan(queries)
+        q = np.where(has, queries - self.middle, 0.0)
+        if self.full and has.all():
+            scale = 1.0
+            total = (q * q).sum(axis=1)[:, None] + self.square.sum(axis=1) - 2 * (q @ self.x.T)
+            usable = np.ones(total.shape, bool) if allowed is None else allowed
+            most = (q * q).sum(axis=1) + self.square.sum(axis=1).max()
+        else:
+            there, mine = self.has.astype(float), has.astype(float)
+            shared = mine @ there.T
+            scale = self.width / np.maximum(shared, 1.0)
+            total = ((q * q) @ there.T + mine @ self.square.T - 2 * (q @ self.x.T)) * scale
+            usable = shared > 0 if allowed is None else (shared > 0) & allowed
+            most = ((q * q).sum(axis=1) + self.square.sum(axis=1).max()) * self.width
+        total[~usable] = np.inf
+        slack = most * (8 * (self.width + 4) * np.finfo(float).eps)
+        last = np.partition(total, min(k, total.shape[1]) - 1, axis=1)[:, min(k, total.shape[1]) - 1]
+        near = (total <= (last + 2 * slack)[:, None]) & usable
+        asked, places = np.nonzero(near)
+        sums, shared = np.zeros(len(asked)), np.zeros(len(asked))
+        for j in range(self.width):
+            d = queries[asked, j] - self.rows[places, j]
+            ok = ~np.isnan(d)
+            sums += np.where(ok, d * d, 0.0)
+            shared += ok
+        distance = np.sqrt(sums * (self.width / shared))
+        order = np.lexsort((places, distance, asked))
+        asked, places, distance = asked[order], places[order], distance[order]
+        keep = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
+        return asked[keep], places[keep], distance[keep]
 
 
 def _bounds_to_boxes(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +100,9 @@ def _with_cells(train: DataFrame, n_train: int, width: int, block: int) -> DataF
 
     @F.pandas_udf("int")
     def nearest_pivot(x: pd.Series) -> pd.Series:
-        c, m = shared.value, np.nan_to_num(_matrix(x))
-        return pd.Series([int(np.argmin(((c - row) ** 2).sum(axis=1))) for row in m])
+        c = shared.value
+        m = np.nan_to_num(_matrix(x)).reshape(-1, width)
+        return pd.Series(np.concatenate([((c * c).sum(axis=1) - 2 * (m[i:i + 1024] @ c.T)).argmin(axis=1) for i in range(0, max(1, len(m)), 1024)]), dtype="int32")
 
     present = F.concat_ws("", F.transform("x", lambda v: F.when(v.isNull(), "0").otherwise("1")))
     out = train.withColumn("mask", present)
@@ -79,6 +120,10 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, width: int, per_missin
     that coordinate, and the payload is that coordinate's value. The result has
     (id, want, neighbour, distance, payload, rank); ``want`` is the coordinate searched for, or -1.
     """
+    train, queries = spread(train), spread(queries)
+    # Rows alike are equally far, so of each only the ``k`` smallest ids can be an answer; the limit is taken below the shuffle too.
+    alike = Window.partitionBy("x").orderBy("id")
+    train = train.withColumn("_place", F.row_number().over(alike)).filter(F.col("_place") <= k).drop("_place")
     n_train = train.count()
     placed = cut(_with_cells(train, n_train, width, block))
     boxes = placed.groupBy("cell", "mask").agg(
@@ -137,23 +182,17 @@ def nearest(train: DataFrame, queries: DataFrame, k: int, width: int, per_missin
         F.pmod(F.xxhash64("id", "want"), F.col("query_blocks")).alias("t"))
 
     def best_of_block(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "want": [], "neighbour": [], "distance": [], "payload": []}
+        out = [pd.DataFrame({"id": [], "want": [], "neighbour": [], "distance": [], "payload": []})]
         if len(q) and len(r):
             r = r.sort_values("id", kind="stable")
-            rx, ids, pay = _matrix(r["x"]), r["id"].to_numpy(), r["payload"].to_numpy()
+            rx, ids, pay = _matrix(r["x"]), r["id"].to_numpy(), r["payload"].to_numpy(dtype=float)
+            near, qx, names, wants, there = _Near(rx), _matrix(q["x"]), q["id"].to_numpy(), q["want"].to_numpy(), ~np.isnan(rx).T
             for start in range(0, len(q), 256):
-                part = q.iloc[start:start + 256]
-                for d, (qid, w) in zip(_distances(_matrix(part["x"]), rx), zip(part["id"], part["want"])):
-                    value = rx[:, w] if w >= 0 else pay
-                    d = np.where(np.isnan(value), np.nan, d) if w >= 0 else d
-                    take = np.argsort(d, kind="stable")[:k]
-                    take = take[~np.isnan(d[take])]
-                    out["id"] += [qid] * len(take)
-                    out["want"] += [w] * len(take)
-                    out["neighbour"] += ids[take].tolist()
-                    out["distance"] += d[take].tolist()
-                    out["payload"] += value[take].tolist()
-        return pd.DataFrame(out)
+                asked, take, d = near.find(qx[start:start + 256], k, there[wants[start:start + 256]] if per_missing else None)
+                asked = asked + start
+                out.append(pd.DataFrame({"id": names[asked], "want": wants[asked], "neighbour": ids[take], "distance": d,
+                                         "payload": rx[take, wants[asked]] if per_missing else pay[take]}))
+        return pd.concat(out[1:] or out)
 
     found = left.groupBy("box", "s", "t").cogroup(right.groupBy("box", "s", "t")).applyInPandas(
         best_of_block, f"id {id_type}, want int, neighbour {train_id}, distance double, payload double")
