@@ -8,6 +8,7 @@ from ..functions.dates import parse_date_text
 from ..functions.types import (
     datetime_typed_columns, distinct_key, is_numeric, is_numeric_or_bool, is_string, numeric_columns, quoted, string_columns, to_long,
 )
+from ..session import spread
 from .profile import has_id_name
 
 IMAGE_SUFFIX = r"(?i)\.(jpg|jpeg|png|gif|bmp|webp|tiff|tif)$"
@@ -53,7 +54,7 @@ def detect_text(df: DataFrame, target: str | None = None, strict: bool = False,
             F.count(v).alias(f"n_values__{i}"), F.avg(F.length(v)).alias(f"avg_len__{i}"),
             F.avg(F.when(v.isNotNull(), n_words)).alias(f"avg_words__{i}"), F.count_distinct(F.when(F.length(v) > 32, F.md5(v)).otherwise(v)).alias(f"n_unique__{i}"),
         ]
-    row = df.agg(*exprs) if exprs else df.limit(0)
+    row = spread(df).agg(*exprs) if exprs else df.limit(0)
     out = to_long(row, names, {"n_values": "bigint", "avg_len": "double", "avg_words": "double", "n_unique": "bigint"})
     ratio = F.col("n_unique") / F.col("n_values")
     hit = (
@@ -122,7 +123,7 @@ def target_statistics(df: DataFrame, candidates: list[str] | None = None) -> Dat
         whole = F.bool_and(quoted(c) == F.round(quoted(c))) if is_numeric(types[c]) else F.lit(types[c].typeName() == "boolean")
         exprs += [F.count(quoted(c)).alias(f"n_values__{i}"), F.count_distinct(distinct_key(c, types[c])).alias(f"n_unique__{i}"),
                   whole.alias(f"whole__{i}")]
-    out = to_long(df.agg(*exprs), present, {"n_values": "bigint", "n_unique": "bigint", "whole": "boolean"})
+    out = to_long(spread(df).agg(*exprs), present, {"n_values": "bigint", "n_unique": "bigint", "whole": "boolean"})
     numeric = [c for c in present if is_numeric_or_bool(types[c])]
     return out.withColumn("is_num", F.col("column").isin(numeric) if numeric else F.lit(False))
 
