@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.hashing import row_token
 from ..functions.types import quoted, to_long
@@ -195,28 +197,59 @@ def shap_sampled(df: DataFrame, transform, output: str, names: list[str], backgr
     Every row is paired with ``rounds`` background rows and orders of the features. Walking an order switches
     one feature at a time from the background to the row, and the change of the output goes to that feature. All
     hybrids are scored by one ``transform``; values add up to the row's output less the mean background output.
+
+    A feature that is alike in both rows changes nothing and gets nothing, so a walk has a step for each of the others. Its first
+    hybrid is the background row and its last the row itself, which are scored once each. A value is a weighted sum of a row's outputs;
+    they are added up where they are scored.
     """
     rng = np.random.default_rng(seed)
-    p = len(names)
+    p, spark = len(names), df.sparkSession
     plans = [(r, [int(i) for i in rng.permutation(p)], background[r % len(background)]) for r in range(rounds)]
-    # One literal per round: the plan is as long as ``rounds``.
-    pieces = F.array(*[F.struct(F.lit(r).alias("round"), F.array(*[F.lit(i) for i in order]).alias("order"),
-                                F.array(*[F.lit(float(v)) for v in b]).alias("b")) for r, order, b in plans])
-    x = vector_to_array("features")
-    rows = df.select(F.col("row_id").alias("row"), x.alias("x"), F.explode(pieces).alias("plan")).select("row", "x", "plan.*")
-    rows = rows.withColumn("place", F.array(*[F.array_position("order", F.lit(j)) for j in range(p)]))
-    steps = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(p))))
-    mixed = F.transform("x", lambda v, j: F.when(F.get("place", j) <= F.col("step"), v).otherwise(F.get("b", j)))
-    hybrids = steps.select("row", "round", "step", "order", array_to_vector(mixed).alias("features"),
-                           F.concat_ws("|", F.col("row").cast("string"), "round", "step").alias("row_id"))
-    scored = transform(hybrids).select("row", "round", "step", "order", F.col(output).alias("y"))
-    # One walk is p + 1 short rows; it is put in order by its own key, which is unique per row and round.
-    walks = scored.groupBy("row", "round").agg(F.first("order").alias("order"), F.map_from_entries(F.collect_list(F.struct("step", "y"))).alias("y"))
-    gains = F.transform(F.sequence(F.lit(1), F.lit(p)), lambda s: F.struct(
-        F.get("order", s - 1).alias("j"), (F.element_at("y", s) - F.element_at("y", s - 1)).alias("gain")))
-    table = F.array(*[F.lit(n) for n in names])
-    return walks.select("row", F.explode(gains).alias("g")).groupBy("row", F.get(table, F.col("g.j")).alias("feature")).agg(
-        F.avg("g.gain").alias("value"))
+    known = spark.createDataFrame([(f"background|{i}", i, Vectors.dense(b)) for i, b in enumerate(background)], ["row_id", "i", "features"])
+    start = {r["i"]: float(r["y"]) for r in transform(known).select("i", F.col(output).alias("y")).collect()}
+    orders, met = np.array([order for _, order, _ in plans]), np.array([b for _, _, b in plans], float)
+    begin = np.array([start[r % len(background)] for r, _, _ in plans])
+    rows = df.select(F.col("row_id").alias("row"), vector_to_array("features").alias("x"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *[T.StructField(c, T.IntegerType()) for c in ("round", "step")],
+                           *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("mixed", "worth", "less")]])
+    walked = rows.mapInArrow(lambda batches: _walks(batches, orders, met, begin), schema)
+    hybrids = walked.select("row", F.concat_ws("|", F.col("row").cast("string"), "round", "step").alias("row_id"), array_to_vector("mixed").alias("features"), "worth", "less")
+    scored = transform(hybrids).select("row", "worth", "less", F.col(output).alias("y"))
+    sums = scored.groupBy("row").agg(*[(F.sum(F.col("worth")[j] * F.col("y")) - F.sum(F.col("less")[j])).alias(f"v{j}") for j in range(p)])
+    return sums.select("row", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), (F.col(f"v{j}") / rounds).alias("value")) for j, n in enumerate(names)])))
+
+
+def _walks(batches: Iterator[pa.RecordBatch], orders: np.ndarray, met: np.ndarray, begin: np.ndarray, values: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The hybrids of each row: those between the steps of a walk, with what their output is worth to each feature (the step
+    just taken gains, the next one loses), and the row itself, which ends every walk, with what the features lose to the backgrounds."""
+    rounds, p = orders.shape
+    place, many = np.argsort(orders, axis=1), max(1, values // (rounds * p * p))
+
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * p, x.ravel())
+
+    def batch(row, r, s, mixed, worth, less):
+        return pa.record_batch([row, pa.array(r, pa.int32()), pa.array(s, pa.int32()), lists(mixed), lists(worth), less], names=["row", "round", "step", "mixed", "worth", "less"])
+
+    for held in batches:
+        every = np.asarray(held.column(1).flatten(), float).reshape(-1, p)
+        for at in range(0, len(every), many):
+            x, row = every[at:at + many], held.column(0).slice(at, many)
+            turns = np.take_along_axis(x[:, None, :] != met, np.broadcast_to(orders, (len(x), rounds, p)), axis=2)
+            # The first step from each place on that changes something; p where none does.
+            ahead = np.minimum.accumulate(np.where(turns, np.arange(p), p)[:, :, ::-1], axis=2)[:, :, ::-1]
+            i, r, s = np.nonzero(turns[:, :, :-1] & (ahead[:, :, 1:] < p))
+            n = np.arange(len(i))
+            worth = np.zeros((len(i), p))
+            worth[n, orders[r, s]] = 1.0
+            worth[n, orders[r, ahead[i, r, s + 1]]] = -1.0
+            yield batch(row.take(pa.array(i)), r, s, np.where(place[r] <= s[:, None], x[i], met[r]), worth, pa.nulls(len(i), pa.list_(pa.float64())))
+            i, r = np.nonzero(ahead[:, :, 0] < p)
+            last = p - 1 - np.argmax(turns[:, :, ::-1], axis=2)
+            ends = np.bincount(i * p + orders[r, last[i, r]], minlength=len(x) * p).reshape(-1, p).astype(float)
+            less = np.bincount(i * p + orders[r, ahead[i, r, 0]], begin[r], len(x) * p).reshape(-1, p)
+            none = np.full(len(x), -1)
+            yield batch(row, none, none, x, ends, lists(less))
 
 
 # ---------------------------------------------------------------- importances
