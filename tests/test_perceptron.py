@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from conftest import training_frame
+from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from gleanery.models import perceptron
@@ -48,3 +49,23 @@ def test_classes_beyond_a_plane_are_learned(spark):
     out = spec(CLASSIFIERS, "mlp_ann").train(frame, context_of(frame, 3, 42, 0.25)).transform(frame)
     assert training._score(out, "classification") >= 0.95
     assert max(abs(sum(r["probability"]) - 1) for r in out.select("probability").limit(20).collect()) < 1e-9
+
+
+def test_equal_rows_are_packed_once(spark, monkeypatch):
+    """Rows that are equal travel once a task, with their number; the sums of a step are those of all rows."""
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, 3, 900), rng.integers(0, 4, 900), np.ones(900)]).astype(float)
+    y = (x[:, 0] > rng.integers(0, 2, 900)).astype(float)
+    frame = training_frame(spark, x, y).repartition(3)
+    held = {"all": perceptron.weighted_blocks(frame, F.col("label"), [0.0] * 3, [1.0] * 3)}
+    monkeypatch.setattr(perceptron, "HELD_VALUES", 100)
+    held["few at a time"] = perceptron.weighted_blocks(frame, F.col("label"), [0.0] * 3, [1.0] * 3)
+    layers, flat = [3, 4, 2], rng.normal(size=26)
+    plain = perceptron._gradient(x, y, flat, layers, True)
+    for name, blocks in held.items():
+        blocks = [(a.astype(float), b.astype(float), c) for a, b, c in blocks.collect()]
+        assert sum(len(b) if c is None else c.sum() for _, b, c in blocks) == 900
+        np.testing.assert_allclose(sum(perceptron._gradient(a, b, flat, layers, True, c) for a, b, c in blocks), plain, rtol=1e-9)
+    assert sum(len(b) for _, b, _ in held["all"].collect()) <= 3 * 24
+    apart = perceptron.weighted_blocks(training_frame(spark, rng.normal(size=(500, 3)), y[:500]), F.col("label"), [0.0] * 3, [1.0] * 3).collect()
+    assert all(w is None for _, _, w in apart) and sum(len(y) for _, y, _ in apart) == 500
