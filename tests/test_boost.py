@@ -147,3 +147,23 @@ def test_a_pass_lands_rows_in_the_growing_tree_only():
         for b in range(4):
             own = right & (bins[:, j] == b)
             assert got[0, j, b, 2] == own.sum() and got[0, j, b, 0] / 2.0**30 == pytest.approx((margin[own, 0] - y[own]).sum(), abs=1e-6)
+
+
+@pytest.mark.parametrize("shape", ["leaf", "symmetric"])
+@pytest.mark.parametrize("classes", [0, 3])
+def test_rows_that_share_bins_and_label_are_one(spark, monkeypatch, shape, classes):
+    """They travel once with their number, and one task or many make the same trees of them as of rows that are all packed."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(0, 5, 600), rng.integers(0, 6, 600), rng.integers(0, 2, 600)]).astype(float)
+    y = (x[:, 0] + rng.integers(0, 2, 600)) % 3
+    frame = training_frame(spark, x, y).repartition(4)
+    cuts = [np.unique(c)[:-1] for c in x.T]
+    packed = boost._blocks(frame.select(boost.vector_to_array("features").alias("x"), boost.F.col("label").alias("y")), cuts, 3, 3).collect()
+    rows = [(tuple(b), v, n) for r in packed for b, v, n in zip(np.frombuffer(r["bins"], np.uint8).reshape(-1, 3).tolist(), np.frombuffer(r["y"]), np.frombuffer(r["n"]))]
+    assert len(rows) == len({r[:2] for r in rows}) < 400 and sum(r[2] for r in rows) == 600
+    trees = [sorted(map(repr, boost.fit(frame, SHAPES[shape], classes, 3, 600).tables["trees"].collect()))]
+    monkeypatch.setattr(boost, "LOCAL_ROWS", 0)
+    trees.append(sorted(map(repr, boost.fit(frame, SHAPES[shape], classes, 3, 600).tables["trees"].collect())))
+    monkeypatch.setattr(boost, "merged_chunks", lambda chunks, room: ((a, b, np.ones(len(b))) for a, b in chunks))
+    trees.append(sorted(map(repr, boost.fit(frame, SHAPES[shape], classes, 3, 600).tables["trees"].collect())))
+    assert trees[0] == trees[1] == trees[2]
