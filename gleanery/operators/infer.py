@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.dates import parse_date_text
 from ..functions.types import (
@@ -35,6 +37,35 @@ def detect_datetime(df: DataFrame, share: float = 0.8, years: tuple[int, int] =
     return out.withColumn("is_datetime", F.coalesce(ok, F.lit(False)))
 
 
+def _n_words(v: Column) -> Column:
+    trimmed = F.trim(F.regexp_replace(v, r"\s+", " "))
+    return F.when(F.length(trimmed) == 0, F.when(v.isNotNull(), 0)).otherwise(F.size(F.split(trimmed, " ")))
+
+
+def _text_facts(df: DataFrame, name: str) -> DataFrame:
+    """One row: non-missing values of a column as text, their mean length and words, and how many differ.
+
+    Values are counted as they are and turned into text once each. Long texts are counted by their digest and measured row by row.
+    """
+    c, dt = quoted(name), df.schema[name].dataType
+    if is_string(dt) or not isinstance(dt, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        v, long = F.col("v"), F.length("v") > 32
+        rows = spread(df.select(c.cast("string").alias("v")))
+        values = rows.groupBy(F.when(long, F.md5(v)).otherwise(v).alias("v")).agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.when(long, F.length(v))).alias("len"), F.max(F.when(long, _n_words(v))).alias("words"))
+    else:
+        # Zero has two spellings among floating numbers, and a local time may come twice.
+        zero = F.when(c == 0, c.cast("string")) if isinstance(dt, (T.FloatType, T.DoubleType)) else F.lit(None).cast("string")
+        values = df.groupBy(c.alias("k"), zero.alias("zero")).agg(F.count(F.lit(1)).alias("n"))
+        values = values.select(F.coalesce("zero", F.col("k").cast("string")).alias("v"), "n", F.lit(None).cast("int").alias("len"), F.lit(None).cast("int").alias("words"))
+        if isinstance(dt, T.TimestampType):
+            values = values.groupBy("v").agg(F.sum("n").alias("n"), F.max("len").alias("len"), F.max("words").alias("words"))
+    known = values.filter(F.col("v").isNotNull())
+    mean = lambda what: F.sum(F.col("n") * what) / F.nullif(F.sum("n"), F.lit(0))
+    return known.agg(F.lit(name).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"), mean(F.coalesce("len", F.length("v"))).alias("avg_len"),
+                     mean(F.coalesce("words", _n_words(F.col("v")))).alias("avg_words"), F.count(F.lit(1)).alias("n_unique"))
+
+
 def detect_text(df: DataFrame, target: str | None = None, strict: bool = False, skip: list[str] | None = None) -> DataFrame:
     """Columns that hold free text, from lengths, word counts and distinct share of the stringified values.
 
@@ -45,17 +76,9 @@ def detect_text(df: DataFrame, target: str | None = None, strict: bool = False,
         skip = [c for c in df.columns if has_id_name(c)] + datetime_columns(df)
     out_of_play = {target, *(skip or [])} if strict else {target}
     names = [f.name for f in df.schema if f.name not in out_of_play and (is_string(f.dataType) or not strict)]
-    exprs = []
-    for i, c in enumerate(names):
-        v = quoted(c).cast("string")
-        trimmed = F.trim(F.regexp_replace(v, r"\s+", " "))
-        n_words = F.when(F.length(trimmed) == 0, F.when(v.isNotNull(), 0)).otherwise(F.size(F.split(trimmed, " ")))
-        exprs += [
-            F.count(v).alias(f"n_values__{i}"), F.avg(F.length(v)).alias(f"avg_len__{i}"),
-            F.avg(F.when(v.isNotNull(), n_words)).alias(f"avg_words__{i}"), F.count_distinct(F.when(F.length(v) > 32, F.md5(v)).otherwise(v)).alias(f"n_unique__{i}"),
-        ]
-    row = spread(df).agg(*exprs) if exprs else df.limit(0)
-    out = to_long(row, names, {"n_values": "bigint", "avg_len": "double", "avg_words": "double", "n_unique": "bigint"})
+    out = df.sparkSession.createDataFrame([], "column string, n_values bigint, avg_len double, avg_words double, n_unique bigint")
+    if names:
+        out = reduce(DataFrame.unionByName, [_text_facts(df, c) for c in names])
     ratio = F.col("n_unique") / F.col("n_values")
     hit = (
         (F.col("avg_len") > 35) | ((F.col("avg_len") > 12) & (ratio > 0.3))
@@ -114,16 +137,21 @@ def detect_modality(df: DataFrame, target: str | None = None, strict: bool = Fal
     return roll_up_modality(modality_columns(df, target, strict))
 
 
+def _target_facts(df: DataFrame, name: str, dt: T.DataType) -> DataFrame:
+    """One row: non-missing values of a column, how many differ, and whether all are whole. They are counted by value."""
+    key = distinct_key(name, dt).alias("k")
+    values = (spread(df.select(key)) if is_string(dt) else df).groupBy("k" if is_string(dt) else key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("k").isNotNull())
+    whole = F.bool_and(F.col("k") == F.round("k")) if is_numeric(dt) else F.lit(dt.typeName() == "boolean")
+    return values.agg(F.lit(name).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"), F.count(F.lit(1)).alias("n_unique"), whole.alias("whole"))
+
+
 def target_statistics(df: DataFrame, candidates: list[str] | None = None) -> DataFrame:
-    """Facts about each candidate target that the task and validity rules need, from one aggregation."""
+    """Facts about each candidate target that the task and validity rules need. Each column is read and counted by itself, so no row is multiplied."""
     types = {f.name: f.dataType for f in df.schema}
     present = [c for c in (candidates or df.columns) if c in types]
-    exprs = []
-    for i, c in enumerate(present):
-        whole = F.bool_and(quoted(c) == F.round(quoted(c))) if is_numeric(types[c]) else F.lit(types[c].typeName() == "boolean")
-        exprs += [F.count(quoted(c)).alias(f"n_values__{i}"), F.count_distinct(distinct_key(c, types[c])).alias(f"n_unique__{i}"),
-                  whole.alias(f"whole__{i}")]
-    out = to_long(spread(df).agg(*exprs), present, {"n_values": "bigint", "n_unique": "bigint", "whole": "boolean"})
+    out = df.sparkSession.createDataFrame([], "column string, n_values bigint, n_unique bigint, whole boolean")
+    if present:
+        out = reduce(DataFrame.unionByName, [_target_facts(df, c, types[c]) for c in present])
     numeric = [c for c in present if is_numeric_or_bool(types[c])]
     return out.withColumn("is_num", F.col("column").isin(numeric) if numeric else F.lit(False))
 
