@@ -64,6 +64,8 @@ def ngram_tfidf(spark, sf):
 @query("token_saliency", f"""SELECT gram AS token, round(sum(abs(weight * ((length(gram) % 7 - 3) / 10.0::DOUBLE))), 4) AS score FROM {_TFIDF} GROUP BY gram
   HAVING round(sum(abs(weight * ((length(gram) % 7 - 3) / 10.0::DOUBLE))), 4) > 0 ORDER BY score DESC, token LIMIT 10""")
 def token_saliency(spark, sf):
-    weights = tx.ngram_tfidf(table(spark, sf, "documents"), "doc_id", "text")
-    coefficients = weights.select("gram").distinct().withColumn("coefficient", (F.length("gram") % 7 - 3) / F.lit(10.0))
+    d = table(spark, sf, "documents")
+    terms = tx.kept_terms(d, "text")
+    weights = tx.ngram_tfidf(d, "doc_id", "text", terms=terms)
+    coefficients = terms.select("gram").withColumn("coefficient", (F.length("gram") % 7 - 3) / F.lit(10.0))
     return saliency(weights, coefficients)
